@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 HALF_OPEN = "half_open"
 CLOSED = "closed"
 
-FAR_PAST = F.lit("0001-01-01").cast("date")
-FAR_FUTURE = F.lit("9999-12-31").cast("date")
+FAR_PAST = "0001-01-01"
+FAR_FUTURE = "9999-12-31"
 
 
 def overlaps(start: Column, end: Column, window_start: Column, window_end: Column, bounds: str = HALF_OPEN) -> Column:
@@ -104,13 +104,14 @@ def free_gaps(rooms: DataFrame, stays: DataFrame, bounds: str = HALF_OPEN) -> Da
         .groupBy("room_id", "start_date")
         .agg(F.max("end_date").alias("end_date"))
     )
-    closing = rooms.select(F.col("id").alias("room_id"), FAR_FUTURE.alias("start_date"), FAR_FUTURE.alias("end_date"))
+    never = F.lit(FAR_FUTURE).cast("date")
+    closing = rooms.select(F.col("id").alias("room_id"), never.alias("start_date"), never.alias("end_date"))
     before = Window.partitionBy("room_id").orderBy("start_date").rowsBetween(Window.unboundedPreceding, -1)
     return (
         longest.unionByName(closing)
         .select(
             "room_id",
-            F.coalesce(F.max("end_date").over(before), FAR_PAST).alias("gap_start"),
+            F.coalesce(F.max("end_date").over(before), F.lit(FAR_PAST).cast("date")).alias("gap_start"),
             F.col("start_date").alias("gap_end"),
         )
         .where("gap_start < gap_end")

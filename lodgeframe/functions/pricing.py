@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the price rules.
-EXTRA_GUEST_SHARE = F.lit("0.2").cast("decimal(2,1)")
+EXTRA_GUEST_SHARE = "0.2"
 FALLBACK_PER_NIGHT = 1000
 MONEY = "decimal(12,2)"
 
@@ -37,7 +37,7 @@ def booking_price(price: Column, coeff: Column, capacity: Column, guests: Column
     extra = F.greatest(guests - capacity, F.lit(0)).cast("decimal(6,0)")
     base = price * coeff_or_one(coeff) * night_count.cast("decimal(6,0)")
     fallback = (night_count * FALLBACK_PER_NIGHT).cast(MONEY)
-    return F.coalesce(rounded(base * (F.lit(1) + EXTRA_GUEST_SHARE * extra)), fallback)
+    return F.coalesce(rounded(base * (F.lit(1) + F.lit(EXTRA_GUEST_SHARE).cast("decimal(2,1)") * extra)), fallback)
 
 
 def discounted(amount: Column, bonus_points: Column, required: Column, discount: Column) -> Column:
