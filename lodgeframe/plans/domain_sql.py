@@ -119,6 +119,34 @@ TABLES = {
         JOIN (SELECT reservation_id FROM details_reservations GROUP BY 1 HAVING count(room_id) = 0) d
           ON d.reservation_id = r.id, consts
         WHERE r.status <> 'cancelled'""",
+    "raw_requests": """
+        SELECT id AS request_id,
+               CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN 'soon' ELSE CAST(start_date AS VARCHAR) END
+                   AS start_date,
+               CASE WHEN id % 19 = 0 THEN CAST(start_date AS VARCHAR) WHEN id % 23 = 0 THEN '2024-02-30'
+                    ELSE CAST(end_date AS VARCHAR) END AS end_date,
+               CASE WHEN id % 11 = 0 THEN '-' || total_price WHEN id % 29 = 0 THEN 'much'
+                    ELSE CAST(total_price AS VARCHAR) END AS amount,
+               ['cash', 'card', 'online', 'barter'][id % 4 + 1] AS method
+        FROM reservations""",
+    "offered_payments": """
+        SELECT event_id // 2 AS id, (event_id * 7) % 20000 + 1 AS reservation_id,
+               CAST(value - 20 AS DECIMAL(12,2)) AS payments_sum,
+               CASE WHEN event_id % 31 <> 0 THEN CAST(ts AS DATE) END AS payments_date, event_type AS payments_method
+        FROM events""",
+    "offered_guests": """
+        SELECT c_custkey + 1 AS id,
+               CASE WHEN c_custkey % 37 <> 0 THEN repeat(c_mktsegment, CAST(1 + c_custkey % 8 AS INT)) END AS first_name,
+               c_name AS last_name, '+7' || (c_custkey % 1000) AS phone_number,
+               CASE WHEN c_custkey % 4 <> 0 THEN 'm' || (c_custkey % 997) || '@x.org' END AS email,
+               DATE '1960-01-01' + CAST(c_custkey % 15000 AS INT) AS birth_date,
+               CASE WHEN c_custkey % 3 <> 0 THEN 'D' || (c_custkey % 1009) END AS document,
+               c_custkey % 5 AS loyalty_card_id, CAST(floor(c_acctbal) AS INT) AS bonus_points
+        FROM customer""",
+    "offered_rooms": """
+        SELECT p_partkey + 1 AS id, p_partkey % (nh + 3) + 1 AS hotel_id, 1 + p_partkey % 4 AS categories_room_id,
+               CAST(100 + p_size AS VARCHAR) AS room_number, p_size AS floor, p_brand AS view
+        FROM part, consts""",
     "active_stays": """
         SELECT d.id AS detail_id, r.id AS reservation_id, r.hotel_id, d.requested_room_category, d.room_id,
                r.start_date, r.end_date
@@ -137,6 +165,8 @@ NEEDS = {
     "hotel_changes": ["consts"],
     "registration_requests": ["reservations", "details_reservations"],
     "active_stays": ["reservations", "details_reservations"],
+    "raw_requests": ["reservations"],
+    "offered_rooms": ["consts"],
 }
 
 

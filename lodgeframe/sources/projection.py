@@ -287,3 +287,72 @@ class HotelData:
                 F.expr("array(payer_id, payer_id + 1, payer_id + 100000000)").alias("guest_ids"),
             )
         )
+
+    @cached_property
+    def raw_requests(self) -> DataFrame:
+        """Requests as typed into a form: texts, some absent, malformed or out of range."""
+        return self.reservations.select(
+            F.col("id").alias("request_id"),
+            F.expr(
+                "CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN 'soon' ELSE CAST(start_date AS STRING) END"
+            ).alias("start_date"),
+            F.expr(
+                "CASE WHEN id % 19 = 0 THEN CAST(start_date AS STRING) WHEN id % 23 = 0 THEN '2024-02-30' "
+                "ELSE CAST(end_date AS STRING) END"
+            ).alias("end_date"),
+            F.expr(
+                "CASE WHEN id % 11 = 0 THEN concat('-', total_price) WHEN id % 29 = 0 THEN 'much' "
+                "ELSE CAST(total_price AS STRING) END"
+            ).alias("amount"),
+            F.expr("element_at(array('cash', 'card', 'online', 'barter'), CAST(id % 4 AS INT) + 1)").alias("method"),
+        )
+
+    @cached_property
+    def guest_feed(self) -> DataFrame:
+        """The change feed as sent: every node passes on what it wrote and what it received."""
+        return self.guest_changes.select(
+            "*", F.explode(F.array(*[F.lit(f"filial{n}") for n in (1, 2, 3)])).alias("source")
+        )
+
+    @cached_property
+    def base_tables(self) -> dict[str, DataFrame]:
+        names = (
+            "types_amenities cities categories_hotel categories_room loyalty_cards hotels guests rooms amenities "
+            "reservations details_reservations payments room_reservation_guests"
+        )
+        return {name: getattr(self, name) for name in names.split()}
+
+    @cached_property
+    def incoming_tables(self) -> dict[str, DataFrame]:
+        """Rows offered for loading, faults included: requests and changes in the shape of the tables."""
+        nh = self._hotel_count()
+        offered = dict(self.base_tables)
+        offered["payments"] = self.raw("events").select(
+            F.expr("event_id DIV 2").alias("id"),
+            F.expr("(event_id * 7) % 20000 + 1").alias("reservation_id"),
+            F.expr("CAST(value - 20 AS DECIMAL(12,2))").alias("payments_sum"),
+            F.expr("CASE WHEN event_id % 31 <> 0 THEN CAST(ts AS DATE) END").alias("payments_date"),
+            F.col("event_type").alias("payments_method"),
+        )
+        offered["guests"] = self.raw("customer").select(
+            (F.col("c_custkey") + 1).alias("id"),
+            F.expr("CASE WHEN c_custkey % 37 <> 0 THEN repeat(c_mktsegment, CAST(1 + c_custkey % 8 AS INT)) END").alias(
+                "first_name"
+            ),
+            F.col("c_name").alias("last_name"),
+            F.expr("concat('+7', c_custkey % 1000)").alias("phone_number"),
+            F.expr("CASE WHEN c_custkey % 4 <> 0 THEN concat('m', c_custkey % 997, '@x.org') END").alias("email"),
+            F.expr("date_add(DATE'1960-01-01', CAST(c_custkey % 15000 AS INT))").alias("birth_date"),
+            F.expr("CASE WHEN c_custkey % 3 <> 0 THEN concat('D', c_custkey % 1009) END").alias("document"),
+            F.expr("c_custkey % 5").alias("loyalty_card_id"),
+            F.expr("CAST(floor(c_acctbal) AS INT)").alias("bonus_points"),
+        )
+        offered["rooms"] = self.raw("part").withColumn("nh", nh).select(
+            (F.col("p_partkey") + 1).alias("id"),
+            F.expr("p_partkey % (nh + 3) + 1").alias("hotel_id"),
+            F.expr("1 + p_partkey % 4").alias("categories_room_id"),
+            F.expr("CAST(100 + p_size AS STRING)").alias("room_number"),
+            F.col("p_size").alias("floor"),
+            F.col("p_brand").alias("view"),
+        )
+        return offered
