@@ -5,7 +5,17 @@ Keys are BIGINT everywhere, times of day are ``HH:mm:ss`` strings and money is d
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    DateType,
+    DecimalType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
 
 # Table columns, nullability and types.
 DDL = {
@@ -160,8 +170,30 @@ ACTIVE = ["confirmed", "pending"]
 PAYMENT_METHODS = ["cash", "card", "online"]
 
 
+_TYPES = {
+    "BIGINT": LongType(),
+    "INT": IntegerType(),
+    "SMALLINT": ShortType(),
+    "STRING": StringType(),
+    "DATE": DateType(),
+    "TIMESTAMP_NTZ": TimestampNTZType(),
+    "DECIMAL(5,2)": DecimalType(5, 2),
+    "DECIMAL(10,2)": DecimalType(10, 2),
+    "DECIMAL(12,2)": DecimalType(12, 2),
+}
+
+
+def struct(columns: str) -> StructType:
+    """A schema from ``name TYPE [NOT NULL], ...`` that needs no running session."""
+    fields = []
+    for column in columns.split(", "):
+        name, kind, *rest = column.split(" ")
+        fields.append(StructField(name, _TYPES[kind], nullable=not rest))
+    return StructType(fields)
+
+
 def schema(table: str) -> StructType:
-    return StructType.fromDDL(DDL[table])
+    return struct(DDL[table])
 
 
 def key_column(table: str) -> str:
