@@ -7,6 +7,8 @@ widened by a day on both sides, so everything below works on half-open stays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,22 +51,19 @@ def per_day(marks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_boundaries(windows: DataFrame, stays: DataFrame, keys: list[str]) -> DataFrame:
-    """Stays started before and ended by every day on which a window starts or ends.
+    """``so_far = [stays started before, stays ended by]`` for every day a window starts or ends on.
 
     Stays are counted per key and day before anything is ordered, so the window function sees at
-    most one row per key and calendar day however many stays a key has.
+    most one row per key and calendar day however many stays a key has. The two counts share an
+    array so that both lookups below need the very same columns and Spark computes them once.
     """
     probes = windows.select(*keys, F.explode(F.array("start_date", "end_date")).alias("day")).select(
         *keys, "day", F.lit(0).alias("starts"), F.lit(0).alias("ends")
     )
     days = per_day(boundary_marks(stays, keys).union(probes), keys)
     so_far = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return days.select(
-        *keys,
-        "day",
-        (F.sum("starts").over(so_far) - F.col("starts")).alias("started_before"),
-        F.sum("ends").over(so_far).alias("ended_by"),
-    )
+    started = F.sum("starts").over(so_far) - F.col("starts")
+    return days.select(*keys, "day", F.array(started, F.sum("ends").over(so_far)).alias("so_far"))
 
 
 def count_overlaps(
@@ -77,18 +76,17 @@ def count_overlaps(
     so the count is (started before the end) - (ended by the start).
     """
     days = running_boundaries(windows, as_half_open(stays, bounds), keys)
-    opening = days.select(*[F.col(k).alias(f"_{k}") for k in keys], "day", "ended_by").alias("opening")
-    closing = days.select(*[F.col(k).alias(f"_{k}") for k in keys], "day", "started_before").alias("closing")
-    base = windows.alias("w")
 
     def on(side: str, day: str) -> Column:
-        condition = F.col(f"{side}.day") == F.col(f"w.{day}")
-        for key in keys:
-            condition = condition & (F.col(f"{side}._{key}") == F.col(f"w.{key}"))
-        return condition
+        pairs = [F.col(f"{side}.{key}") == F.col(f"w.{key}") for key in keys]
+        return reduce(Column.__and__, pairs, F.col(f"{side}.day") == F.col(f"w.{day}"))
 
-    joined = base.join(opening, on("opening", "start_date"), "left").join(closing, on("closing", "end_date"), "left")
-    counted = F.coalesce(F.col("closing.started_before") - F.col("opening.ended_by"), F.lit(0))
+    joined = (
+        windows.alias("w")
+        .join(days.alias("opening"), on("opening", "start_date"), "left")
+        .join(days.alias("closing"), on("closing", "end_date"), "left")
+    )
+    counted = F.coalesce(F.col("closing.so_far")[0] - F.col("opening.so_far")[1], F.lit(0))
     return joined.select("w.*", counted.cast("bigint").alias(into))
 
 

@@ -86,11 +86,12 @@ def fold_sorted(
     start: Callable,
     step: Callable,
 ) -> DataFrame:
-    """Reads each key's rows in order and emits one result per row.
+    """Reads each key's rows in order and emits a result per row, or none where ``step`` gives None.
 
     ``start(row)`` makes a key's state and ``step(state, row)`` returns the result values; both see
     the keys and ``columns``. Rows stream through in Arrow batches, so a worker holds one batch and
-    one key's state, never a whole group.
+    one key's state, never a whole group. The partition count is fixed because the bytes, which
+    adaptive coalescing goes by, say little about the time Python takes.
     """
     names = [part.split()[0] for part in result_ddl.split(", ")]
 
@@ -102,10 +103,13 @@ def fold_sorted(
                 key = row[: len(keys)]
                 if key != current:
                     current, state = key, start(row)
-                results.append(step(state, row))
+                result = step(state, row)
+                if result is not None:
+                    results.append(result)
             yield pd.DataFrame(results, columns=names)
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
     return ordered.select(*keys, *columns).mapInPandas(run, result_ddl)
 
 

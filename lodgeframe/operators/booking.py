@@ -11,13 +11,12 @@ from bisect import bisect_left, bisect_right, insort
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgeframe.functions import pricing
 from lodgeframe.functions.intervals import CLOSED, count_overlaps, free_gaps
-from lodgeframe.functions.ordering import BLOCK_ROWS, fold_sorted, ordered_fold, strided_ids
+from lodgeframe.functions.ordering import BLOCK_ROWS, fold_sorted, has_large_key, ordered_fold, strided_ids
 from lodgeframe.operators.availability import BAD_DATES, CATEGORY_KEY, DATES, room_totals
 from lodgeframe.schemas import ACTIVE, BRANCHES
 from lodgeframe.session import cut_lineage
@@ -178,9 +177,10 @@ def booking_tables(decisions: DataFrame, used_ids: int = 0) -> tuple[DataFrame,
     """New reservations, detail lines and guest rows of the accepted requests.
 
     Every node gives out its own ids: the centre writes too, so ids step by four. One number serves
-    the reservation and its only detail line.
+    the reservation and its only detail line. The decisions are saved first: numbering reads them
+    twice and three tables come from them, and they should be made once.
     """
-    accepted = decisions.where("status = 201").withColumn("writer", node_number(F.col("node")))
+    accepted = cut_lineage(decisions.where("status = 201").withColumn("writer", node_number(F.col("node"))))
     numbered = strided_ids(accepted, "writer", "request_id", len(NODE_NUMBERS), "new_id", F.lit(used_ids))
     reservations = numbered.select(
         F.col("new_id").alias("id"),
@@ -225,9 +225,11 @@ def register_guests(
     A batch serves one request per reservation, the first. A reservation that leaves another room
     frees it for the next batch only.
     """
-    has_lines = details.select("reservation_id").distinct().withColumn("has_lines", F.lit(True))
+    asked_for = requests.select("reservation_id").distinct()
+    asked_lines = details.join(asked_for, "reservation_id", "left_semi")
+    has_lines = asked_lines.select("reservation_id").distinct().withColumn("has_lines", F.lit(True))
     own_lines = (
-        details.where("room_id IS NOT NULL")
+        asked_lines.where("room_id IS NOT NULL")
         .groupBy("reservation_id", "room_id")
         .agg(F.count("*").alias("own_lines"))
     )
@@ -295,7 +297,7 @@ def registered_guests(decisions: DataFrame, details: DataFrame, guests: DataFram
 
     They go to the reservation's lowest detail line; rows already there are skipped.
     """
-    won = decisions.where("status = 200")
+    won = cut_lineage(decisions.where("status = 200"))
     lines = details.groupBy("reservation_id").agg(F.min("id").alias("room_reservation_id"))
     payers = won.select("reservation_id", F.col("payer_id").alias("guest_id"))
     listed = won.select("reservation_id", F.explode("guest_ids").alias("guest_id")).join(
@@ -330,32 +332,35 @@ def unassigned(reservations: DataFrame, details: DataFrame) -> DataFrame:
 _ASSIGNED = "reservation_id bigint, hotel_id bigint, room_category_id bigint, room_id bigint"
 
 
-def _assign_group(key, asked: pd.DataFrame, gaps: pd.DataFrame) -> pd.DataFrame:
-    """Lowest room with a gap around the dates; the gap is cut so that stays keep a day apart."""
-    asked = asked.sort_values(["requested_at", "reservation_id"])
-    room = gaps["room_id"].to_numpy(dtype="int64")
-    opens = gaps["opens"].to_numpy(dtype="int64")
-    closes = gaps["closes"].to_numpy(dtype="int64")
-    chosen = []
-    for first, last in zip(asked["first_day"].to_numpy(), asked["last_day"].to_numpy()):
-        fits = np.flatnonzero((opens <= first) & (closes >= last))
+class OpenRooms:
+    """Free gaps of a hotel and category's rooms, as day numbers."""
+
+    def __init__(self, _row):
+        self.gathered: list[tuple[int, int, int]] = []
+        self.room = None
+
+    def take(self, first: int, last: int) -> int | None:
+        """The lowest room with a gap around the dates; the gap is cut so stays keep a day apart."""
+        if self.room is None:
+            columns = np.array(self.gathered, dtype="int64").reshape(-1, 3).T
+            self.room, self.opens, self.closes = (column.copy() for column in columns)
+        fits = np.flatnonzero((self.opens <= first) & (self.closes >= last))
         if not len(fits):
-            chosen.append(None)
-            continue
-        spot = fits[np.argmin(room[fits])]
-        chosen.append(int(room[spot]))
-        room = np.append(room, room[spot])
-        opens = np.append(opens, last + 1)
-        closes = np.append(closes, closes[spot])
-        closes[spot] = first - 1
-    return pd.DataFrame(
-        {
-            "reservation_id": asked["reservation_id"],
-            "hotel_id": key[0],
-            "room_category_id": key[1],
-            "room_id": pd.array(chosen, dtype="Int64"),
-        }
-    )
+            return None
+        spot = fits[np.argmin(self.room[fits])]
+        self.room = np.append(self.room, self.room[spot])
+        self.opens = np.append(self.opens, last + 1)
+        self.closes = np.append(self.closes, self.closes[spot])
+        self.closes[spot] = first - 1
+        return int(self.room[spot])
+
+
+def _assign(rooms: OpenRooms, row):
+    """Gap rows sort first and fill the state; reservation rows are answered from it."""
+    if row.is_request:
+        return row.number, row.hotel_id, row.room_category_id, rooms.take(row.first_day, row.last_day)
+    rooms.gathered.append((row.number, row.first_day, row.last_day))
+    return None
 
 
 def assign_free_rooms(
@@ -374,8 +379,7 @@ def assign_free_rooms(
     """
     order = ["requested_at", "reservation_id"]
     occupied = stays.where("room_id IS NOT NULL").select("room_id", *DATES)
-    numbered = _chunked(rooms, room_chunk)
-    last_chunk = numbered.agg(F.max("chunk")).first()[0] or 0
+    in_chunks = has_large_key(rooms, ["hotel_id", "categories_room_id"], room_chunk)
 
     def place(pending: DataFrame, chunk: DataFrame) -> DataFrame:
         placed_rooms = chunk.select(
@@ -389,20 +393,33 @@ def assign_free_rooms(
             gaps = (
                 free_gaps(chunk, state.join(placed_rooms, "room_id", "left_semi"), CLOSED)
                 .join(placed_rooms, "room_id")
-                .select(*CATEGORY_KEY, "room_id", day_number("gap_start").alias("opens"), day_number("gap_end").alias("closes"))
                 .join(waiting.select(*CATEGORY_KEY).distinct(), CATEGORY_KEY, "left_semi")
+                .select(
+                    *CATEGORY_KEY,
+                    F.lit(False).alias("is_request"),
+                    F.lit(None).cast("timestamp_ntz").alias("requested_at"),
+                    F.col("room_id").alias("number"),
+                    day_number("gap_start").alias("first_day"),
+                    day_number("gap_end").alias("last_day"),
+                )
             )
-            asked_days = waiting.select(
-                "reservation_id",
-                "requested_at",
+            requests = waiting.select(
                 *CATEGORY_KEY,
+                F.lit(True).alias("is_request"),
+                "requested_at",
+                F.col("reservation_id").alias("number"),
                 day_number("start_date").alias("first_day"),
                 day_number("end_date").alias("last_day"),
             )
-            return (
-                asked_days.groupBy(*CATEGORY_KEY)
-                .cogroup(gaps.groupBy(*CATEGORY_KEY))
-                .applyInPandas(_assign_group, _ASSIGNED)
+            rows = gaps.unionByName(requests)
+            return fold_sorted(
+                rows,
+                CATEGORY_KEY,
+                ["is_request", "requested_at", "number"],
+                ["is_request", "number", "first_day", "last_day"],
+                _ASSIGNED,
+                OpenRooms,
+                _assign,
             )
 
         def advance(state, decided):
@@ -415,8 +432,10 @@ def assign_free_rooms(
             pending, occupied, CATEGORY_KEY, order, prepare, decide, advance, block_rows=block_rows
         )
 
-    if last_chunk == 0:
-        return place(asked, numbered)
+    if not in_chunks:
+        return place(asked, rooms)
+    numbered = cut_lineage(_chunked(rooms, room_chunk))
+    last_chunk = numbered.agg(F.max("chunk")).first()[0]
     pending, done = cut_lineage(asked), []
     for number in range(last_chunk + 1):
         decided = cut_lineage(place(pending, numbered.where(F.col("chunk") == number)))

@@ -20,20 +20,27 @@ class HotelData:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}.parquet")
+        if table not in self._raw:
+            self._raw[table] = self.spark.read.parquet(f"{self.path}/{table}.parquet")
+        return self._raw[table]
 
     def _values(self, rows: str, ddl: str) -> DataFrame:
         names = [part.split()[0] for part in ddl.split(", ")]
         casts = [f"CAST({part.split()[0]} AS {part.split()[1]}) AS {part.split()[0]}" for part in ddl.split(", ")]
         return self.spark.sql(f"SELECT {', '.join(casts)} FROM VALUES {rows} AS t({', '.join(names)})")
 
+    # Row counts come from the Parquet footers, so asking for them up front is cheap.
+
+    @cached_property
     def _hotel_count(self) -> Column:
-        return self.raw("supplier").agg(F.count("*")).scalar()
+        return F.lit(self.raw("supplier").count())
 
+    @cached_property
     def _guest_count(self) -> Column:
-        return self.raw("customer").agg(F.count("*")).scalar()
+        return F.lit(self.raw("customer").count())
 
     @cached_property
     def cities(self) -> DataFrame:
@@ -101,7 +108,7 @@ class HotelData:
 
     @cached_property
     def rooms(self) -> DataFrame:
-        keyed = self.raw("part").withColumn("nh", self._hotel_count())
+        keyed = self.raw("part").withColumn("nh", self._hotel_count)
         return keyed.where("p_partkey % nh % 25 <> 24").select(
             (F.col("p_partkey") + 1).alias("id"),
             F.expr("p_partkey % nh + 1").alias("hotel_id"),
@@ -128,7 +135,7 @@ class HotelData:
 
     @cached_property
     def reservations(self) -> DataFrame:
-        keyed = self.raw("orders").withColumn("nh", self._hotel_count())
+        keyed = self.raw("orders").withColumn("nh", self._hotel_count)
         dated = keyed.withColumn(
             "start_date",
             F.expr(f"date_add({BASE_DATE}, pmod(datediff(o_orderdate, DATE'1995-01-01'), 90))"),
@@ -154,7 +161,7 @@ class HotelData:
             self.raw("lineitem")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(F.min("l_partkey").alias("pk"), F.min("l_quantity").alias("q"))
-            .withColumn("nh", self._hotel_count())
+            .withColumn("nh", self._hotel_count)
             .withColumn("k", F.expr("pk DIV nh"))
         )
         orders = self.raw("orders").select("o_orderkey", "o_custkey")
@@ -171,7 +178,7 @@ class HotelData:
 
     @cached_property
     def room_reservation_guests(self) -> DataFrame:
-        keyed = self.raw("lineitem").withColumn("ng", self._guest_count())
+        keyed = self.raw("lineitem").withColumn("ng", self._guest_count)
         return keyed.select(
             F.expr("l_orderkey * 8 + l_linenumber").alias("room_reservation_id"),
             F.expr("(l_orderkey + l_suppkey) % ng + 1").alias("guest_id"),
@@ -253,7 +260,7 @@ class HotelData:
     @cached_property
     def hotel_changes(self) -> DataFrame:
         """Edits keyed by hotel; the last one per hotel counts and some name no known hotel."""
-        keyed = self.raw("customer").withColumn("nh", self._hotel_count())
+        keyed = self.raw("customer").withColumn("nh", self._hotel_count)
         return keyed.select(
             F.col("c_custkey").alias("change_id"),
             F.expr("c_custkey % (nh + 5) + 1").alias("hotel_id"),
@@ -270,7 +277,7 @@ class HotelData:
     @cached_property
     def registration_requests(self) -> DataFrame:
         """Unplaced bookings asking for one of their hotel's rooms by row order of creation."""
-        nh = self._hotel_count()
+        nh = self._hotel_count
         lines = self.details_reservations.groupBy("reservation_id").agg(
             F.count("room_id").alias("held"), F.min("id").alias("detail_id")
         )
@@ -325,7 +332,7 @@ class HotelData:
     @cached_property
     def incoming_tables(self) -> dict[str, DataFrame]:
         """Rows offered for loading, faults included: requests and changes in the shape of the tables."""
-        nh = self._hotel_count()
+        nh = self._hotel_count
         offered = dict(self.base_tables)
         offered["payments"] = self.raw("events").select(
             F.expr("event_id DIV 2").alias("id"),
