@@ -355,8 +355,8 @@ def room_conflicts(stays: DataFrame) -> DataFrame:
     """Per active reservation and room: how many stays of others overlap, and one of them.
 
     Lists no pairs. The count comes from running day counts. The named reservation is the lowest
-    overlapping id, or the highest when the lowest is the reservation itself; both are read from
-    the nights a room is shared. A stay without a night (``start = end``) clashes only with stays
+    overlapping id where that is below its own, else the highest; both are read from the nights a
+    room is shared. A stay without a night (``start = end``) clashes only with stays
     that hold both the night before and the night after it: those past their first night.
     """
     on_rooms = stays.where("room_id IS NOT NULL")
@@ -399,7 +399,7 @@ def room_conflicts(stays: DataFrame) -> DataFrame:
     others = F.when(solid, F.col("overlapping") - F.col("lines")).otherwise(
         F.col("overlapping") + F.col("empty_lines")
     )
-    named = F.when(F.col("low") != F.col("reservation_id"), F.col("low")).otherwise(F.col("high"))
+    named = F.when(F.col("low") < F.col("reservation_id"), F.col("low")).otherwise(F.col("high"))
     return (
         counted.join(seen, ["reservation_id", "room_id"])
         .withColumn("conflicts", others)
