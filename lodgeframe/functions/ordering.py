@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(lodgeframe)
 
 ID_BLOCK = 1 << 16
 SALTS = 256
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 200_000
 
 
 def rank_by_id(df: DataFrame, keys: list[str], id_column: str, into: str, block: int = ID_BLOCK) -> DataFrame:
