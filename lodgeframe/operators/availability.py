@@ -171,11 +171,12 @@ def _room_gaps(windows: DataFrame, rooms: DataFrame, stays: DataFrame, bounds: s
     )
 
 
-def free_rooms(windows: DataFrame, rooms: DataFrame, stays: DataFrame, bounds: str = HALF_OPEN) -> DataFrame:
-    """Adds ``free_count`` and the lowest ``free_room_id`` to each distinct window.
+def room_reach(windows: DataFrame, rooms: DataFrame, stays: DataFrame, bounds: str = HALF_OPEN) -> DataFrame:
+    """``free_count`` and the lowest ``free_room_id`` for (hotel, category, start, end).
 
-    A room serves a window when one gap covers it. Gaps are counted per start day and gap end, so
-    the ordered rows per (hotel, category, start) are bounded by the calendar, not by the rooms.
+    Holds every asked window, repeated or not in the input, and some others. A room serves a window
+    when one gap covers it. Gaps are counted per start day and gap end, so the ordered rows per
+    (hotel, category, start) are bounded by the calendar, not by the rooms.
     """
     gaps = _room_gaps(windows, rooms, stays, bounds).select(
         *CATEGORY_KEY, "start_date", F.col("gap_end").alias("day"), F.lit(1).alias("found"), "room_id"
@@ -197,14 +198,18 @@ def free_rooms(windows: DataFrame, rooms: DataFrame, stays: DataFrame, bounds: s
         .orderBy(F.desc("day"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    reach = steps.select(
+    return steps.select(
         *CATEGORY_KEY,
         "start_date",
         F.col("day").alias("end_date"),
         F.sum("found").over(lasting).alias("free_count"),
         F.min("room_id").over(lasting).alias("free_room_id"),
     )
-    return windows.join(reach, [*CATEGORY_KEY, *DATES])
+
+
+def free_rooms(windows: DataFrame, rooms: DataFrame, stays: DataFrame, bounds: str = HALF_OPEN) -> DataFrame:
+    """Adds ``free_count`` and the lowest ``free_room_id`` to each window."""
+    return windows.join(room_reach(windows, rooms, stays, bounds), [*CATEGORY_KEY, *DATES])
 
 
 def candidate_rooms(
@@ -294,7 +299,7 @@ def room_summary(requests: DataFrame, rooms: DataFrame, stays: DataFrame) -> Dat
     """Total, free and occupied rooms by assigned room; no rooms means 0 total and NULL sums."""
     windows = search_windows(requests)
     found = windows.join(room_totals(rooms), CATEGORY_KEY, "left").join(
-        free_rooms(windows, rooms, stays).drop("free_room_id"), [*CATEGORY_KEY, *DATES], "left"
+        room_reach(windows, rooms, stays).drop("free_room_id"), [*CATEGORY_KEY, *DATES], "left"
     )
     free = F.when(F.col("total_rooms").isNotNull(), F.coalesce("free_count", F.lit(0)))
     return found.select(
@@ -315,6 +320,27 @@ def first_free_room(requests: DataFrame, rooms: DataFrame, stays: DataFrame, bou
     )
 
 
+def lone_stays(stays: DataFrame) -> DataFrame:
+    """``room_id, reservation_id`` where no other reservation touches the stay (closed rule).
+
+    Equal dates in a room shrink to one row first, which bounds the ordered rows by the calendar.
+    """
+    spans = (
+        stays.where("room_id IS NOT NULL")
+        .groupBy("room_id", *DATES)
+        .agg(F.min("reservation_id").alias("reservation_id"), F.max("reservation_id").alias("last_reservation"))
+    )
+    in_room = Window.partitionBy("room_id").orderBy(*DATES)
+    earlier = F.max("end_date").over(in_room.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.lead("start_date").over(in_room)
+    return (
+        spans.withColumns({"earlier": earlier, "later": later})
+        .where("coalesce(earlier < start_date, true) AND coalesce(later > end_date, true)")
+        .where("reservation_id = last_reservation")
+        .select("room_id", "reservation_id")
+    )
+
+
 def free_room_for_reservation(
     reservations: DataFrame, details: DataFrame, rooms: DataFrame, stays: DataFrame
 ) -> DataFrame:
@@ -327,19 +353,13 @@ def free_room_for_reservation(
         )
         .select("reservation_id", *CATEGORY_KEY, *DATES)
     )
-    free = free_rooms(asked.select(*CATEGORY_KEY, *DATES).distinct(), rooms, stays, CLOSED)
+    free = room_reach(asked.select(*CATEGORY_KEY, *DATES), rooms, stays, CLOSED)
     # A reservation's own rooms look taken above; they are free when only its own lines touch them.
-    own = (
-        stays.where("room_id IS NOT NULL")
-        .groupBy("reservation_id", "room_id", *DATES)
-        .agg(F.count("*").alias("own_lines"))
-    )
     placed = rooms.select(
         F.col("id").alias("room_id"), "hotel_id", F.col("categories_room_id").alias("room_category_id")
     )
     kept = (
-        count_overlaps(own, stays.where("room_id IS NOT NULL"), ["room_id"], CLOSED, into="touching")
-        .where("touching = own_lines")
+        lone_stays(stays)
         .join(placed, "room_id")
         .groupBy("reservation_id", *CATEGORY_KEY)
         .agg(F.min("room_id").alias("own_room_id"))

@@ -239,7 +239,8 @@ def register_guests(
     unknown = F.col("hotel_id").isNull()
     foreign_room = F.col("room_hotel_id").isNull() | (F.col("room_hotel_id") != F.col("hotel_id"))
     no_lines = F.col("has_lines").isNull()
-    looked_up = (
+    # Saved once: the first request per reservation, the folds and the answers all read it.
+    looked_up = cut_lineage(
         requests.join(wanted, "reservation_id", "left")
         .join(rooms.select(F.col("id").alias("room_id"), F.col("hotel_id").alias("room_hotel_id")), "room_id", "left")
         .join(has_lines, "reservation_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodgeframe.functions import pricing
 from lodgeframe.functions.ordering import BLOCK_ROWS, fold_sorted, ordered_fold
 from lodgeframe.schemas import PAYMENT_METHODS
+from lodgeframe.session import cut_lineage
 
 ARRIVAL = ["requested_at", "request_id"]
 OUTCOME = [
@@ -118,7 +119,8 @@ def check_payments(requests: DataFrame, reservations: DataFrame) -> DataFrame:
     unknown = F.col("payer_id").isNull()
     settled = F.col("payments_status") == "paid"
     bad = lacking | negative | odd_method
-    looked_up = (
+    # Saved once: the first request per reservation, the folds and the answers all read it.
+    looked_up = cut_lineage(
         requests.withColumn("method", method)
         .join(found, "reservation_id", "left")
         .withColumns(

@@ -50,27 +50,32 @@ def broken_references(tables: dict[str, DataFrame], rules: list[tuple[str, str,
 
 
 def duplicate_keys(tables: dict[str, DataFrame], rules: list[tuple[str, list[str]]] = UNIQUE_KEYS) -> DataFrame:
-    """Key values used by more than one row; keys with an absent part never collide."""
+    """Key values used by more than one row; keys with an absent part never collide.
+
+    All keys of a table are read in one pass, as text parts so that unlike keys share the shuffle.
+    """
     parts = []
-    for table, columns in rules:
-        if table not in tables:
-            continue
-        whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
-        text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    for table in dict.fromkeys(rule[0] for rule in rules if rule[0] in tables):
+        keys = []
+        for owner, columns in rules:
+            if owner == table:
+                whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+                values = F.array(*[F.col(c).cast("string") for c in columns])
+                keys.append(
+                    F.when(whole, F.struct(F.lit(",".join(columns)).alias("key_columns"), values.alias("key_parts")))
+                )
         parts.append(
             tables[table]
-            .where(whole)
-            .groupBy(*columns)
-            .agg(F.count("*").alias("rows_found"))
-            .where("rows_found > 1")
-            .select(
-                F.lit(table).alias("table_name"),
-                F.lit(",".join(columns)).alias("key_columns"),
-                text.alias("key_value"),
-                "rows_found",
-            )
+            .select(F.lit(table).alias("table_name"), F.explode(F.array_compact(F.array(*keys))).alias("k"))
+            .select("table_name", "k.*")
         )
-    return _union(parts)
+    return (
+        _union(parts)
+        .groupBy("table_name", "key_columns", "key_parts")
+        .agg(F.count("*").alias("rows_found"))
+        .where("rows_found > 1")
+        .select("table_name", "key_columns", F.array_join("key_parts", "|").alias("key_value"), "rows_found")
+    )
 
 
 def duplicate_present_keys(tables: dict[str, DataFrame]) -> DataFrame:
