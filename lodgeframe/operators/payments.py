@@ -104,11 +104,8 @@ def ladder_text(cards: DataFrame) -> DataFrame:
     return card_table(cards).select(line)
 
 
-def check_payments(requests: DataFrame, reservations: DataFrame) -> DataFrame:
-    """Adds payer, ``status`` and ``error`` from input checks, unknown and already paid reservations.
-
-    Of several requests for one unpaid reservation the earliest valid one pays; the rest find it paid.
-    """
+def look_up_payments(requests: DataFrame, reservations: DataFrame) -> DataFrame:
+    """Adds payer, ``status`` and ``error`` from input checks, unknown and already paid reservations."""
     found = reservations.select(F.col("id").alias("reservation_id"), "payer_id", "payments_status")
     method = F.coalesce("method", F.lit("card"))
     lacking = F.col("reservation_id").isNull() | (F.col("reservation_id") == 0) | F.col("amount").isNull() | (
@@ -119,8 +116,7 @@ def check_payments(requests: DataFrame, reservations: DataFrame) -> DataFrame:
     unknown = F.col("payer_id").isNull()
     settled = F.col("payments_status") == "paid"
     bad = lacking | negative | odd_method
-    # Saved once: the first request per reservation, the folds and the answers all read it.
-    looked_up = cut_lineage(
+    return (
         requests.withColumn("method", method)
         .join(found, "reservation_id", "left")
         .withColumns(
@@ -134,6 +130,12 @@ def check_payments(requests: DataFrame, reservations: DataFrame) -> DataFrame:
             }
         )
     )
+
+
+def check_payments(requests: DataFrame, reservations: DataFrame) -> DataFrame:
+    """The same, and of several requests for one unpaid reservation only the earliest valid one pays."""
+    # Saved once: the first request per reservation, the folds and the answers all read it.
+    looked_up = cut_lineage(look_up_payments(requests, reservations))
     first = (
         looked_up.where("status = 0").groupBy("reservation_id").agg(F.min(F.struct(*ARRIVAL)).alias("first_request"))
     )

@@ -65,6 +65,8 @@ REFERENCE_TABLES = [
 BRANCH_TABLES = ["rooms", "employees", "reservations", "details_reservations", "amenities", "payments"]
 BRANCHES = ["filial1", "filial2", "filial3"]
 CENTRAL = "central"
+# The node that owns each city; every other city belongs to the centre.
+CITY_NODES = [("Москва", "filial1"), ("Санкт-Петербург", "filial2"), ("Казань", "filial3")]
 
 # Fixed values: (child table, column, parent table); every parent key is ``id``.
 FOREIGN_KEYS = [

@@ -1,21 +1,24 @@
 """Booking and payment requests decided as they arrive.
 
-Each micro-batch runs the batch operator over the tables on record plus what earlier batches
-decided. Decisions go to a folder per batch, so a repeated batch replaces its own output.
+Bookings: each micro-batch runs the batch operator over the stays on record plus what earlier
+batches accepted; decisions go to a folder per batch, so a repeated batch replaces its own output.
+Payments: points, card and paid reservations are kept per payer in the state store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from lodgeframe.operators.availability import CATEGORY_KEY, DATES
 from lodgeframe.operators.booking import create_bookings
-from lodgeframe.operators.payments import paid_reservations, payer_balances, process_payments
+from lodgeframe.operators.payments import ladder_text, look_up_payments, settle_payment, start_account
 from lodgeframe.schemas import struct
 from lodgeframe.sources.store import read_log
 
@@ -24,13 +27,6 @@ BOOKING_DECISION = struct(
     "start_date DATE, end_date DATE, total_guests INT, node STRING, status INT, error STRING, "
     "total_price DECIMAL(12,2)"
 )
-PAYMENT_OUTCOME = struct(
-    "request_id BIGINT, requested_at TIMESTAMP_NTZ, reservation_id BIGINT, payer_id BIGINT, method STRING, "
-    "status INT, error STRING, final_amount DECIMAL(12,2), bonus_points_added BIGINT, points_after BIGINT, "
-    "card_after BIGINT"
-)
-
-
 def _earlier(spark: SparkSession, out: str, declared: StructType, batch: int) -> DataFrame:
     if batch == 0:
         return spark.createDataFrame([], declared)
@@ -71,6 +67,85 @@ def book_stream(
     return _run(requests, decide, out, checkpoint)
 
 
+_ACCOUNT = "points BIGINT, card BIGINT, paid ARRAY<BIGINT>"
+_ANSWER = (
+    "request_id BIGINT, requested_at TIMESTAMP_NTZ, reservation_id BIGINT, payer_id BIGINT, method STRING, "
+    "status INT, error STRING, cents BIGINT, earned BIGINT, points BIGINT, card BIGINT"
+)
+
+
+def _settle_micro_batch(_key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """A payer's payments of one micro-batch, in order, on top of the account kept in the state."""
+    rows = pd.concat(list(batches)).sort_values(["requested_at", "request_id"])
+    first = next(rows.itertuples(index=False))
+    points, card, ladder = start_account(first)
+    paid: set[int] = set()
+    if state.exists:
+        points, kept, numbers = state.get
+        card, paid = (None if kept < 0 else kept), set(numbers)
+    account = [points, card, ladder]
+    answers = []
+    for row in rows.itertuples(index=False):
+        given = (row.request_id, row.requested_at, row.reservation_id, row.payer_id, row.method)
+        if row.status:
+            answers.append((*given, row.status, row.error, None, None, None, None))
+        elif row.reservation_id in paid:
+            answers.append((*given, 400, "Reservation already paid", None, None, None, None))
+        else:
+            paid.add(row.reservation_id)
+            answers.append((*given, 200, None, *settle_payment(account, row)[2:]))
+    state.update((account[0], -1 if account[1] is None else account[1], sorted(paid)))
+    names = [part.split()[0] for part in _ANSWER.split(", ")]
+    out = pd.DataFrame(answers, columns=names)
+    counts = ["cents", "earned", "points", "card"]
+    yield out.astype(dict.fromkeys(counts, "Int64"))
+
+
+def settled_payments(requests: DataFrame, reservations: DataFrame, guests: DataFrame, cards: DataFrame) -> DataFrame:
+    """Payment outcomes of a stream of requests; accounts live in the state store, one per payer.
+
+    The state holds a payer's points, card and the reservations paid on this stream. Requests must
+    arrive in time order from batch to batch; within a batch they are put in order. Requests
+    without a payer's account are answered without state.
+    """
+    ladder = ladder_text(cards).scalar()
+    accounts = guests.select(
+        F.col("id").alias("payer_id"),
+        F.coalesce("bonus_points", F.lit(0)).cast("bigint").alias("bonus_points"),
+        F.coalesce("loyalty_card_id", F.lit(-1)).cast("bigint").alias("loyalty_card_id"),
+    )
+    checked = look_up_payments(requests, reservations).withColumn("cents", (F.col("amount") * 100).cast("bigint"))
+    looked_up = checked.join(accounts, "payer_id", "left")
+    owned = looked_up.where("bonus_points IS NOT NULL").withColumn("ladder", ladder)
+    settled = owned.groupBy("payer_id").applyInPandasWithState(
+        _settle_micro_batch, _ANSWER, _ACCOUNT, "append", GroupStateTimeout.NoTimeout
+    )
+    unsettled = F.col("status") == 0
+    unowned = looked_up.where("bonus_points IS NULL").select(
+        "request_id",
+        "requested_at",
+        "reservation_id",
+        "payer_id",
+        "method",
+        F.when(unsettled, 404).otherwise(F.col("status")).alias("status"),
+        F.when(unsettled, "Reservation not found").otherwise(F.col("error")).alias("error"),
+        *[F.lit(None).cast("bigint").alias(name) for name in ("cents", "earned", "points", "card")],
+    )
+    return settled.union(unowned).select(
+        "request_id",
+        "requested_at",
+        "reservation_id",
+        "payer_id",
+        "method",
+        "status",
+        "error",
+        (F.col("cents") / F.lit(100).cast("decimal(3,0)")).cast("decimal(12,2)").alias("final_amount"),
+        F.col("earned").alias("bonus_points_added"),
+        F.col("points").alias("points_after"),
+        F.nullif("card", F.lit(-1)).alias("card_after"),
+    )
+
+
 def pay_stream(
     requests: DataFrame,
     reservations: DataFrame,
@@ -79,21 +154,12 @@ def pay_stream(
     out: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    spark = reservations.sparkSession
-
-    def decide(batch: DataFrame, number: int) -> DataFrame:
-        earlier = _earlier(spark, out, PAYMENT_OUTCOME, number)
-        balances = payer_balances(earlier).select(
-            F.col("payer_id").alias("id"),
-            F.col("bonus_points").alias("new_points"),
-            F.col("loyalty_card_id").alias("new_card"),
-        )
-        accounts = guests.select("id", "bonus_points", "loyalty_card_id").join(balances, "id", "left").select(
-            "id",
-            F.coalesce("new_points", "bonus_points").alias("bonus_points"),
-            F.coalesce("new_card", "loyalty_card_id").alias("loyalty_card_id"),
-        )
-        outcome = process_payments(batch, paid_reservations(reservations, earlier), accounts, cards)
-        return outcome.select(*PAYMENT_OUTCOME.fieldNames())
-
-    return _run(requests, decide, out, checkpoint)
+    return (
+        settled_payments(requests, reservations, guests, cards)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from lodgeframe.functions import pricing
 from lodgeframe.operators import availability, hotels, quality, reservations
+from lodgeframe.schemas import CITY_NODES
 
 # The sample chain.
 CITIES = [(1, "Москва", "RUS"), (2, "Санкт-Петербург", "RUS"), (3, "Казань", "RUS")]
-CITY_NODES = [("Москва", "filial1"), ("Санкт-Петербург", "filial2"), ("Казань", "filial3")]
 STARS = [(1, 3, Decimal("1.00")), (2, 4, Decimal("1.25")), (3, 5, Decimal("1.50"))]
 KINDS = [
     (1, "Стандарт", 2, Decimal("3500.00"), "Базовый двухместный номер"),
@@ -19,9 +19,9 @@ KINDS = [
     (3, "Люкс", 4, Decimal("9000.00"), "Высшая категория комфорта"),
 ]
 HOTELS = [
-    (1, "Hotel Central Moscow", 1, 1, Decimal("1.25")),
-    (2, "Neva Palace", 2, 2, Decimal("1.15")),
-    (3, "Kazan Grand", 3, 3, Decimal("1.10")),
+    (1, "First", 1, 1, Decimal("1.25")),
+    (2, "Second", 2, 2, Decimal("1.15")),
+    (3, "Third", 3, 3, Decimal("1.10")),
 ]
 ROOMS = [
     (1, 1, 1, "101"),
