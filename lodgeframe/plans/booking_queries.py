@@ -170,7 +170,8 @@ _REGISTER_TABLES = "registration_requests reservations rooms active_stays guests
 _PAID = """
     found AS (
         SELECT q.*, r.payer_id, r.payments_status,
-               CASE WHEN r.payer_id IS NULL THEN 404 WHEN r.payments_status = 'paid' THEN 400 ELSE 0 END AS code
+               CASE WHEN q.amount = 0 THEN 400 WHEN r.payer_id IS NULL THEN 404
+                    WHEN r.payments_status = 'paid' THEN 400 ELSE 0 END AS code
         FROM payment_requests q LEFT JOIN reservations r ON r.id = q.reservation_id),
     ranked AS (
         SELECT *, CASE WHEN code = 0 THEN row_number() OVER (PARTITION BY reservation_id, code
@@ -199,7 +200,8 @@ _PAID = """
     outcome AS (
         SELECT w.request_id, w.reservation_id, w.payer_id, w.method,
                CASE WHEN w.turn = 1 THEN 200 WHEN w.code = 0 THEN 400 ELSE w.code END AS status,
-               CASE WHEN w.turn = 1 THEN NULL WHEN w.code = 404 THEN 'Reservation not found'
+               CASE WHEN w.turn = 1 THEN NULL WHEN w.amount = 0 THEN 'Missing required fields'
+                    WHEN w.code = 404 THEN 'Reservation not found'
                     ELSE 'Reservation already paid' END AS error,
                CAST(f.paid / 100.0 AS DECIMAL(12,2)) AS final_amount, f.earned AS bonus_points_added,
                f.points AS points_after, f.card AS card_after
