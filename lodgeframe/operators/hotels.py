@@ -235,9 +235,20 @@ def city_hotel_stats(cities: DataFrame, hotels: DataFrame, categories_hotel: Dat
     )
 
 
-def network_totals(city_counts: DataFrame, count_column: str) -> DataFrame:
-    return city_counts.agg(
-        F.count("*").alias("cities"), F.coalesce(F.sum(count_column), F.lit(0)).alias(f"total_{count_column}")
+def network_totals(hotel_counts: DataFrame, reservation_counts: DataFrame) -> DataFrame:
+    """Cities and sums of the per-city hotel and active-reservation counts, as one row."""
+    both = hotel_counts.select(F.lit(True).alias("of_hotels"), F.col("hotels_count").alias("n")).union(
+        reservation_counts.select(F.lit(False), "reservations_count")
+    )
+
+    def total(of_hotels: bool):
+        return F.coalesce(F.sum(F.when(F.col("of_hotels") == of_hotels, F.col("n"))), F.lit(0))
+
+    return both.agg(
+        F.count_if("of_hotels").alias("cities"),
+        total(True).alias("total_hotels_count"),
+        F.count_if(~F.col("of_hotels")).alias("cities_served"),
+        total(False).alias("total_reservations_count"),
     )
 
 

@@ -11,18 +11,6 @@ from lodgeframe.schemas import PAYMENT_METHODS
 from lodgeframe.session import cut_lineage
 
 ARRIVAL = ["requested_at", "request_id"]
-OUTCOME = [
-    "request_id",
-    "reservation_id",
-    "payer_id",
-    "method",
-    "status",
-    "error",
-    "final_amount",
-    "bonus_points_added",
-    "points_after",
-    "card_after",
-]
 
 
 def card_table(cards: DataFrame) -> DataFrame:

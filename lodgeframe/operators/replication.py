@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgeframe.schemas import BRANCHES, CENTRAL
+from lodgeframe.schemas import BRANCHES
 
 FEED = ["seq", "ts", "origin", "op", "key"]
 RECENCY = ["ts", "origin", "seq"]
@@ -111,6 +111,3 @@ def fragment_parity(branch: DataFrame, centre: DataFrame, table: str) -> DataFra
         F.count_if(F.col("at_centre").isNull()).alias("missing_at_centre"),
         F.count_if(F.col("at_branch").isNull()).alias("only_at_centre"),
     ).select(F.lit(table).alias("table_name"), "node", "matched", "missing_at_centre", "only_at_centre")
-
-
-NODES = [*BRANCHES, CENTRAL]

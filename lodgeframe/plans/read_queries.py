@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lodgeframe.operators import hotels as H
 from lodgeframe.operators import reservations as R
 from lodgeframe.plans.domain_sql import over
@@ -38,9 +36,7 @@ def _reservation_counts(d):
 
 
 def _network(d):
-    hotels = H.network_totals(H.cities_hotel_counts(d.cities, d.hotels), "hotels_count")
-    stays = H.network_totals(_reservation_counts(d), "reservations_count")
-    return hotels.crossJoin(stays.withColumnRenamed("cities", "cities_served"))
+    return H.network_totals(H.cities_hotel_counts(d.cities, d.hotels), _reservation_counts(d))
 
 
 def _wide(d):

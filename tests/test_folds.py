@@ -131,7 +131,7 @@ def test_payments_carry_points_and_card(spark, block_rows):
         cents = rng.choice([0, -500, 995, 12345, 4_000_050, 25_000_000])
         requests.append((number, at, rng.randrange(1, 131), Decimal(cents) / 100, rng.choice(["cash", "card", "coin"])))
     guests = [(n, None if n % 2 else 3, 900 * (n % 3)) for n in range(1, 7)]
-    got = payments.process_payments(
+    outcomes = payments.process_payments(
         spark.createDataFrame(
             requests,
             "request_id long, requested_at timestamp_ntz, reservation_id long, amount decimal(12,2), method string",
@@ -143,7 +143,8 @@ def test_payments_carry_points_and_card(spark, block_rows):
             "id long, req_bonus_amount int, discount decimal(5,2)",
         ),
         block_rows,
-    ).collect()
+    )
+    got = outcomes.collect()
     owner = {n: p for n, p, _, _ in reservations}
     paid = {n for n, _, s, _ in reservations if s == "paid"}
     accounts = {n: [points, card] for n, card, points in guests}
@@ -167,6 +168,9 @@ def test_payments_carry_points_and_card(spark, block_rows):
             accounts[owner[reservation]] = [points, card]
             expected[number] = (200, due, points, card)
     assert {r.request_id: (r.status, r.final_amount, r.points_after, r.card_after) for r in got} == expected
+    payers = {r.payer_id for r in got if r.status == 200}
+    balances = {r.payer_id: [r.bonus_points, r.loyalty_card_id] for r in payments.payer_balances(outcomes).collect()}
+    assert balances == {payer: accounts[payer] for payer in payers}
 
 
 def test_ranks_and_strided_ids(spark):
