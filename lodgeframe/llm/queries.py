@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import simhash
+from lodgeframe.llm import packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> bytes:
+    """The word tokenizer's file, read where the job is started and sent to the tasks."""
+    return Path(public_tokenizers.path("word_bpe_49k.json")).read_bytes()
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -21,8 +29,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
