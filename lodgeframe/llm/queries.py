@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import packing, simhash
+from lodgeframe.llm import language_id, packing, simhash
+from lodgeframe.llm.samples import is_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +30,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~is_fold("doc_id", 4, 2)))
+    return language_id.predict(docs, net).select(
+        F.col("id").alias("doc_id"), is_fold("id", 4, 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_language_id": op3_language_id,
     "op10_packing": op10_packing,
 }
 
