@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, language_id, packing, simhash
+from lodgeframe.llm import bpe, language_id, packing, simhash, toxicity
 from lodgeframe.llm.samples import is_fold
 
 
@@ -44,6 +44,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(~is_fold("doc_id", 3, 1))
+    machine = toxicity.train(docs, labels)
+    return toxicity.predict(docs, machine).select(
+        F.col("id").alias("doc_id"),
+        is_fold("id", 3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
@@ -52,6 +64,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_language_id": op3_language_id,
     "op6_bpe": op6_bpe,
+    "op7_toxicity": op7_toxicity,
     "op10_packing": op10_packing,
 }
 
