@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, embed_dedup, language_id, packing, simhash, topk, toxicity
+from lodgeframe.llm import bpe, embed_dedup, language_id, lm_scoring, packing, simhash, topk, toxicity
 from lodgeframe.llm.samples import is_fold
 
 
@@ -61,6 +61,14 @@ WHERE rank <= 5
 """
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scoring.score_documents(_table(spark, sf_dir, "documents"), ~is_fold("doc_id", 7, 2))
+    return found.select(
+        F.col("id").alias("doc_id"), is_fold("id", 7, 2).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
     coded = bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -116,6 +124,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_language_id": op3_language_id,
     "op4_topk": op4_topk,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_embedding_dedup": op9_embedding_dedup,
