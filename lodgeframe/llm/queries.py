@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, embed_dedup, language_id, lm_scoring, packing, simhash, topk, toxicity
+from lodgeframe.llm import bpe, embed_dedup, language_id, lm_scoring, packing, simhash, topk, toxicity, url_filter
 from lodgeframe.llm.samples import is_fold
 
 
@@ -30,6 +30,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose document is labelled poor or toxic teach block, other labelled ones allow."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"),
+        F.when((F.col("quality") == 0) | (F.col("toxic") == 1), url_filter.BLOCK)
+        .when((F.col("quality") == 1) & (F.col("toxic") == 0), url_filter.ALLOW)
+        .alias("label"),
+    )
+    mined = url_filter.mine(pages.join(labels, "page_id"))
+    return url_filter.judge(pages, URL_RULES, mined).withColumnRenamed("id", "page_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     net = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~is_fold("doc_id", 4, 2)))
@@ -122,6 +138,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op4_topk": op4_topk,
     "op5_lm_scoring": op5_lm_scoring,
