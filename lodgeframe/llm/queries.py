@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, embed_dedup, language_id, lm_scoring, packing, simhash, topk, toxicity, url_filter
+from lodgeframe.llm import bpe, chat, embed_dedup, language_id, lm_scoring, packing, simhash, topk, toxicity, url_filter
 from lodgeframe.llm.samples import is_fold
 
 
@@ -103,6 +103,32 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], own.schema)
+    return chat.digests(chat.format_conversations(own.union(extra))).withColumnRenamed("id", "conv_id")
+
+
+OP8_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+    SELECT *, length(regexp_replace(role, '[\\<>#]', 'xx', 'g')) + length(regexp_replace(text, '[\\<>#]', 'xx', 'g'))
+              + length('<turn ' || '>' || chr(10) || chr(10) || '</turn>' || chr(10)) AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -144,11 +170,13 @@ QUERIES = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
+    "op8_chat": op8_chat,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLES = {
     "op4_topk": OP4_SQL,
+    "op8_chat": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
 }
