@@ -47,11 +47,13 @@ def first_rooms(rooms: DataFrame, limit: int) -> DataFrame:
 
 
 def booking_capacity(requests: DataFrame, rooms: DataFrame, stays: DataFrame) -> DataFrame:
-    """Per request: rooms of the category, overlapping detail lines and what is left, at least 0."""
-    asked = requests.where("start_date < end_date")
-    counted = count_overlaps(asked, stays, CATEGORY_KEY, into="reserved_rooms")
+    """Per request: rooms of the category, overlapping detail lines and what is left, at least 0.
+
+    A window that ends before it starts has no counts.
+    """
+    counted = count_overlaps(requests, stays, CATEGORY_KEY, into="reserved_rooms")
     total = F.coalesce("total_rooms", F.lit(0)).cast("bigint")
-    left = F.greatest(total - F.col("reserved_rooms"), F.lit(0))
+    left = F.when(F.col("reserved_rooms").isNotNull(), F.greatest(total - F.col("reserved_rooms"), F.lit(0)))
     return counted.join(room_totals(rooms), CATEGORY_KEY, "left").select(
         *requests.columns,
         (left > 0).alias("available"),
@@ -61,14 +63,46 @@ def booking_capacity(requests: DataFrame, rooms: DataFrame, stays: DataFrame) ->
     )
 
 
-def check_availability(
-    requests: DataFrame, hotels: DataFrame, categories_room: DataFrame, rooms: DataFrame, stays: DataFrame
-) -> DataFrame:
-    """Capacity, quote and the first rooms by number; windows of no length get status 400.
+def with_bad_windows(good: DataFrame, requests: DataFrame) -> DataFrame:
+    """``good`` plus a row of status 400 for each request whose dates hold no night."""
+    filled = {"status": F.lit(400), "error": F.lit(BAD_DATES)}
+    bad = requests.where("NOT coalesce(start_date < end_date, false)").select(
+        "request_id",
+        *[
+            filled.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name)
+            for field in good.schema.fields
+            if field.name != "request_id"
+        ],
+    )
+    return good.unionByName(bad)
+
+
+def with_quote(requests: DataFrame, hotels: DataFrame, categories_room: DataFrame) -> DataFrame:
+    """Adds ``total_price``, ``price_per_night`` and the category's name and capacity.
 
     The quote has no guard: a hotel without a coefficient has no price, an unknown hotel counts
     as coefficient 1 and an unknown category as price 0.
     """
+    known = hotels.select(F.col("id").alias("hotel_id"), "location_coeff_room", F.lit(True).alias("known"))
+    kinds = categories_room.select(
+        F.col("id").alias("room_category_id"), "category_name", "guests_capacity", F.col("price_per_night").alias("_price")
+    )
+    coeff = F.when(F.col("known"), F.col("location_coeff_room")).otherwise(F.lit(1).cast("decimal(5,2)"))
+    price = F.coalesce("_price", F.lit(0).cast("decimal(10,2)"))
+    length = pricing.nights(F.col("start_date"), F.col("end_date"))
+    return (
+        requests.join(known, "hotel_id", "left")
+        .join(kinds, "room_category_id", "left")
+        .withColumn("total_price", pricing.stay_price(price, coeff, length))
+        .withColumn("price_per_night", pricing.stay_price(price, coeff, F.lit(1)))
+        .drop("known", "location_coeff_room", "_price")
+    )
+
+
+def check_availability(
+    requests: DataFrame, hotels: DataFrame, categories_room: DataFrame, rooms: DataFrame, stays: DataFrame
+) -> DataFrame:
+    """Capacity, quote and the first rooms by number; windows of no length get status 400."""
     listed = (
         first_rooms(rooms, ROOM_LIST_LIMIT)
         .groupBy("hotel_id", "room_category_id")
@@ -76,21 +110,8 @@ def check_availability(
         .withColumn("room_list", F.array_join(F.transform("listed", lambda r: r["room_number"]), ","))
         .drop("listed")
     )
-    quoted = (
-        booking_capacity(requests, rooms, stays)
-        .join(hotels.select(F.col("id").alias("hotel_id"), "location_coeff_room", F.lit(True).alias("known")), "hotel_id", "left")
-        .join(
-            categories_room.select(
-                F.col("id").alias("room_category_id"), "category_name", "guests_capacity", "price_per_night"
-            ),
-            "room_category_id",
-            "left",
-        )
-        .join(listed, CATEGORY_KEY, "left")
-    )
-    coeff = F.when(F.col("known"), F.col("location_coeff_room")).otherwise(F.lit(1).cast("decimal(5,2)"))
-    price = F.coalesce("price_per_night", F.lit(0).cast("decimal(10,2)"))
-    length = pricing.nights(F.col("start_date"), F.col("end_date"))
+    asked = booking_capacity(requests.where("start_date < end_date"), rooms, stays)
+    quoted = with_quote(asked, hotels, categories_room).join(listed, CATEGORY_KEY, "left")
     good = quoted.select(
         "request_id",
         F.lit(200).alias("status"),
@@ -99,28 +120,23 @@ def check_availability(
         F.col("available_count").alias("available_rooms_count"),
         "total_rooms",
         "reserved_rooms",
-        length.alias("nights"),
-        pricing.stay_price(price, coeff, length).alias("total_price"),
-        pricing.stay_price(price, coeff, F.lit(1)).alias("price_per_night"),
+        pricing.nights(F.col("start_date"), F.col("end_date")).alias("nights"),
+        "total_price",
+        "price_per_night",
         "category_name",
         "guests_capacity",
         F.when(F.col("available"), F.coalesce("room_list", F.lit(""))).otherwise("").alias("available_rooms"),
     )
-    bad = requests.where("NOT coalesce(start_date < end_date, false)").select(
-        "request_id",
-        F.lit(400).alias("status"),
-        F.lit(BAD_DATES).alias("error"),
-        *[F.lit(None).cast(field.dataType).alias(field.name) for field in good.schema.fields[3:]],
-    )
-    return good.unionByName(bad)
+    return with_bad_windows(good, requests)
 
 
 def available_categories(
     requests: DataFrame, hotels: DataFrame, categories_room: DataFrame, rooms: DataFrame, stays: DataFrame
 ) -> DataFrame:
-    """Per request every category of the hotel with rooms left, priced, cheapest first.
+    """Per request every category of the hotel with rooms left, priced; sort by request and price to show it.
 
-    Requests need only ``request_id, hotel_id, start_date, end_date``.
+    Requests need only ``request_id, hotel_id, start_date, end_date``. Dates without a night give
+    one row of status 400.
     """
     asked = requests.where("start_date < end_date").select("request_id", "hotel_id", *DATES)
     choices = asked.join(room_totals(rooms), "hotel_id")
@@ -134,8 +150,10 @@ def available_categories(
     coeff = pricing.coeff_or_one(F.col("location_coeff_room"))
     length = pricing.nights(F.col("start_date"), F.col("end_date"))
     price = F.col("price_per_night")
-    return priced.select(
+    good = priced.select(
         "request_id",
+        F.lit(200).alias("status"),
+        F.lit(None).cast("string").alias("error"),
         "hotel_id",
         F.col("room_category_id").alias("id"),
         "category_name",
@@ -148,62 +166,92 @@ def available_categories(
         "available_rooms_count",
         pricing.stay_price(price, coeff, length).alias("price_for_period"),
         pricing.stay_price(price, coeff, F.lit(1)).alias("price_per_night_with_coeff"),
-    ).orderBy("request_id", "price_per_night")
+    )
+    return with_bad_windows(good, requests)
 
 
 def search_windows(requests: DataFrame) -> DataFrame:
-    """Each asked (hotel, category, dates) once, however many requests repeat it."""
-    return requests.where("start_date < end_date").select(*CATEGORY_KEY, *DATES).distinct()
+    """Each asked (hotel, category, dates) once, however many requests repeat it.
+
+    A window may lack a night (start = end). What ends before it starts is no window.
+    """
+    return requests.where("start_date <= end_date").select(*CATEGORY_KEY, *DATES).distinct()
 
 
-def _room_gaps(windows: DataFrame, rooms: DataFrame, stays: DataFrame, bounds: str) -> DataFrame:
-    """Free gaps of the asked rooms, one row per window start the gap can serve."""
-    starts = windows.groupBy(*CATEGORY_KEY).agg(F.collect_set("start_date").alias("asked_starts"))
+def _room_gaps(rooms: DataFrame, stays: DataFrame, bounds: str) -> DataFrame:
+    """Free gaps with their room's hotel, category and number; ``single_day`` says for which windows."""
     placed = rooms.select(
         F.col("id").alias("room_id"), "hotel_id", F.col("categories_room_id").alias("room_category_id"), "room_number"
     )
-    serves = F.filter("asked_starts", lambda day: (day >= F.col("gap_start")) & (day < F.col("gap_end")))
-    return (
-        free_gaps(rooms, stays, bounds)
-        .join(placed, "room_id")
-        .join(starts, CATEGORY_KEY)
-        .select(*CATEGORY_KEY, "room_id", "room_number", "gap_end", F.explode(serves).alias("start_date"))
+    for_days = free_gaps(rooms, stays, bounds, single_days=True)
+    if bounds == CLOSED:
+        gaps = for_days.withColumn("single_day", F.explode(F.array(F.lit(False), F.lit(True))))
+    else:
+        gaps = (
+            free_gaps(rooms, stays, bounds)
+            .withColumn("single_day", F.lit(False))
+            .unionByName(for_days.withColumn("single_day", F.lit(True)))
+        )
+    return gaps.join(placed, "room_id")
+
+
+def _on_asked_days(gaps: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each row of gaps once per ``start_date`` of a window of its kind that begins inside."""
+    kinds = [*CATEGORY_KEY, "single_day"]
+    starts = (
+        windows.withColumn("single_day", F.col("start_date") == F.col("end_date"))
+        .groupBy(*kinds)
+        .agg(F.collect_set("start_date").alias("asked_starts"))
+    )
+    inside = F.filter(
+        "asked_starts",
+        lambda day: (day >= F.col("gap_start"))
+        & ((day < F.col("gap_end")) | (F.col("single_day") & (day == F.col("gap_end")))),
     )
+    return gaps.join(starts, kinds).withColumn("start_date", F.explode(inside)).drop("asked_starts")
 
 
 def room_reach(windows: DataFrame, rooms: DataFrame, stays: DataFrame, bounds: str = HALF_OPEN) -> DataFrame:
     """``free_count`` and the lowest ``free_room_id`` for (hotel, category, start, end).
 
     Holds every asked window, repeated or not in the input, and some others. A room serves a window
-    when one gap covers it. Gaps are counted per start day and gap end, so the ordered rows per
-    (hotel, category, start) are bounded by the calendar, not by the rooms.
+    when one gap covers it. Equal gaps of a hotel and category are counted together before they
+    meet the asked days, so rows are bounded by pairs of calendar days, not by the rooms.
     """
-    gaps = _room_gaps(windows, rooms, stays, bounds).select(
-        *CATEGORY_KEY, "start_date", F.col("gap_end").alias("day"), F.lit(1).alias("found"), "room_id"
+    equal = (
+        _room_gaps(rooms, stays, bounds)
+        .groupBy(*CATEGORY_KEY, "single_day", "gap_start", "gap_end")
+        .agg(F.count("*").alias("found"), F.min("room_id").alias("room_id"))
+    )
+    gaps = _on_asked_days(equal, windows).select(
+        *CATEGORY_KEY, "single_day", "start_date", F.col("gap_end").alias("day"), "found", "room_id"
     )
     probes = windows.select(
         *CATEGORY_KEY,
+        (F.col("start_date") == F.col("end_date")).alias("single_day"),
         "start_date",
         F.col("end_date").alias("day"),
-        F.lit(0).alias("found"),
+        F.lit(0).cast("bigint").alias("found"),
         F.lit(None).cast("bigint").alias("room_id"),
     )
+    of_start = [*CATEGORY_KEY, "single_day", "start_date"]
     steps = (
         gaps.union(probes)
-        .groupBy(*CATEGORY_KEY, "start_date", "day")
+        .groupBy(*of_start, "day")
         .agg(F.sum("found").alias("found"), F.min("room_id").alias("room_id"))
     )
-    lasting = (
-        Window.partitionBy(*CATEGORY_KEY, "start_date")
-        .orderBy(F.desc("day"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lasting = Window.partitionBy(*of_start).orderBy(F.desc("day")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    return steps.select(
-        *CATEGORY_KEY,
-        "start_date",
-        F.col("day").alias("end_date"),
-        F.sum("found").over(lasting).alias("free_count"),
-        F.min("room_id").over(lasting).alias("free_room_id"),
+    return (
+        steps.select(
+            *of_start,
+            F.col("day").alias("end_date"),
+            F.sum("found").over(lasting).alias("free_count"),
+            F.min("room_id").over(lasting).alias("free_room_id"),
+        )
+        .where(F.col("single_day") == (F.col("start_date") == F.col("end_date")))
+        .drop("single_day")
     )
 
 
@@ -220,38 +268,41 @@ def candidate_rooms(
     exclude_occupied: bool = False,
     stays: DataFrame | None = None,
 ) -> DataFrame:
-    """The first rooms by number for each request; occupied ones are kept unless asked otherwise."""
+    """The first rooms by number for each request; occupied ones are kept unless asked otherwise.
+
+    Dates without a night give one row of status 400.
+    """
     asked = requests.where("start_date < end_date").select("request_id", *CATEGORY_KEY, *DATES)
     if exclude_occupied:
-        windows = search_windows(requests)
-        # The best rooms of a window are among the best of each gap end, so trimming per end is exact.
-        per_end = Window.partitionBy(*CATEGORY_KEY, "start_date", "gap_end").orderBy("room_number", "room_id")
-        best = (
-            _room_gaps(windows, rooms, stays, HALF_OPEN)
-            .withColumn("position", F.row_number().over(per_end))
-            .where(F.col("position") <= limit)
-            .drop("position")
-        )
+        windows = search_windows(asked)
+        ends = [*CATEGORY_KEY, "gap_end"]
+        # The best rooms of a window are among the best of each gap and of each gap end: trimming is exact.
+        per_gap = Window.partitionBy(*ends, "gap_start").orderBy("room_number", "room_id")
+        per_end = Window.partitionBy(*ends, "start_date").orderBy("room_number", "room_id")
         per_window = Window.partitionBy(*CATEGORY_KEY, *DATES).orderBy("room_number", "room_id")
-        picked = (
-            windows.join(best, [*CATEGORY_KEY, "start_date"])
-            .where("gap_end >= end_date")
-            .withColumn("position", F.row_number().over(per_window))
-            .where(F.col("position") <= limit)
-            .select(*CATEGORY_KEY, *DATES, F.col("room_id").alias("id"), "position")
-        )
+
+        def trimmed(rows: DataFrame, window) -> DataFrame:
+            return rows.withColumn("position", F.row_number().over(window)).where(F.col("position") <= limit)
+
+        gaps = trimmed(_room_gaps(rooms, stays, HALF_OPEN).where("NOT single_day"), per_gap)
+        best = trimmed(_on_asked_days(gaps, windows), per_end).drop("position")
+        picked = trimmed(
+            windows.join(best, [*CATEGORY_KEY, "start_date"]).where("gap_end >= end_date"), per_window
+        ).select(*CATEGORY_KEY, *DATES, F.col("room_id").alias("id"), "position")
         lines = asked.join(picked, [*CATEGORY_KEY, *DATES]).join(
             rooms.select("id", "room_number", "floor", "view"), "id"
         )
     else:
         lines = asked.join(first_rooms(rooms, limit), CATEGORY_KEY)
-    return lines.join(
+    good = lines.join(
         categories_room.select(
             F.col("id").alias("room_category_id"), "category_name", "guests_capacity", "price_per_night"
         ),
         "room_category_id",
     ).select(
         "request_id",
+        F.lit(200).alias("status"),
+        F.lit(None).cast("string").alias("error"),
         "position",
         "id",
         "hotel_id",
@@ -263,12 +314,13 @@ def candidate_rooms(
         "guests_capacity",
         "price_per_night",
     )
+    return with_bad_windows(good, requests)
 
 
 def room_flags(requests: DataFrame, rooms: DataFrame, stays: DataFrame) -> DataFrame:
     """Every room of each distinct window's hotel and category, free or not (closed rule)."""
     gaps = (
-        free_gaps(rooms, stays, CLOSED)
+        free_gaps(rooms, stays, CLOSED, single_days=True)
         .groupBy("room_id")
         .agg(F.collect_list(F.struct("gap_start", "gap_end")).alias("gaps"))
     )
@@ -399,7 +451,6 @@ def room_conflicts(stays: DataFrame) -> DataFrame:
         ids("solid AND inside", F.max).alias("inner_high"),
         ids("NOT solid", F.min).alias("empty_low"),
         ids("NOT solid", F.max).alias("empty_high"),
-        F.sum(F.when(~F.col("solid"), F.col("lines"))).alias("empty_lines"),
     )
 
     def seen_by(side: str) -> Column:
@@ -413,12 +464,10 @@ def room_conflicts(stays: DataFrame) -> DataFrame:
         .agg(
             F.min(seen_by("low")).alias("low"),
             F.max(seen_by("high")).alias("high"),
-            F.max("empty_lines").alias("empty_lines"),
         )
     )
-    others = F.when(solid, F.col("overlapping") - F.col("lines")).otherwise(
-        F.col("overlapping") + F.col("empty_lines")
-    )
+    # A stay without a night does not overlap itself.
+    others = F.when(solid, F.col("overlapping") - F.col("lines")).otherwise(F.col("overlapping"))
     named = F.when(F.col("low") < F.col("reservation_id"), F.col("low")).otherwise(F.col("high"))
     return (
         counted.join(seen, ["reservation_id", "room_id"])

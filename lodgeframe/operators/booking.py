@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 
 from lodgeframe.functions import pricing
 from lodgeframe.functions.intervals import CLOSED, count_overlaps, free_gaps
-from lodgeframe.functions.ordering import BLOCK_ROWS, fold_sorted, has_large_key, ordered_fold, strided_ids
+from lodgeframe.functions.ordering import (
+    BLOCK_ROWS,
+    fold_sorted,
+    has_large_key,
+    ordered_fold,
+    strided_ids,
+    writer_of,
+)
 from lodgeframe.operators.availability import BAD_DATES, CATEGORY_KEY, DATES, room_totals
 from lodgeframe.schemas import ACTIVE, BRANCHES
 from lodgeframe.session import cut_lineage
@@ -104,6 +111,8 @@ def accept_in_order(
     ``stays`` are the dates already held per key.
     """
 
+    asked = requests.select(*ARRIVAL, *keys, *DATES, "places")
+
     def prepare(pending, state):
         return count_overlaps(pending, state, keys, into="on_record")
 
@@ -117,11 +126,11 @@ def accept_in_order(
         return fold_sorted(days, keys, ARRIVAL, columns, _ACCEPTED, _start_calendar, _take_if_room_left)
 
     def advance(state, decided):
-        won = requests.join(decided.where("accepted").select("request_id"), "request_id", "left_semi")
+        won = asked.join(decided.where("accepted").select("request_id"), "request_id", "left_semi")
         return state.unionByName(won.select(*keys, *DATES))
 
     return ordered_fold(
-        requests.select(*ARRIVAL, *keys, *DATES, "places"),
+        asked,
         stays.select(*keys, *DATES),
         keys,
         ARRIVAL,
@@ -173,15 +182,31 @@ def node_number(node: Column) -> Column:
     return F.create_map(*pairs)[node]
 
 
-def booking_tables(decisions: DataFrame, used_ids: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def used_numbers(*tables: DataFrame) -> DataFrame:
+    """``writer, used``: how many ids of each writer's series the tables' ids have gone past."""
+    stride = len(NODE_NUMBERS)
+    ids = reduce(DataFrame.unionByName, [table.select("id") for table in tables])
+    return ids.groupBy(writer_of(F.col("id"), stride).cast("int").alias("writer")).agg(
+        F.expr(f"max((id - 1) DIV {stride} + 1)").alias("used")
+    )
+
+
+def next_ids(df: DataFrame, id_column: str, into: str, used: DataFrame) -> DataFrame:
+    """Numbers the rows of each ``writer`` past the ids in use, in ``id_column`` order."""
+    known = df.join(used, "writer", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    return strided_ids(known, "writer", id_column, len(NODE_NUMBERS), into, F.col("used")).drop("used")
+
+
+def booking_tables(decisions: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New reservations, detail lines and guest rows of the accepted requests.
 
     Every node gives out its own ids: the centre writes too, so ids step by four. One number serves
-    the reservation and its only detail line. The decisions are saved first: numbering reads them
-    twice and three tables come from them, and they should be made once.
+    the reservation and its only detail line; ``used`` comes from :func:`used_numbers` over both
+    tables. The decisions are saved first: numbering reads them twice and three tables come from
+    them, and they should be made once.
     """
     accepted = cut_lineage(decisions.where("status = 201").withColumn("writer", node_number(F.col("node"))))
-    numbered = strided_ids(accepted, "writer", "request_id", len(NODE_NUMBERS), "new_id", F.lit(used_ids))
+    numbered = next_ids(accepted, "request_id", "new_id", used)
     reservations = numbered.select(
         F.col("new_id").alias("id"),
         "hotel_id",
@@ -213,66 +238,109 @@ def booking_tables(decisions: DataFrame, used_ids: int = 0) -> tuple[DataFrame,
     return reservations, details, occupancy
 
 
-def register_guests(
-    requests: DataFrame,
-    reservations: DataFrame,
-    details: DataFrame,
-    rooms: DataFrame,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Status per request to put a reservation into a room, in arrival order per room.
+_REGISTERED = "request_id bigint, conflict bigint"
+
+
+class RoomBook:
+    """Who holds which of a hotel's asked rooms when, as day numbers."""
+
+    def __init__(self, _row):
+        self.stays: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.rooms: dict[int, set[int]] = {}
+
+    def hold(self, room: int, reservation: int, first: int, last: int) -> None:
+        self.stays.setdefault(room, {}).setdefault(reservation, []).append((first, last))
+        self.rooms.setdefault(reservation, set()).add(room)
+
+    def conflict(self, room: int, reservation: int, first: int, last: int) -> int | None:
+        """The lowest other reservation that overlaps the dates in the room."""
+        others = (
+            other
+            for other, spans in self.stays.get(room, {}).items()
+            if other != reservation and any(start < last and end > first for start, end in spans)
+        )
+        return min(others, default=None)
+
+    def move(self, room: int, reservation: int, first: int, last: int) -> None:
+        for old in self.rooms.pop(reservation, ()):
+            del self.stays[old][reservation]
+        self.hold(room, reservation, first, last)
+
+
+def _register(book: RoomBook, row):
+    """Rows of stays sort first and fill the book; requests are answered from it."""
+    ask = row.room_id, row.reservation_id, row.first_day, row.last_day
+    if not row.is_request:
+        book.hold(*ask)
+        return None
+    conflict = book.conflict(*ask)
+    if conflict is None and row.has_lines:
+        book.move(*ask)
+    return row.number, conflict
+
 
-    A batch serves one request per reservation, the first. A reservation that leaves another room
-    frees it for the next batch only.
+def register_guests(requests: DataFrame, reservations: DataFrame, details: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Status per request to put a reservation into a room, in arrival order per hotel.
+
+    An accepted request moves the whole reservation: its other rooms are free for what follows, and
+    a later request of the reservation may move it again. So rooms of a hotel depend on each other,
+    and a hotel's requests stream through one worker that holds the calendar of its asked rooms.
     """
+    asked_rooms = requests.select("room_id").distinct()
     asked_for = requests.select("reservation_id").distinct()
-    asked_lines = details.join(asked_for, "reservation_id", "left_semi")
-    has_lines = asked_lines.select("reservation_id").distinct().withColumn("has_lines", F.lit(True))
-    own_lines = (
-        asked_lines.where("room_id IS NOT NULL")
-        .groupBy("reservation_id", "room_id")
-        .agg(F.count("*").alias("own_lines"))
-    )
-    wanted = reservations.select(
-        F.col("id").alias("reservation_id"), "hotel_id", "payer_id", *DATES, F.col("status").alias("old_status")
-    )
+    has_lines = details.join(asked_for, "reservation_id", "left_semi").select("reservation_id").distinct()
+    wanted = reservations.select(F.col("id").alias("reservation_id"), "hotel_id", "payer_id", *DATES)
+    placed = rooms.select(F.col("id").alias("room_id"), F.col("hotel_id").alias("room_hotel_id"))
     unknown = F.col("hotel_id").isNull()
     foreign_room = F.col("room_hotel_id").isNull() | (F.col("room_hotel_id") != F.col("hotel_id"))
-    no_lines = F.col("has_lines").isNull()
-    # Saved once: the first request per reservation, the folds and the answers all read it.
-    looked_up = cut_lineage(
+    # Saved once: the fold and the answers both read it.
+    checked = cut_lineage(
         requests.join(wanted, "reservation_id", "left")
-        .join(rooms.select(F.col("id").alias("room_id"), F.col("hotel_id").alias("room_hotel_id")), "room_id", "left")
-        .join(has_lines, "reservation_id", "left")
-        .join(own_lines, ["reservation_id", "room_id"], "left")
+        .join(placed, "room_id", "left")
+        .join(has_lines.withColumn("has_lines", F.lit(True)), "reservation_id", "left")
         .withColumns(
             {
-                "status": F.when(unknown, 404).when(foreign_room | no_lines, 400).otherwise(0),
-                "error": F.when(unknown, "Reservation not found")
-                .when(foreign_room, "Room not found in this hotel")
-                .when(no_lines, "Booking details not found"),
+                "has_lines": F.coalesce("has_lines", F.lit(False)),
+                "status": F.when(unknown, 404).when(foreign_room, 400).otherwise(0),
+                "error": F.when(unknown, "Reservation not found").when(foreign_room, "Room not found in this hotel"),
             }
         )
     )
-    first = (
-        looked_up.where("status = 0").groupBy("reservation_id").agg(F.min(F.struct(*ARRIVAL)).alias("first_request"))
+
+    def days(df: DataFrame, is_request: bool, number: Column, arrived: Column, lines: Column) -> DataFrame:
+        return df.select(
+            "hotel_id",
+            F.lit(is_request).alias("is_request"),
+            arrived.alias("requested_at"),
+            number.alias("number"),
+            "reservation_id",
+            "room_id",
+            day_number("start_date").alias("first_day"),
+            day_number("end_date").alias("last_day"),
+            lines.alias("has_lines"),
+        )
+
+    held = (
+        details.join(asked_rooms, "room_id", "left_semi")
+        .select("reservation_id", "room_id")
+        .distinct()
+        .join(
+            reservations.where(F.col("status").isin(ACTIVE)).select(F.col("id").alias("reservation_id"), *DATES),
+            "reservation_id",
+        )
+        .join(placed.withColumnRenamed("room_hotel_id", "hotel_id"), "room_id")
     )
-    late = (F.col("status") == 0) & (F.struct(*ARRIVAL) != F.col("first_request"))
-    checked = looked_up.join(first, "reservation_id", "left").withColumns(
-        {
-            "status": F.when(late, 409).otherwise(F.col("status")),
-            "error": F.when(late, "Another request of this batch registers the reservation").otherwise(F.col("error")),
-        }
+    never = F.lit(None).cast(requests.schema["requested_at"].dataType)
+    rows = days(held, False, F.col("reservation_id"), never, F.lit(True)).unionByName(
+        days(checked.where("status = 0"), True, F.col("request_id"), F.col("requested_at"), F.col("has_lines"))
     )
-    # A room has one place; lines the reservation holds there itself do not stand in its way.
-    held_itself = F.when(F.col("old_status").isin(ACTIVE), F.col("own_lines"))
-    open_requests = checked.where("status = 0").withColumn("places", F.coalesce(held_itself, F.lit(0)) + 1)
-    active = reservations.where(F.col("status").isin(ACTIVE)).select(F.col("id").alias("reservation_id"), *DATES)
-    stays = active.join(
-        details.where("room_id IS NOT NULL").select("reservation_id", "room_id"), "reservation_id"
+    columns = ["is_request", "number", "reservation_id", "room_id", "first_day", "last_day", "has_lines"]
+    order = ["is_request", "requested_at", "number"]
+    decided = fold_sorted(rows, ["hotel_id"], order, columns, _REGISTERED, RoomBook, _register)
+    answered, taken = F.col("status") == 0, F.col("conflict").isNotNull()
+    occupied = F.concat(
+        F.lit("Room is already occupied by another reservation (ID: "), F.col("conflict"), F.lit(") for these dates")
     )
-    decided = accept_in_order(open_requests, stays, ["room_id"], block_rows, requests)
-    taken = "Room is already occupied by another reservation for these dates"
     return checked.join(decided, "request_id", "left").select(
         "request_id",
         "requested_at",
@@ -280,19 +348,34 @@ def register_guests(
         "room_id",
         "payer_id",
         "guest_ids",
-        F.when(F.col("status") != 0, F.col("status")).when(F.col("accepted"), 200).otherwise(409).alias("status"),
-        F.coalesce("error", F.when(~F.col("accepted"), taken)).alias("error"),
+        F.when(~answered, F.col("status")).when(taken, 409).when(~F.col("has_lines"), 400).otherwise(200).alias("status"),
+        F.when(~answered, F.col("error"))
+        .when(taken, occupied)
+        .when(~F.col("has_lines"), "Booking details not found")
+        .alias("error"),
     )
 
 
 def registered_details(details: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Detail lines with the room of their accepted registration."""
-    won = decisions.where("status = 200").select("reservation_id", F.col("room_id").alias("new_room"))
+    """Detail lines with the room of their last accepted registration."""
+    won = (
+        decisions.where("status = 200")
+        .groupBy("reservation_id")
+        .agg(F.max_by("room_id", F.struct(*ARRIVAL)).alias("new_room"))
+    )
     return details.join(won, "reservation_id", "left").select(
         *[F.coalesce("new_room", "room_id").alias("room_id") if c == "room_id" else c for c in details.columns]
     )
 
 
+def registered_reservations(reservations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Reservations with status ``confirmed`` where a registration was accepted."""
+    won = decisions.where("status = 200").select(F.col("reservation_id").alias("id"), F.lit("confirmed").alias("new"))
+    return reservations.join(won.distinct(), "id", "left").select(
+        *[F.coalesce("new", "status").alias("status") if c == "status" else c for c in reservations.columns]
+    )
+
+
 def registered_guests(decisions: DataFrame, details: DataFrame, guests: DataFrame, occupancy: DataFrame) -> DataFrame:
     """Guest rows the accepted registrations add: the payer, and listed guests that exist.
 
@@ -314,19 +397,17 @@ def registered_guests(decisions: DataFrame, details: DataFrame, guests: DataFram
 
 
 def unassigned(reservations: DataFrame, details: DataFrame) -> DataFrame:
-    """Active reservations without any room, once per category they ask for."""
+    """Active reservations once per category of their lines without a room."""
     active = reservations.where(F.col("status").isin(ACTIVE)).select(
         F.col("id").alias("reservation_id"), F.col("create_date").alias("requested_at"), "hotel_id", *DATES
     )
-    lines = details.groupBy("reservation_id").agg(
-        F.count("room_id").alias("held"), F.collect_set("requested_room_category").alias("kinds")
+    kinds = (
+        details.where("room_id IS NULL")
+        .select("reservation_id", F.col("requested_room_category").alias("room_category_id"))
+        .distinct()
     )
-    return active.join(lines.where("held = 0"), "reservation_id").select(
-        "reservation_id",
-        "requested_at",
-        "hotel_id",
-        *DATES,
-        F.explode("kinds").alias("room_category_id"),
+    return active.join(kinds, "reservation_id").select(
+        "reservation_id", "requested_at", "hotel_id", *DATES, "room_category_id"
     )
 
 
@@ -392,7 +473,7 @@ def assign_free_rooms(
 
         def decide(waiting, state):
             gaps = (
-                free_gaps(chunk, state.join(placed_rooms, "room_id", "left_semi"), CLOSED)
+                free_gaps(chunk, state.join(placed_rooms, "room_id", "left_semi"), CLOSED, single_days=True)
                 .join(placed_rooms, "room_id")
                 .join(waiting.select(*CATEGORY_KEY).distinct(), CATEGORY_KEY, "left_semi")
                 .select(
@@ -459,14 +540,14 @@ def _chunked(rooms: DataFrame, room_chunk: int) -> DataFrame:
 
 
 def assigned_details(details: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Detail lines with the room found for their reservation and category."""
+    """Detail lines without a room get the one found for their reservation and category."""
     found = assignments.where("room_id IS NOT NULL").select(
         "reservation_id",
         F.col("room_category_id").alias("requested_room_category"),
         F.col("room_id").alias("new_room"),
     )
     return details.join(found, ["reservation_id", "requested_room_category"], "left").select(
-        *[F.coalesce("new_room", "room_id").alias("room_id") if c == "room_id" else c for c in details.columns]
+        *[F.coalesce("room_id", "new_room").alias("room_id") if c == "room_id" else c for c in details.columns]
     )
 
 

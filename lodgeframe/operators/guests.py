@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgeframe.functions.ordering import strided_ids
 from lodgeframe.functions.text import UNNAMED_GUEST, words
-from lodgeframe.operators.booking import NODE_NUMBERS, node_number
+from lodgeframe.operators.booking import next_ids, node_number, used_numbers
 
 DEFAULT_BIRTH_DATE = "2000-01-01"
 EDITABLE = [
@@ -22,8 +21,8 @@ EDITABLE = [
 ]
 
 
-def create_guests(forms: DataFrame, used_ids: int = 0) -> DataFrame:
-    """One row per form: a new guest with an id of its node, or status 400 without a phone.
+def create_guests(forms: DataFrame, guests: DataFrame) -> DataFrame:
+    """One row per form: a new guest with an id of its node past those of ``guests``, or status 400 without a phone.
 
     A full name fills in when both name parts are empty: its first word and, if there are several,
     its last. A full name of blanks gives the stock first name.
@@ -47,9 +46,7 @@ def create_guests(forms: DataFrame, used_ids: int = 0) -> DataFrame:
         F.coalesce("birth_date", F.lit(DEFAULT_BIRTH_DATE).cast("date")).alias("birth_date"),
         phone_missing.alias("rejected"),
     )
-    accepted = strided_ids(
-        named.where("NOT rejected"), "writer", "form_id", len(NODE_NUMBERS), "guest_id", F.lit(used_ids)
-    )
+    accepted = next_ids(named.where("NOT rejected"), "form_id", "guest_id", used_numbers(guests))
     rejected = named.where("rejected").withColumn("guest_id", F.lit(None).cast("bigint"))
     return accepted.unionByName(rejected).select(
         "form_id",

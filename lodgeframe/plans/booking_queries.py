@@ -31,8 +31,12 @@ def _bookings(d):
     )
 
 
+def _booked(d):
+    return booking.booking_tables(_bookings(d), booking.used_numbers(d.reservations, d.details_reservations))
+
+
 def _new_reservations(d):
-    reservations, details, occupancy = booking.booking_tables(_bookings(d))
+    reservations, details, _ = _booked(d)
     lines = details.select("reservation_id", "requested_room_category", "total_guest_number")
     return reservations.join(lines, F.col("id") == F.col("reservation_id")).select(
         "id",
@@ -86,10 +90,15 @@ QUERIES = {
         lambda d: _bookings(d).select("request_id", "hotel_id", "room_category_id", "node", "status", "error", "total_price")
     ),
     "t01_new_reservations": _on(_new_reservations),
+    "t01_new_guests": _on(lambda d: _booked(d)[2]),
     "t02_register_guests": _on(
         lambda d: _registrations(d).select("request_id", "reservation_id", "room_id", "status", "error")
     ),
     "t02_registered_guests": _on(_registered_guests),
+    "t02_registered_details": _on(lambda d: booking.registered_details(d.details_reservations, _registrations(d))),
+    "t02_confirmed_reservations": _on(
+        lambda d: booking.registered_reservations(d.reservations, _registrations(d)).select("id", "status")
+    ),
     "t03_process_payments": _on(lambda d: _payments(d).drop("requested_at")),
     "t03_paid_reservations": _on(
         lambda d: payments.paid_reservations(d.reservations, _payments(d)).select(
@@ -97,7 +106,7 @@ QUERIES = {
         )
     ),
     "t04_confirm_paid": _on(_confirm),
-    "t05_create_guests": _on(lambda d: guests.create_guests(d.guest_forms)),
+    "t05_create_guests": _on(lambda d: guests.create_guests(d.guest_forms, d.guests)),
     "t06_update_hotels": _on(lambda d: guests.update_hotels(d.hotels, d.hotel_changes)),
     "t06_rejected_changes": _on(lambda d: guests.rejected_changes(d.hotels, d.hotel_changes)),
     "t07_attach_guest_to_recent": _on(
@@ -108,15 +117,21 @@ QUERIES = {
     "t08_assign_free_room": _on(_assignments),
 }
 
-_BOOKING_TABLES = "booking_requests hotels cities categories_room rooms active_stays"
+_BOOKING_TABLES = "booking_requests hotels cities categories_room rooms active_stays reservations details_reservations"
 
 _BOOKED = (
     _COUNTS
     + """,
+    screened AS (
+        SELECT *, CASE WHEN guest_id IS NULL THEN 'Missing required fields: guest_id'
+                       WHEN hotel_id NOT IN (SELECT id FROM hotels) THEN 'Hotel not found'
+                       WHEN room_category_id NOT IN (SELECT id FROM categories_room) THEN 'Room category not found'
+                       WHEN start_date >= end_date THEN 'End date must be after start date' END AS refusal
+        FROM booking_requests),
     waiting AS MATERIALIZED (
         SELECT *, total_rooms - reserved_rooms AS room_left,
                row_number() OVER (PARTITION BY hotel_id, room_category_id ORDER BY requested_at, request_id) AS n
-        FROM capacity),
+        FROM capacity SEMI JOIN (SELECT request_id FROM screened WHERE refusal IS NULL) USING (request_id)),
     fold AS (
         SELECT DISTINCT hotel_id, room_category_id, CAST(0 AS BIGINT) AS n,
                CAST([] AS STRUCT(s DATE, e DATE)[]) AS taken, CAST(NULL AS BIGINT) AS request_id, false AS accepted
@@ -130,40 +145,56 @@ _BOOKED = (
               FROM fold f JOIN waiting q ON q.hotel_id = f.hotel_id AND q.room_category_id = f.room_category_id
                AND q.n = f.n + 1)),
     decided AS (
-        SELECT q.*, f.accepted, c.node,
+        SELECT q.*, coalesce(f.accepted, false) AS accepted, coalesce(c.node, 'central') AS node,
                CASE WHEN f.accepted THEN
                  CAST(round_even(k.price_per_night * coalesce(nullif(h.location_coeff_room, 0), 1)
                       * (q.end_date - q.start_date)
                       * (1 + 0.2 * greatest(q.total_guests - k.guests_capacity, 0)), 2) AS DECIMAL(12,2)) END
                    AS total_price
-        FROM booking_requests q JOIN fold f ON f.request_id = q.request_id JOIN hotels h ON h.id = q.hotel_id
-        JOIN cities c ON c.id = h.city_id JOIN categories_room k ON k.id = q.room_category_id)"""
+        FROM screened q LEFT JOIN fold f ON f.request_id = q.request_id LEFT JOIN hotels h ON h.id = q.hotel_id
+        LEFT JOIN cities c ON c.id = h.city_id LEFT JOIN categories_room k ON k.id = q.room_category_id),
+    past AS (SELECT (id - 1) % 4 + 1 AS writer, max((id - 1) // 4 + 1) AS used
+             FROM (SELECT id FROM reservations UNION ALL SELECT id FROM details_reservations) GROUP BY 1),
+    fresh AS (
+        SELECT writer + 4 * (used + row_number() OVER (PARTITION BY writer ORDER BY request_id) - 1) AS new_id, a.*
+        FROM (SELECT *, CASE node WHEN 'central' THEN 4 ELSE CAST(right(node, 1) AS INT) END AS writer
+              FROM decided WHERE accepted) a JOIN past USING (writer))"""
 )
 
 _REGISTERED = """
     checked AS (
-        SELECT q.*, r.payer_id, r.start_date, r.end_date, rm.id IS NOT NULL AS room_ok
-        FROM registration_requests q JOIN reservations r ON r.id = q.reservation_id
+        SELECT q.*, r.id AS known_id, r.hotel_id, r.payer_id, r.start_date, r.end_date, rm.id IS NOT NULL AS room_ok
+        FROM registration_requests q LEFT JOIN reservations r ON r.id = q.reservation_id
         LEFT JOIN rooms rm ON rm.id = q.room_id AND rm.hotel_id = r.hotel_id),
     waiting AS MATERIALIZED (
-        SELECT q.*, row_number() OVER (PARTITION BY room_id ORDER BY requested_at, request_id) AS n,
-               EXISTS (SELECT 1 FROM active_stays s WHERE s.room_id = q.room_id AND s.reservation_id <> q.reservation_id
-                       AND NOT (s.end_date <= q.start_date OR s.start_date >= q.end_date)) AS held
+        SELECT *, row_number() OVER (PARTITION BY hotel_id ORDER BY requested_at, request_id) AS n,
+               (SELECT coalesce(list(DISTINCT s.reservation_id), CAST([] AS BIGINT[])) FROM active_stays s
+                WHERE s.room_id = q.room_id AND s.reservation_id <> q.reservation_id
+                  AND NOT (s.end_date <= q.start_date OR s.start_date >= q.end_date)) AS held
         FROM checked q WHERE room_ok),
     fold AS (
-        SELECT DISTINCT room_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(s DATE, e DATE)[]) AS taken,
-               CAST(NULL AS BIGINT) AS request_id, false AS accepted
+        SELECT DISTINCT hotel_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(v BIGINT, r BIGINT, s DATE, e DATE)[]) AS moved,
+               CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS conflict
         FROM waiting
         UNION ALL
-        SELECT room_id, n, CASE WHEN ok THEN list_append(taken, {'s': start_date, 'e': end_date}) ELSE taken END,
-               request_id, ok
-        FROM (SELECT q.*, f.taken, NOT q.held AND
-                     len(list_filter(f.taken, lambda x: NOT (x.e <= q.start_date OR x.s >= q.end_date))) = 0 AS ok
-              FROM fold f JOIN waiting q ON q.room_id = f.room_id AND q.n = f.n + 1)),
+        SELECT hotel_id, n,
+               CASE WHEN clash IS NOT NULL THEN moved
+                    ELSE list_append(list_filter(moved, lambda x: x.v <> reservation_id),
+                                     {'v': reservation_id, 'r': room_id, 's': start_date, 'e': end_date}) END,
+               request_id, clash
+        FROM (SELECT q.*, f.moved,
+                     list_min(list_concat(
+                         list_filter(q.held, lambda h: NOT list_contains(list_transform(f.moved, lambda y: y.v), h)),
+                         list_transform(list_filter(f.moved, lambda x: x.r = q.room_id AND x.v <> q.reservation_id
+                                                    AND NOT (x.e <= q.start_date OR x.s >= q.end_date)),
+                                        lambda y: y.v))) AS clash
+              FROM fold f JOIN waiting q ON q.hotel_id = f.hotel_id AND q.n = f.n + 1)),
     decided AS (
-        SELECT q.*, CASE WHEN NOT q.room_ok THEN 400 WHEN f.accepted THEN 200 ELSE 409 END AS status,
-               CASE WHEN NOT q.room_ok THEN 'Room not found in this hotel' WHEN NOT f.accepted
-                    THEN 'Room is already occupied by another reservation for these dates' END AS error
+        SELECT q.*, CASE WHEN known_id IS NULL THEN 404 WHEN NOT q.room_ok THEN 400 WHEN f.conflict IS NULL THEN 200
+                         ELSE 409 END AS status,
+               CASE WHEN known_id IS NULL THEN 'Reservation not found' WHEN NOT q.room_ok THEN 'Room not found in this hotel'
+                    ELSE 'Room is already occupied by another reservation (ID: ' || f.conflict || ') for these dates' END
+                   AS error
         FROM checked q LEFT JOIN fold f ON f.request_id = q.request_id)"""
 _REGISTER_TABLES = "registration_requests reservations rooms active_stays guests room_reservation_guests"
 
@@ -213,9 +244,8 @@ _ASSIGNED = """
     asked AS (
         SELECT r.id AS reservation_id, r.create_date, r.hotel_id, r.start_date, r.end_date, d.c AS room_category_id
         FROM reservations r
-        JOIN (SELECT DISTINCT reservation_id, requested_room_category AS c,
-                     count(room_id) OVER (PARTITION BY reservation_id) AS held FROM details_reservations) d
-          ON d.reservation_id = r.id AND held = 0
+        JOIN (SELECT DISTINCT reservation_id, requested_room_category AS c FROM details_reservations
+              WHERE room_id IS NULL) d ON d.reservation_id = r.id
         WHERE r.status IN ('confirmed', 'pending')),
     waiting AS MATERIALIZED (
         SELECT a.*, row_number() OVER (PARTITION BY hotel_id, room_category_id ORDER BY create_date, reservation_id) AS n,
@@ -243,9 +273,11 @@ _ASSIGNED = """
 ORACLES = {
     "t01_create_bookings": over(
         _BOOKING_TABLES,
-        """SELECT request_id, hotel_id, room_category_id, node, CASE WHEN accepted THEN 201 ELSE 409 END AS status,
-                  CASE WHEN NOT accepted THEN
-                      'No available rooms of this category for the selected dates. Available: 0, Required: 1' END
+        """SELECT request_id, hotel_id, room_category_id, node,
+                  CASE WHEN accepted THEN 201 WHEN refusal LIKE '%not found' THEN 404 WHEN refusal IS NOT NULL THEN 400
+                       ELSE 409 END AS status,
+                  CASE WHEN NOT accepted THEN coalesce(refusal,
+                      'No available rooms of this category for the selected dates. Available: 0, Required: 1') END
                       AS error, total_price
            FROM decided""",
         _BOOKED,
@@ -253,12 +285,18 @@ ORACLES = {
     ),
     "t01_new_reservations": over(
         _BOOKING_TABLES,
-        """SELECT writer + 4 * (row_number() OVER (PARTITION BY writer ORDER BY request_id) - 1) AS id, node, hotel_id,
-                  requested_at AS create_date, 'pending' AS status, total_price, 'unpaid' AS payments_status,
-                  guest_id AS payer_id, start_date, end_date, room_category_id AS requested_room_category,
-                  total_guests AS total_guest_number
-           FROM (SELECT *, CASE node WHEN 'central' THEN 4 ELSE CAST(right(node, 1) AS INT) END AS writer
-                 FROM decided WHERE accepted)""",
+        """SELECT new_id AS id, node, hotel_id, requested_at AS create_date, 'pending' AS status, total_price,
+                  'unpaid' AS payments_status, guest_id AS payer_id, start_date, end_date,
+                  room_category_id AS requested_room_category, total_guests AS total_guest_number
+           FROM fresh WHERE new_id NOT IN (SELECT id FROM reservations)
+            AND new_id NOT IN (SELECT id FROM details_reservations)""",
+        _BOOKED,
+        recursive=True,
+    ),
+    "t01_new_guests": over(
+        _BOOKING_TABLES,
+        """SELECT DISTINCT new_id AS room_reservation_id, unnest([guest_id] || coalesce(additional_guests, [])) AS guest_id, node
+           FROM fresh""",
         _BOOKED,
         recursive=True,
     ),
@@ -282,6 +320,24 @@ ORACLES = {
         _REGISTERED,
         recursive=True,
     ),
+    "t02_registered_details": over(
+        _REGISTER_TABLES + " details_reservations",
+        """SELECT d.id, d.reservation_id, coalesce(w.room_id, d.room_id) AS room_id, d.guest_id, d.requested_room_category,
+                  d.total_guest_number
+           FROM details_reservations d
+           LEFT JOIN (SELECT reservation_id, max_by(room_id, (requested_at, request_id)) AS room_id FROM decided
+                      WHERE status = 200 GROUP BY 1) w USING (reservation_id)""",
+        _REGISTERED,
+        recursive=True,
+    ),
+    "t02_confirmed_reservations": over(
+        _REGISTER_TABLES,
+        """SELECT id, CASE WHEN id IN (SELECT reservation_id FROM decided WHERE status = 200) THEN 'confirmed' ELSE status END
+                      AS status
+           FROM reservations""",
+        _REGISTERED,
+        recursive=True,
+    ),
     "t03_process_payments": over(_PAY_TABLES, "SELECT * FROM outcome", _PAID, recursive=True),
     "t03_paid_reservations": over(
         _PAY_TABLES,
@@ -302,10 +358,10 @@ ORACLES = {
              ON p.reservation_id = r.id""",
     ),
     "t05_create_guests": over(
-        "guest_forms",
+        "guest_forms guests",
         """SELECT form_id, node, CASE WHEN ok THEN 201 ELSE 400 END AS status,
                   CASE WHEN NOT ok THEN 'Phone number is required' END AS error,
-                  CASE WHEN ok THEN writer + 4 * (row_number() OVER (PARTITION BY writer, ok ORDER BY form_id) - 1) END
+                  CASE WHEN ok THEN writer + 4 * (used + row_number() OVER (PARTITION BY writer, ok ORDER BY form_id) - 1) END
                       AS guest_id,
                   CASE WHEN f || l = '' THEN coalesce(parts[1], 'Гость') ELSE f END AS first_name,
                   CASE WHEN f || l = '' THEN CASE WHEN len(parts) > 1 THEN parts[-1] ELSE '' END ELSE l END AS last_name,
@@ -313,7 +369,8 @@ ORACLES = {
            FROM (SELECT *, phone_number IS NOT NULL AS ok, coalesce(first_name, '') AS f, coalesce(last_name, '') AS l,
                         list_filter(regexp_split_to_array(full_name, '\\s+'), lambda w: w <> '') AS parts,
                         CAST(right(node, 1) AS BIGINT) AS writer
-                 FROM guest_forms)""",
+                 FROM guest_forms)
+           JOIN (SELECT (id - 1) % 4 + 1 AS writer, max((id - 1) // 4 + 1) AS used FROM guests GROUP BY 1) USING (writer)""",
     ),
     "t06_update_hotels": over(
         "hotels hotel_changes",

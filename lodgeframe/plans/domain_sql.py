@@ -4,7 +4,8 @@ from __future__ import annotations
 
 TABLES = {
     "consts": """
-        SELECT (SELECT count(*) FROM supplier) AS nh, (SELECT count(*) FROM customer) AS ng""",
+        SELECT (SELECT count(*) FROM supplier) AS nh, (SELECT count(*) FROM customer) AS ng,
+               (SELECT count(*) FROM orders) AS nr""",
     "cities": """
         SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, n_name AS city_name,
                upper(substr(r_name, 1, 3)) AS country_name_code,
@@ -50,7 +51,7 @@ TABLES = {
                CAST(greatest(0, floor(c_acctbal)) AS INT) AS bonus_points
         FROM customer""",
     "reservations": """
-        SELECT *, start_date + CAST(1 + (id - 1) % 7 AS INT) AS end_date
+        SELECT *, start_date + CAST(CASE WHEN (id - 1) % 10 = 3 THEN 0 ELSE 1 + (id - 1) % 7 END AS INT) AS end_date
         FROM (SELECT o_orderkey + 1 AS id, o_orderkey % nh + 1 AS hotel_id, CAST(NULL AS BIGINT) AS employee_id,
                      o_orderdate AS create_date,
                      CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'cancelled' END
@@ -82,13 +83,17 @@ TABLES = {
                ['cash', 'card', 'online'][id % 3 + 1] AS payments_method
         FROM reservations WHERE payments_status = 'paid'""",
     "booking_requests": """
-        SELECT id AS request_id, create_date AS requested_at, hotel_id, payer_id AS guest_id,
-               1 + id % 3 AS room_category_id, start_date, end_date, CAST(1 + id % 5 AS INT) AS total_guests
+        SELECT id AS request_id, create_date AS requested_at,
+               CASE WHEN id % 41 = 0 THEN -hotel_id ELSE hotel_id END AS hotel_id,
+               CASE WHEN id % 47 <> 0 THEN payer_id END AS guest_id,
+               CASE WHEN id % 43 = 0 THEN 9 ELSE 1 + id % 3 END AS room_category_id, start_date, end_date,
+               CAST(1 + id % 5 AS INT) AS total_guests,
+               CASE WHEN id % 4 = 0 THEN [payer_id + 1, payer_id + 2, payer_id] END AS additional_guests
         FROM reservations WHERE status = 'cancelled'""",
     "payment_requests": """
-        SELECT event_id AS request_id, ts AS requested_at, (event_id * 7) % 3000 + 1 AS reservation_id,
+        SELECT event_id AS request_id, ts AS requested_at, (event_id * 7) % (nr + nr // 50) + 1 AS reservation_id,
                CAST(value AS DECIMAL(12,2)) AS amount, ['cash', 'card', 'online'][event_id % 3 + 1] AS method
-        FROM events WHERE event_type = 'purchase'""",
+        FROM events, consts WHERE event_type = 'purchase'""",
     "guest_changes": """
         SELECT event_id AS seq, ts, 'filial' || (1 + event_id % 3) AS origin,
                CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op,
@@ -112,12 +117,14 @@ TABLES = {
                CAST(NULL AS DECIMAL(5,2)) AS location_coeff_room, c_mktsegment AS description
         FROM customer, consts""",
     "registration_requests": """
-        SELECT r.id AS request_id, r.create_date AS requested_at, r.id AS reservation_id,
-               (r.id % 4) * nh + r.hotel_id + CASE WHEN r.id % 9 = 0 THEN 1 ELSE 0 END AS room_id,
-               [r.payer_id, r.payer_id + 1, r.payer_id + 100000000] AS guest_ids
+        SELECT r.id * 2 + turn AS request_id, r.create_date + to_days(CAST(turn AS INT)) AS requested_at,
+               CASE WHEN r.id % 31 = 0 THEN -r.id ELSE r.id END AS reservation_id,
+               ((r.id + turn) % 4) * nh + r.hotel_id + CASE WHEN r.id % 9 = 0 THEN 1 ELSE 0 END AS room_id,
+               [r.payer_id, r.payer_id + 1, r.payer_id + 100000000 + turn] AS guest_ids
         FROM reservations r
         JOIN (SELECT reservation_id FROM details_reservations GROUP BY 1 HAVING count(room_id) = 0) d
-          ON d.reservation_id = r.id, consts
+          ON d.reservation_id = r.id
+        JOIN (VALUES (0), (1)) t(turn) ON turn = 0 OR r.id % 5 = 0, consts
         WHERE r.status <> 'cancelled'""",
     "raw_requests": """
         SELECT id AS request_id,
@@ -130,19 +137,19 @@ TABLES = {
                ['cash', 'card', 'online', 'barter'][id % 4 + 1] AS method
         FROM reservations""",
     "offered_payments": """
-        SELECT event_id // 2 AS id, (event_id * 7) % 20000 + 1 AS reservation_id,
+        SELECT event_id // 2 AS id, (event_id * 7) % (nr + nr // 10) + 1 AS reservation_id,
                CAST(value - 20 AS DECIMAL(12,2)) AS payments_sum,
                CASE WHEN event_id % 31 <> 0 THEN CAST(ts AS DATE) END AS payments_date, event_type AS payments_method
-        FROM events""",
+        FROM events, consts""",
     "offered_guests": """
         SELECT c_custkey + 1 AS id,
                CASE WHEN c_custkey % 37 <> 0 THEN repeat(c_mktsegment, CAST(1 + c_custkey % 8 AS INT)) END AS first_name,
-               c_name AS last_name, '+7' || (c_custkey % 1000) AS phone_number,
-               CASE WHEN c_custkey % 4 <> 0 THEN 'm' || (c_custkey % 997) || '@x.org' END AS email,
+               c_name AS last_name, '+7' || (c_custkey % (ng - ng // 10)) AS phone_number,
+               CASE WHEN c_custkey % 4 <> 0 THEN 'm' || (c_custkey % (ng - ng // 11)) || '@x.org' END AS email,
                DATE '1960-01-01' + CAST(c_custkey % 15000 AS INT) AS birth_date,
-               CASE WHEN c_custkey % 3 <> 0 THEN 'D' || (c_custkey % 1009) END AS document,
+               CASE WHEN c_custkey % 3 <> 0 THEN 'D' || (c_custkey % (ng - ng // 12)) END AS document,
                c_custkey % 5 AS loyalty_card_id, CAST(floor(c_acctbal) AS INT) AS bonus_points
-        FROM customer""",
+        FROM customer, consts""",
     "offered_rooms": """
         SELECT p_partkey + 1 AS id, p_partkey % (nh + 3) + 1 AS hotel_id, 1 + p_partkey % 4 AS categories_room_id,
                CAST(100 + p_size AS VARCHAR) AS room_number, p_size AS floor, p_brand AS view
@@ -163,10 +170,13 @@ NEEDS = {
     "payments": ["reservations"],
     "booking_requests": ["reservations"],
     "hotel_changes": ["consts"],
-    "registration_requests": ["reservations", "details_reservations"],
+    "registration_requests": ["consts", "reservations", "details_reservations"],
     "active_stays": ["reservations", "details_reservations"],
     "raw_requests": ["reservations"],
     "offered_rooms": ["consts"],
+    "offered_payments": ["consts"],
+    "offered_guests": ["consts"],
+    "payment_requests": ["consts"],
 }
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from lodgeframe.functions.ordering import strided_ids, writer_of
 from lodgeframe.operators import hotels, quality, replication
+from lodgeframe.operators.booking import NODE_NUMBERS
 from lodgeframe.plans.domain_sql import over
 from lodgeframe.schemas import BRANCHES, DOMAIN_CHECKS, FOREIGN_KEYS, PARTIAL_UNIQUE_KEYS, TEXT_WIDTHS
 from lodgeframe.schemas import UNIQUE_KEYS, key_column, schema
 from lodgeframe.sources.projection import HotelData
 
 SCANNED_NODE = "filial2"
-STRIDE = len(BRANCHES)
+STRIDE = len(NODE_NUMBERS)
 
 # Columns of the reference tables as they are copied.
 COPIED = {
@@ -250,7 +251,7 @@ ORACLES = {
     ),
     "s06_strided_ids": over(
         "guest_changes",
-        """SELECT seq, origin, writer + 3 * (row_number() OVER (PARTITION BY writer ORDER BY seq) - 1) AS new_id,
+        """SELECT seq, origin, writer + 4 * (row_number() OVER (PARTITION BY writer ORDER BY seq) - 1) AS new_id,
                   writer AS decoded_writer
            FROM (SELECT *, CAST(right(origin, 1) AS BIGINT) AS writer FROM guest_changes WHERE op = 'I')""",
     ),

@@ -102,17 +102,13 @@ def p02(spark, path):
     total = pricing.stay_price(
         F.col("price_per_night") * F.col("location_coeff_room"), F.col("rating_coeff"), length
     )
-    return _priced_requests(d).join(stars, "star_rating_id").select("request_id", total.alias("total_price"))
+    return _priced_requests(d).join(stars, "star_rating_id", "left").select("request_id", total.alias("total_price"))
 
 
 def p03(spark, path):
     d = HotelData(spark, path)
-    length = pricing.nights(F.col("start_date"), F.col("end_date"))
-    price, coeff = F.col("price_per_night"), F.col("location_coeff_room")
-    return _priced_requests(d).select(
-        "request_id",
-        pricing.stay_price(price, coeff, length).alias("total_price"),
-        pricing.stay_price(price, coeff, F.lit(1)).alias("price_per_night"),
+    return availability.with_quote(d.booking_requests, d.hotels, d.categories_room).select(
+        "request_id", "total_price", "price_per_night"
     )
 
 
@@ -197,6 +193,9 @@ def _free(rule: str) -> str:
 _HALF = "NOT (s.end_date <= w.start_date OR s.start_date >= w.end_date)"
 _SHUT = "s.start_date <= w.end_date AND s.end_date >= w.start_date"
 
+_BAD_WINDOWS = """SELECT request_id, 400 AS status, 'End date must be after start date' AS error
+           FROM booking_requests WHERE start_date >= end_date UNION ALL BY NAME """
+
 _PRICED = """
     priced AS (SELECT q.*, h.location_coeff_room AS coeff, ch.rating_coeff, c.price_per_night AS price,
                       c.guests_capacity, q.end_date - q.start_date AS nights
@@ -208,25 +207,27 @@ _PRICE_TABLES = "booking_requests hotels categories_hotel categories_room"
 ORACLES = {
     "v01_check_availability": over(
         _ALL,
-        """SELECT k.request_id, 200 AS status, CAST(NULL AS VARCHAR) AS error, available_count > 0 AS available,
+        _BAD_WINDOWS + """SELECT k.request_id, 200 AS status, CAST(NULL AS VARCHAR) AS error, available_count > 0 AS available,
                   available_count AS available_rooms_count, total_rooms, reserved_rooms,
                   CAST(k.end_date - k.start_date AS INT) AS nights,
-                  CAST(round_even(c.price_per_night * h.location_coeff_room * (k.end_date - k.start_date), 2)
-                       AS DECIMAL(12,2)) AS total_price,
-                  CAST(round_even(c.price_per_night * h.location_coeff_room, 2) AS DECIMAL(12,2)) AS price_per_night,
+                  CAST(round_even(coalesce(c.price_per_night, 0) * CASE WHEN h.id IS NULL THEN 1 ELSE h.location_coeff_room END
+                       * (k.end_date - k.start_date), 2) AS DECIMAL(12,2)) AS total_price,
+                  CAST(round_even(coalesce(c.price_per_night, 0) * CASE WHEN h.id IS NULL THEN 1 ELSE h.location_coeff_room END,
+                       2) AS DECIMAL(12,2)) AS price_per_night,
                   c.category_name, c.guests_capacity,
                   CASE WHEN available_count > 0 THEN coalesce(f.room_list, '') ELSE '' END AS available_rooms
-           FROM capacity k JOIN hotels h ON h.id = k.hotel_id JOIN categories_room c ON c.id = k.room_category_id
+           FROM capacity k LEFT JOIN hotels h ON h.id = k.hotel_id LEFT JOIN categories_room c ON c.id = k.room_category_id
            LEFT JOIN (SELECT hotel_id, categories_room_id, string_agg(room_number, ',' ORDER BY room_number) AS room_list
                       FROM (SELECT *, row_number() OVER (PARTITION BY hotel_id, categories_room_id
                                                          ORDER BY room_number, id) AS n FROM rooms)
                       WHERE n <= 5 GROUP BY ALL) f
-             ON f.hotel_id = k.hotel_id AND f.categories_room_id = k.room_category_id""",
+             ON f.hotel_id = k.hotel_id AND f.categories_room_id = k.room_category_id
+           WHERE k.start_date < k.end_date""",
         _COUNTS,
     ),
     "v02_available_categories": over(
         _ALL,
-        """SELECT q.request_id, q.hotel_id, c.id, c.category_name, c.guests_capacity, c.price_per_night, c.description,
+        _BAD_WINDOWS + """SELECT q.request_id, 200 AS status, CAST(NULL AS VARCHAR) AS error, q.hotel_id, c.id, c.category_name, c.guests_capacity, c.price_per_night, c.description,
                   h.location_coeff_room, t.n AS total_rooms, coalesce(k.n, 0) AS reserved_rooms,
                   t.n - coalesce(k.n, 0) AS available_rooms_count,
                   CAST(round_even(c.price_per_night * coalesce(nullif(h.location_coeff_room, 0), 1)
@@ -241,27 +242,27 @@ ORACLES = {
                        AND NOT (s.end_date <= q.start_date OR s.start_date >= q.end_date) GROUP BY ALL) k
              ON k.request_id = q.request_id AND k.c = t.c
            JOIN categories_room c ON c.id = t.c JOIN hotels h ON h.id = q.hotel_id
-           WHERE t.n - coalesce(k.n, 0) > 0""",
+           WHERE t.n - coalesce(k.n, 0) > 0 AND q.start_date < q.end_date""",
     ),
     "v03_candidate_rooms": over(
         _ALL,
-        """SELECT q.request_id, CAST(n AS INT) AS position, r.id, r.hotel_id, r.categories_room_id, r.room_number, r.floor,
+        _BAD_WINDOWS + """SELECT q.request_id, 200 AS status, CAST(NULL AS VARCHAR) AS error, CAST(n AS INT) AS position, r.id, r.hotel_id, r.categories_room_id, r.room_number, r.floor,
                   r.view, c.category_name, c.guests_capacity, c.price_per_night
            FROM booking_requests q
            JOIN (SELECT *, row_number() OVER (PARTITION BY hotel_id, categories_room_id ORDER BY room_number, id) AS n
                  FROM rooms) r ON r.hotel_id = q.hotel_id AND r.categories_room_id = q.room_category_id AND n <= 5
-           JOIN categories_room c ON c.id = r.categories_room_id""",
+           JOIN categories_room c ON c.id = r.categories_room_id WHERE q.start_date < q.end_date""",
     ),
     "v03_candidate_rooms_free": over(
         _ALL,
-        """SELECT request_id, CAST(n AS INT) AS position, id, hotel_id, categories_room_id, room_number, floor, view,
+        _BAD_WINDOWS + """SELECT request_id, 200 AS status, CAST(NULL AS VARCHAR) AS error, CAST(n AS INT) AS position, id, hotel_id, categories_room_id, room_number, floor, view,
                   category_name, guests_capacity, price_per_night
            FROM (SELECT w.request_id, r.*, c.category_name, c.guests_capacity, c.price_per_night,
                         row_number() OVER (PARTITION BY w.request_id ORDER BY r.room_number, r.id) AS n
                  FROM booking_requests w JOIN rooms r
                    ON r.hotel_id = w.hotel_id AND r.categories_room_id = w.room_category_id
                  JOIN categories_room c ON c.id = r.categories_room_id
-                 WHERE """
+                 WHERE w.start_date < w.end_date AND """
         + _free(_HALF)
         + ") WHERE n <= 5",
         _WINDOWS,
@@ -287,7 +288,7 @@ ORACLES = {
         _ALL,
         "SELECT w.*, min(r.id) AS room_id FROM windows w JOIN rooms r ON r.hotel_id = w.hotel_id "
         "AND r.categories_room_id = w.room_category_id WHERE "
-        + _free(f"(({_SHUT}) OR (s.start_date >= w.start_date AND s.start_date < w.end_date))")
+        + _free(_SHUT)
         + " GROUP BY ALL",
         _WINDOWS,
     ),
@@ -344,8 +345,9 @@ ORACLES = {
     ),
     "p03_availability_quote": over(
         _PRICE_TABLES,
-        """SELECT request_id, CAST(round_even(price * coeff * nights, 2) AS DECIMAL(12,2)) AS total_price,
-                  CAST(round_even(price * coeff, 2) AS DECIMAL(12,2)) AS price_per_night FROM priced""",
+        """SELECT request_id, CAST(round_even(p * c * nights, 2) AS DECIMAL(12,2)) AS total_price,
+                  CAST(round_even(p * c, 2) AS DECIMAL(12,2)) AS price_per_night
+           FROM (SELECT *, coalesce(price, 0) AS p, CASE WHEN rating_coeff IS NULL THEN 1 ELSE coeff END AS c FROM priced)""",
         _PRICED,
     ),
     "p04_base_quote": over(

@@ -57,6 +57,10 @@ class HotelData:
     def _guest_count(self) -> Column:
         return F.lit(self.raw("customer").count())
 
+    @cached_property
+    def _reservation_count(self) -> Column:
+        return F.lit(self.raw("orders").count())
+
     @cached_property
     def cities(self) -> DataFrame:
         nation, region = self.raw("nation"), self.raw("region")
@@ -167,7 +171,9 @@ class HotelData:
             F.expr("CASE WHEN o_orderstatus = 'F' THEN 'paid' ELSE 'unpaid' END").alias("payments_status"),
             (F.col("o_custkey") + 1).alias("payer_id"),
             "start_date",
-            F.expr("date_add(start_date, CAST(1 + o_orderkey % 7 AS INT))").alias("end_date"),
+            F.expr(
+                "date_add(start_date, CAST(CASE WHEN o_orderkey % 10 = 3 THEN 0 ELSE 1 + o_orderkey % 7 END AS INT))"
+            ).alias("end_date"),
         )
 
     @cached_property
@@ -221,23 +227,29 @@ class HotelData:
 
     @cached_property
     def booking_requests(self) -> DataFrame:
+        """Some name no known hotel or category or no guest, some dates hold no night."""
         return self.reservations.where("status = 'cancelled'").select(
             F.col("id").alias("request_id"),
             F.col("create_date").alias("requested_at"),
-            "hotel_id",
-            F.col("payer_id").alias("guest_id"),
-            F.expr("1 + id % 3").alias("room_category_id"),
+            F.expr("CASE WHEN id % 41 = 0 THEN -hotel_id ELSE hotel_id END").alias("hotel_id"),
+            F.expr("CASE WHEN id % 47 <> 0 THEN payer_id END").alias("guest_id"),
+            F.expr("CASE WHEN id % 43 = 0 THEN 9 ELSE 1 + id % 3 END").cast("bigint").alias("room_category_id"),
             "start_date",
             "end_date",
             F.expr("CAST(1 + id % 5 AS INT)").alias("total_guests"),
+            F.expr("CASE WHEN id % 4 = 0 THEN array(payer_id + 1, payer_id + 2, payer_id) END").alias(
+                "additional_guests"
+            ),
         )
 
     @cached_property
     def payment_requests(self) -> DataFrame:
-        return self.raw("events").where("event_type = 'purchase'").select(
+        """Spread over all reservations; a few name none."""
+        keyed = self.raw("events").where("event_type = 'purchase'").withColumn("nr", self._reservation_count)
+        return keyed.select(
             F.col("event_id").alias("request_id"),
             F.col("ts").alias("requested_at"),
-            F.expr("(event_id * 7) % 3000 + 1").alias("reservation_id"),
+            F.expr("(event_id * 7) % (nr + nr DIV 50) + 1").alias("reservation_id"),
             _money("value").alias("amount"),
             F.expr("element_at(array('cash', 'card', 'online'), CAST(event_id % 3 AS INT) + 1)").alias("method"),
         )
@@ -291,22 +303,23 @@ class HotelData:
 
     @cached_property
     def registration_requests(self) -> DataFrame:
-        """Unplaced bookings asking for one of their hotel's rooms by row order of creation."""
-        nh = self._hotel_count
-        lines = self.details_reservations.groupBy("reservation_id").agg(
-            F.count("room_id").alias("held"), F.min("id").alias("detail_id")
-        )
+        """Unplaced bookings asking for one of their hotel's rooms; every fifth asks again a day later.
+
+        Some ask for a room of the next hotel, and some name no known reservation.
+        """
+        lines = self.details_reservations.groupBy("reservation_id").agg(F.count("room_id").alias("held"))
         open_lines = lines.where("held = 0")
         return (
             self.reservations.where("status <> 'cancelled'")
             .join(open_lines, F.col("reservation_id") == F.col("id"))
-            .withColumn("nh", nh)
+            .withColumn("nh", self._hotel_count)
+            .withColumn("turn", F.explode(F.expr("CASE WHEN id % 5 = 0 THEN array(0, 1) ELSE array(0) END")))
             .select(
-                F.col("id").alias("request_id"),
-                F.col("create_date").alias("requested_at"),
-                "reservation_id",
-                F.expr("(id % 4) * nh + hotel_id + CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END").alias("room_id"),
-                F.expr("array(payer_id, payer_id + 1, payer_id + 100000000)").alias("guest_ids"),
+                F.expr("id * 2 + turn").alias("request_id"),
+                F.expr("create_date + make_dt_interval(turn)").alias("requested_at"),
+                F.expr("CASE WHEN id % 31 = 0 THEN -id ELSE id END").alias("reservation_id"),
+                F.expr("((id + turn) % 4) * nh + hotel_id + CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END").alias("room_id"),
+                F.expr("array(payer_id, payer_id + 1, payer_id + 100000000 + turn)").alias("guest_ids"),
             )
         )
 
@@ -349,23 +362,23 @@ class HotelData:
         """Rows offered for loading, faults included: requests and changes in the shape of the tables."""
         nh = self._hotel_count
         offered = dict(self.base_tables)
-        offered["payments"] = self.raw("events").select(
+        offered["payments"] = self.raw("events").withColumn("nr", self._reservation_count).select(
             F.expr("event_id DIV 2").alias("id"),
-            F.expr("(event_id * 7) % 20000 + 1").alias("reservation_id"),
+            F.expr("(event_id * 7) % (nr + nr DIV 10) + 1").alias("reservation_id"),
             F.expr("CAST(value - 20 AS DECIMAL(12,2))").alias("payments_sum"),
             F.expr("CASE WHEN event_id % 31 <> 0 THEN CAST(ts AS DATE) END").alias("payments_date"),
             F.col("event_type").alias("payments_method"),
         )
-        offered["guests"] = self.raw("customer").select(
+        offered["guests"] = self.raw("customer").withColumn("ng", self._guest_count).select(
             (F.col("c_custkey") + 1).alias("id"),
             F.expr("CASE WHEN c_custkey % 37 <> 0 THEN repeat(c_mktsegment, CAST(1 + c_custkey % 8 AS INT)) END").alias(
                 "first_name"
             ),
             F.col("c_name").alias("last_name"),
-            F.expr("concat('+7', c_custkey % 1000)").alias("phone_number"),
-            F.expr("CASE WHEN c_custkey % 4 <> 0 THEN concat('m', c_custkey % 997, '@x.org') END").alias("email"),
+            F.expr("concat('+7', c_custkey % (ng - ng DIV 10))").alias("phone_number"),
+            F.expr("CASE WHEN c_custkey % 4 <> 0 THEN concat('m', c_custkey % (ng - ng DIV 11), '@x.org') END").alias("email"),
             F.expr("date_add(DATE'1960-01-01', CAST(c_custkey % 15000 AS INT))").alias("birth_date"),
-            F.expr("CASE WHEN c_custkey % 3 <> 0 THEN concat('D', c_custkey % 1009) END").alias("document"),
+            F.expr("CASE WHEN c_custkey % 3 <> 0 THEN concat('D', c_custkey % (ng - ng DIV 12)) END").alias("document"),
             F.expr("c_custkey % 5").alias("loyalty_card_id"),
             F.expr("CAST(floor(c_acctbal) AS INT)").alias("bonus_points"),
         )

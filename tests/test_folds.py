@@ -79,12 +79,11 @@ def test_no_two_active_stays_share_a_room_after_registration(spark, data):
     decisions = booking.register_guests(
         data.registration_requests, data.reservations, data.details_reservations, data.rooms
     )
-    won = [
-        (r.reservation_id, r.room_id, r.start_date, r.end_date)
-        for r in decisions.where("status = 200")
-        .join(data.reservations.selectExpr("id AS reservation_id", "start_date", "end_date"), "reservation_id")
-        .collect()
-    ]
+    last = {}
+    for r in sorted(decisions.where("status = 200").collect(), key=lambda r: (r.requested_at, r.request_id)):
+        last[r.reservation_id] = r.room_id
+    dates = {r.id: (r.start_date, r.end_date) for r in data.reservations.collect()}
+    won = [(n, room, *dates[n]) for n, room in last.items()]
     assert won
     for i, a in enumerate(won):
         assert not any(a[1] == b[1] and overlap(a[2], a[3], b[2], b[3]) for b in won[i + 1 :])
@@ -99,23 +98,89 @@ def test_registration_answers(spark):
         [(n * 10, n, None, 1) for n in (1, 2, 4, 5)] + [(41, 4, None, 1)],
         "id long, reservation_id long, room_id long, requested_room_category long",
     )
-    rooms = spark.createDataFrame([(100, 1), (101, 1), (200, 2)], "id long, hotel_id long")
+    rooms = spark.createDataFrame([(100, 1), (101, 1), (102, 1), (200, 2)], "id long, hotel_id long")
     at = datetime.datetime(2024, 1, 1)
-    asks = [(1, 1, 100), (2, 2, 100), (3, 9, 100), (4, 5, 100), (5, 3, 101), (6, 4, 101), (7, 4, 101)]
+    asks = [(1, 1, 100), (2, 2, 100), (3, 9, 100), (4, 5, 100), (5, 3, 101), (6, 4, 101), (7, 4, 101), (8, 2, 101), (9, 4, 102), (10, 2, 101)]
     requests = spark.createDataFrame(
         [(n, at, r, room, [7, 8, 999]) for n, r, room in asks],
         "request_id long, requested_at timestamp_ntz, reservation_id long, room_id long, guest_ids array<long>",
     )
     decisions = booking.register_guests(requests, reservations, details, rooms)
-    assert {r.request_id: r.status for r in decisions.collect()} == {
-        1: 200, 2: 409, 3: 404, 4: 400, 5: 400, 6: 200, 7: 409,
+    got = {r.request_id: r for r in decisions.collect()}
+    # Reservation 2 gets a second choice, but only once 4 has moved out of it.
+    assert {n: r.status for n, r in got.items()} == {
+        1: 200, 2: 409, 3: 404, 4: 400, 5: 400, 6: 200, 7: 200, 8: 409, 9: 200, 10: 200,
     }
+    assert got[8].error == "Room is already occupied by another reservation (ID: 4) for these dates"
     guests = spark.createDataFrame([(7,), (8,)], "id long")
     present = spark.createDataFrame([(10, 7)], "room_reservation_id long, guest_id long")
     added = booking.registered_guests(decisions, details, guests, present).collect()
-    assert {tuple(r) for r in added} == {(10, 8), (40, 7), (40, 8)}
+    assert {tuple(r) for r in added} == {(10, 8), (20, 7), (20, 8), (40, 7), (40, 8)}
     placed = booking.registered_details(details, decisions).collect()
-    assert {r.id: r.room_id for r in placed} == {10: 100, 20: None, 40: 101, 41: 101, 50: None}
+    assert {r.id: r.room_id for r in placed} == {10: 100, 20: 101, 40: 102, 41: 102, 50: None}
+    confirmed = booking.registered_reservations(reservations, decisions).collect()
+    assert {r.id: r.status for r in confirmed} == {1: "confirmed", 2: "confirmed", 3: "pending", 4: "confirmed", 5: "pending"}
+
+
+def _one_at_a_time(asks, reservations, lines):
+    """Registration as a loop over requests, over lists of rows."""
+    active = {r for r, (_, status, _, _) in reservations.items() if status != "cancelled"}
+    lines, answers = [list(line) for line in lines], {}
+    for number, reservation, room in asks:
+        _, _, start, end = reservations[reservation]
+        clash = [
+            r
+            for r, held in lines
+            if held == room and r != reservation and r in active
+            and reservations[r][2] < end and reservations[r][3] > start
+        ]
+        answers[number] = (409, min(clash)) if clash else (200, None)
+        if not clash:
+            active.add(reservation)
+            for line in lines:
+                if line[0] == reservation:
+                    line[1] = room
+    return answers, sorted((r, room or 0) for r, room in lines)
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_registration_equals_one_at_a_time(spark, batches):
+    rng = random.Random(12)
+    reservations, lines = {}, []
+    for n in range(1, 61):
+        start = rng.randrange(12)
+        reservations[n] = (1, rng.choice(["pending", "confirmed", "cancelled"]), day(start), day(start + rng.choice([0, 1, 2, 4])))
+        lines += [(n, rng.choice([None, None, *range(100, 106)])) for _ in range(rng.choice([1, 1, 2]))]
+    asks = [(n, rng.randrange(1, 61), rng.randrange(100, 106)) for n in range(1, 121)]
+    expected, expected_lines = _one_at_a_time(asks, reservations, lines)
+    rooms = spark.createDataFrame([(room, 1) for room in range(100, 106)], "id long, hotel_id long")
+    known = spark.createDataFrame(
+        [(n, h, 7, s, a, b) for n, (h, s, a, b) in reservations.items()],
+        "id long, hotel_id long, payer_id long, status string, start_date date, end_date date",
+    )
+    details = spark.createDataFrame(
+        [(k, r, room) for k, (r, room) in enumerate(lines)], "id long, reservation_id long, room_id long"
+    )
+    at, got = datetime.datetime(2024, 1, 1), {}
+    size = len(asks) // batches
+    for k in range(batches):
+        requests = spark.createDataFrame(
+            [(n, at, r, room, [7]) for n, r, room in asks[k * size : (k + 1) * size]],
+            "request_id long, requested_at timestamp_ntz, reservation_id long, room_id long, guest_ids array<long>",
+        )
+        decisions = spark.createDataFrame(booking.register_guests(requests, known, details, rooms).collect(), _DECIDED)
+        for r in decisions.collect():
+            got[r.request_id] = (r.status, int(r.error.split("ID: ")[1].split(")")[0]) if r.status == 409 else None)
+        details = spark.createDataFrame(booking.registered_details(details, decisions).collect(), details.schema)
+        known = spark.createDataFrame(booking.registered_reservations(known, decisions).collect(), known.schema)
+    assert got == expected
+    assert sorted((r.reservation_id, r.room_id or 0) for r in details.collect()) == expected_lines
+
+
+_DECIDED = (
+    "request_id long, requested_at timestamp_ntz, reservation_id long, room_id long, payer_id long, "
+    "guest_ids array<long>, status int, error string"
+)
 
 
 LADDER = [(0, 1, 500), (1000, 2, 1000), (3000, 3, 1500)]
@@ -231,7 +296,9 @@ def test_bookings_reject_with_reasons(spark):
     assert got[1].total_price == Decimal("352.00")
     assert got[7].total_price == Decimal("220.00")
     assert got[6].error == "Missing required fields: guest_id, room_category_id"
-    reservations, details, occupancy = booking.booking_tables(decisions)
-    assert sorted(r.id for r in reservations.collect()) == [2, 6]
+    seen = spark.createDataFrame([(1,), (2,), (7,)], "id long")
+    reservations, details, occupancy = booking.booking_tables(decisions, booking.used_numbers(seen))
+    # Writer 2 has gone past 2; its series goes on with 6.
+    assert sorted(r.id for r in reservations.collect()) == [6, 10]
     assert details.where("room_id IS NULL").count() == 2
-    assert {tuple(r)[:2] for r in occupancy.collect()} == {(2, 7), (6, 7)}
+    assert {tuple(r)[:2] for r in occupancy.collect()} == {(6, 7), (10, 7)}
