@@ -27,25 +27,40 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _demand(tables: dict[str, DataFrame], names) -> None:
+    """A rule without its table would pass unnoticed, so a missing table is an error."""
+    missing = sorted(set(names) - set(tables))
+    if missing:
+        raise ValueError(f"tables to check are missing: {', '.join(missing)}")
+
+
 def broken_references(tables: dict[str, DataFrame], rules: list[tuple[str, str, str]] = FOREIGN_KEYS) -> DataFrame:
     """Child rows whose non-null key has no parent.
 
-    The distinct key values meet the parents first, so a value held by very many rows is shuffled
-    once; the rows are then picked by the few values left over.
+    A child is read once for all its rules. The distinct key values meet the parents first, so a
+    value held by very many rows is shuffled once; the rows are then picked by the values left over.
     """
+    _demand(tables, [name for child, _, parent in rules for name in (child, parent)])
     parts = []
-    for child, column, parent in rules:
-        if child not in tables or parent not in tables:
-            continue
-        rows = tables[child].where(F.col(column).isNotNull()).select(
-            F.lit(child).alias("table_name"),
-            F.lit(column).alias("column_name"),
-            F.col(key_column(child)).alias("row_key"),
-            F.col(column).cast("bigint").alias("value"),
+    for child in dict.fromkeys(rule[0] for rule in rules):
+        own = [(column, parent) for owner, column, parent in rules if owner == child]
+        pairs = F.array(
+            *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("value")) for c, _ in own]
+        )
+        rows = tables[child].select(
+            F.lit(child).alias("table_name"), F.col(key_column(child)).alias("row_key"), F.explode(pairs).alias("p")
+        ).select("table_name", "p.*", "row_key").where("value IS NOT NULL")
+        values = rows.select("column_name", "value").distinct()
+        known = _union(
+            [
+                tables[parent].select(F.lit(c).alias("column_name"), F.col("id").cast("bigint").alias("value"))
+                for c, parent in own
+            ]
+        )
+        orphans = values.join(known, ["column_name", "value"], "left_anti")
+        parts.append(
+            rows.join(orphans, ["column_name", "value"], "left_semi").select("table_name", "column_name", "row_key", "value")
         )
-        known = tables[parent].select(F.col("id").cast("bigint").alias("value"))
-        orphans = rows.select("value").distinct().join(known, "value", "left_anti")
-        parts.append(rows.join(orphans, "value", "left_semi").select("table_name", "column_name", "row_key", "value"))
     return _union(parts)
 
 
@@ -54,8 +69,9 @@ def duplicate_keys(tables: dict[str, DataFrame], rules: list[tuple[str, list[str
 
     All keys of a table are read in one pass, as text parts so that unlike keys share the shuffle.
     """
+    _demand(tables, [table for table, _ in rules])
     parts = []
-    for table in dict.fromkeys(rule[0] for rule in rules if rule[0] in tables):
+    for table in dict.fromkeys(rule[0] for rule in rules):
         keys = []
         for owner, columns in rules:
             if owner == table:
@@ -93,6 +109,7 @@ def _violations(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -> D
 
 def broken_domains(tables: dict[str, DataFrame], rules: list[tuple[str, str, str]] = DOMAIN_CHECKS) -> DataFrame:
     """Rows that make a value rule false; an unknown outcome passes."""
+    _demand(tables, [table for table, _, _ in rules])
     parts = []
     for table, df in tables.items():
         own = [(name, F.expr(f"NOT ({condition})")) for owner, name, condition in rules if owner == table]
@@ -102,19 +119,15 @@ def broken_domains(tables: dict[str, DataFrame], rules: list[tuple[str, str, str
 
 
 def bad_shapes(tables: dict[str, DataFrame]) -> DataFrame:
-    """Absent values in mandatory columns and texts wider than their column."""
+    """Absent values in mandatory columns and texts wider than their column, in each table given."""
     parts = []
     for table, df in tables.items():
         rules = [
             (f"{field.name} is missing", F.col(field.name).isNull())
             for field in schema(table).fields
-            if not field.nullable and field.name in df.columns
-        ]
-        rules += [
-            (f"{name} is too long", F.length(name) > width)
-            for name, width in TEXT_WIDTHS.get(table, {}).items()
-            if name in df.columns
+            if not field.nullable
         ]
+        rules += [(f"{name} is too long", F.length(name) > width) for name, width in TEXT_WIDTHS.get(table, {}).items()]
         parts.append(_violations(df, table, rules))
     return _union(parts)
 

@@ -18,20 +18,25 @@ FEED = ["seq", "ts", "origin", "op", "key"]
 RECENCY = ["ts", "origin", "seq"]
 
 
-def payload(df: DataFrame) -> Column:
-    """All columns but the id as one text, absent values empty, for rows of unlike tables."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns if c != "id"]
-    return F.concat_ws("|", *parts)
+def distribute_reference(tables: dict[str, DataFrame], branches: list[str] = BRANCHES) -> dict[str, DataFrame]:
+    """Each reference table as the branches receive it: all its rows once per ``node``."""
+    receivers = F.explode(F.array(*[F.lit(b) for b in branches])).alias("node")
+    return {name: df.select("*", receivers) for name, df in tables.items()}
 
 
-def distribute_reference(tables: dict[str, DataFrame], branches: list[str] = BRANCHES) -> DataFrame:
-    """Snapshot rows of the reference tables as every branch receives them."""
-    receivers = F.explode(F.array(*[F.lit(b) for b in branches])).alias("node")
-    parts = [
-        df.select(F.lit(name).alias("table_name"), F.col("id"), payload(df).alias("payload")).select("*", receivers)
-        for name, df in tables.items()
+def stacked(table: str, df: DataFrame) -> DataFrame:
+    """``table_name, node, id, column_name, value``: a row per cell, so that unlike tables go together.
+
+    Absent values stay NULL.
+    """
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+        for c in df.columns
+        if c not in ("id", "node")
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return df.select(F.lit(table).alias("table_name"), "node", "id", F.explode(F.array(*cells)).alias("c")).select(
+        "table_name", "node", "id", "c.*"
+    )
 
 
 def consolidate(fragments: dict[str, DataFrame]) -> DataFrame:
@@ -71,6 +76,7 @@ def sync_tables(feeds: list[DataFrame]) -> DataFrame:
 def apply_changes(target: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """``target`` (keyed by ``id``) after the feed: changed columns replaced, new keys added, deletes gone.
 
+    Of a key that the target lacks only an insert makes a row; an update of it changes nothing.
     Applying the same feed again changes nothing.
     """
     latest = latest_changes(changes.select(*FEED, *columns)).select(
@@ -86,7 +92,7 @@ def apply_changes(target: DataFrame, changes: DataFrame, columns: list[str]) ->
         else:
             out.append(F.col(name))
     merged = target.join(latest, target.id == latest.key, "full")
-    return merged.where("op IS NULL OR op <> 'D'").select(*out)
+    return merged.where("op IS NULL OR op = 'I' OR (op = 'U' AND id IS NOT NULL)").select(*out)
 
 
 def payments_rollup(payments: DataFrame, width: str = "3 hours") -> DataFrame:

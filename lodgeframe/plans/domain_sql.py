@@ -25,6 +25,16 @@ TABLES = {
     "types_amenities": """
         SELECT CAST(id AS BIGINT) AS id, n AS name
         FROM (VALUES (1, 'Pool'), (2, 'Parking'), (3, 'Spa'), (4, 'Gym')) t(id, n)""",
+    "positions": """
+        SELECT CAST(id AS BIGINT) AS id, n AS position_name
+        FROM (VALUES (1, 'Receptionist'), (2, 'Manager'), (3, 'Cleaner')) t(id, n)""",
+    "employees": """
+        SELECT c_custkey + 1 AS id, c_mktsegment AS first_name, c_name AS last_name, CAST(NULL AS VARCHAR) AS middle_name,
+               1 + c_custkey // 10 % 3 AS position_id, '+6' || c_custkey AS phone_number,
+               CASE WHEN c_custkey % 40 <> 0 THEN 'e' || c_custkey || '@stay.example' END AS email,
+               DATE '2015-01-01' + CAST(c_custkey % 3000 AS INT) AS employment_date, CAST(NULL AS DATE) AS fired_date,
+               c_custkey // 10 % nh + 1 AS hotel_id, CAST(30000 + c_custkey % 1000 * 10 AS DECIMAL(12,2)) AS salary
+        FROM customer, consts WHERE c_custkey % 10 = 0""",
     "hotels": """
         SELECT s_suppkey + 1 AS id, s_name AS name, CAST(s_nationkey % 20 + 1 AS BIGINT) AS city_id,
                'Street ' || s_suppkey AS address, '+7' || s_suppkey AS phone_number,
@@ -52,7 +62,7 @@ TABLES = {
         FROM customer""",
     "reservations": """
         SELECT *, start_date + CAST(CASE WHEN (id - 1) % 10 = 3 THEN 0 ELSE 1 + (id - 1) % 7 END AS INT) AS end_date
-        FROM (SELECT o_orderkey + 1 AS id, o_orderkey % nh + 1 AS hotel_id, CAST(NULL AS BIGINT) AS employee_id,
+        FROM (SELECT o_orderkey + 1 AS id, o_orderkey % nh + 1 AS hotel_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % ((ng + 9) // 10) * 10 + 1 END AS employee_id,
                      o_orderdate AS create_date,
                      CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'cancelled' END
                          AS status,
@@ -82,6 +92,12 @@ TABLES = {
         SELECT id, id AS reservation_id, total_price AS payments_sum, start_date - 5 AS payments_date,
                ['cash', 'card', 'online'][id % 3 + 1] AS payments_method
         FROM reservations WHERE payments_status = 'paid'""",
+    "payments_amenities": """
+        SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey % nh * 4 + 1 + l_linenumber % 4 AS hotel_amenities_id,
+               l_orderkey + 1 AS payment_id, CAST(1 + CAST(min(l_quantity) AS BIGINT) % 3 AS INT) AS quantity,
+               CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS total_amenities_price
+        FROM lineitem SEMI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') USING (l_orderkey),
+             consts GROUP BY l_orderkey, l_linenumber, nh""",
     "booking_requests": """
         SELECT id AS request_id, create_date AS requested_at,
                CASE WHEN id % 41 = 0 THEN -hotel_id ELSE hotel_id END AS hotel_id,
@@ -144,12 +160,25 @@ TABLES = {
     "offered_guests": """
         SELECT c_custkey + 1 AS id,
                CASE WHEN c_custkey % 37 <> 0 THEN repeat(c_mktsegment, CAST(1 + c_custkey % 8 AS INT)) END AS first_name,
-               c_name AS last_name, '+7' || (c_custkey % (ng - ng // 10)) AS phone_number,
+               c_name AS last_name, CASE WHEN c_custkey % 61 = 0 THEN repeat('m', 60) END AS middle_name,
+               '+7' || (c_custkey % (ng - ng // 10)) AS phone_number,
                CASE WHEN c_custkey % 4 <> 0 THEN 'm' || (c_custkey % (ng - ng // 11)) || '@x.org' END AS email,
                DATE '1960-01-01' + CAST(c_custkey % 15000 AS INT) AS birth_date,
                CASE WHEN c_custkey % 3 <> 0 THEN 'D' || (c_custkey % (ng - ng // 12)) END AS document,
                c_custkey % 5 AS loyalty_card_id, CAST(floor(c_acctbal) AS INT) AS bonus_points
         FROM customer, consts""",
+    "offered_employees": """
+        SELECT c_custkey + 1 AS id, c_mktsegment AS first_name, CASE WHEN c_custkey % 53 <> 0 THEN c_name END AS last_name,
+               CASE WHEN c_custkey % 59 = 0 THEN repeat('m', 51) END AS middle_name, 1 + c_custkey % 4 AS position_id,
+               '+6' || c_custkey AS phone_number, 'e' || (c_custkey % (ng - ng // 9)) || '@stay.example' AS email,
+               DATE '2015-01-01' + CAST(c_custkey % 3000 AS INT) AS employment_date, CAST(NULL AS DATE) AS fired_date,
+               c_custkey % (nh + 2) + 1 AS hotel_id, CAST(c_acctbal AS DECIMAL(12,2)) AS salary
+        FROM customer, consts""",
+    "offered_payments_amenities": """
+        SELECT l_orderkey * 4 + l_linenumber AS id, l_suppkey % (nh * 4 + 8) + 1 AS hotel_amenities_id,
+               l_orderkey + 1 AS payment_id, l_linenumber - 1 AS quantity,
+               CAST(l_extendedprice - 2000 AS DECIMAL(12,2)) AS total_amenities_price
+        FROM lineitem, consts""",
     "offered_rooms": """
         SELECT p_partkey + 1 AS id, p_partkey % (nh + 3) + 1 AS hotel_id, 1 + p_partkey % 4 AS categories_room_id,
                CAST(100 + p_size AS VARCHAR) AS room_number, p_size AS floor, p_brand AS view
@@ -174,6 +203,10 @@ NEEDS = {
     "active_stays": ["reservations", "details_reservations"],
     "raw_requests": ["reservations"],
     "offered_rooms": ["consts"],
+    "offered_employees": ["consts"],
+    "offered_payments_amenities": ["consts"],
+    "employees": ["consts"],
+    "payments_amenities": ["consts"],
     "offered_payments": ["consts"],
     "offered_guests": ["consts"],
     "payment_requests": ["consts"],

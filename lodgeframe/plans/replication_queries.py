@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgeframe.functions.ordering import strided_ids, writer_of
@@ -10,9 +14,14 @@ from lodgeframe.operators.booking import NODE_NUMBERS
 from lodgeframe.plans.domain_sql import over
 from lodgeframe.schemas import BRANCHES, DOMAIN_CHECKS, FOREIGN_KEYS, PARTIAL_UNIQUE_KEYS, TEXT_WIDTHS
 from lodgeframe.schemas import UNIQUE_KEYS, key_column, schema
+from lodgeframe.session import shared_folder
+from lodgeframe.sources import store
 from lodgeframe.sources.projection import HotelData
 
 SCANNED_NODE = "filial2"
+# How far the centre has received the branches' changes and payments.
+DELIVERED_UNTIL = "2000-01-01 00:00:00"
+ROLLED_UP_UNTIL = "2024-03-01"
 STRIDE = len(NODE_NUMBERS)
 
 # Columns of the reference tables as they are copied.
@@ -23,6 +32,7 @@ COPIED = {
     "categories_hotel": "star_rating rating_coeff",
     "categories_room": "category_name guests_capacity price_per_night description",
     "loyalty_cards": "program_name req_bonus_amount discount",
+    "positions": "position_name",
     "types_amenities": "name",
 }
 
@@ -45,6 +55,7 @@ def _with_nodes(d):
         .join(stays, "reservation_id")
         .select("hotel_id", "id"),
         "amenities": d.amenities.select("hotel_id", "id"),
+        "employees": d.employees.select("hotel_id", "id"),
         "payments": d.payments.select("id", "reservation_id").join(stays, "reservation_id").select("hotel_id", "id"),
     }
     return {name: replication.split_by_node(df, _routes(d)) for name, df in keyed.items()}
@@ -52,18 +63,13 @@ def _with_nodes(d):
 
 def _distribute(d):
     tables = {name: getattr(d, name).select("id", *columns.split()) for name, columns in COPIED.items()}
-    return replication.distribute_reference(tables)
+    sent = replication.distribute_reference(tables)
+    return reduce(DataFrame.unionByName, [replication.stacked(name, df) for name, df in sent.items()])
 
 
 def _consolidate(d):
-    merged = []
-    for name, df in _with_nodes(d).items():
-        fragments = {b: replication.node_scan(df, b).select("id") for b in BRANCHES}
-        merged.append(replication.consolidate(fragments).select(F.lit(name).alias("table_name"), "node", "id"))
-    out = merged[0]
-    for part in merged[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = [df.select(F.lit(name).alias("table_name"), "node", "id") for name, df in _with_nodes(d).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _apply(d):
@@ -92,30 +98,49 @@ def _routed(d):
     return replication.split_by_node(d.booking_requests, _routes(d)).select("request_id", "hotel_id", "node")
 
 
-def _scan(d):
-    owned = replication.split_by_node(d.reservations, _routes(d))
-    return replication.node_scan(owned, SCANNED_NODE).select("node", *d.reservations.columns)
+def _scan(spark, path):
+    """Reservations in a folder per node, of which the scan opens one."""
+    d = HotelData(spark, path)
+    run = f"{spark.sparkContext.applicationId}-{zlib.crc32(path.encode())}"
+    folder = f"{shared_folder(spark).rstrip('/')}/lodgeframe-nodes-{run}/reservations"
+    store.write_by_node(replication.split_by_node(d.reservations, _routes(d)), folder, mode="overwrite")
+    stored = spark.read.schema(store.node_schema("reservations")).parquet(folder)
+    return replication.node_scan(stored, SCANNED_NODE).select("node", *d.reservations.columns)
 
 
 def _parity(d):
-    keyed = _with_nodes(d)
+    """Branches as their own changes leave them, the centre as the changes delivered so far leave it."""
     at_branches = F.col("node").isin(BRANCHES)
+    made = (
+        replication.split_by_node(d.reservation_changes, _routes(d))
+        .where(at_branches)
+        .select("seq", "ts", F.col("node").alias("origin"), "op", "key")
+    )
+
+    def after(feed):
+        return replication.sync_tables([feed.withColumn("source", F.col("origin"))]).select(
+            F.col("origin").alias("node"), F.col("key").cast("string").alias("key")
+        )
+
+    delivered = after(made.where(F.col("ts") <= F.lit(DELIVERED_UNTIL).cast("timestamp_ntz")))
     stays = d.reservations.select(F.col("id").alias("reservation_id"), "hotel_id")
     lines = d.details_reservations.select(F.col("id").alias("room_reservation_id"), "reservation_id")
+    paid = replication.split_by_node(d.payments.join(stays, "reservation_id"), _routes(d)).where(at_branches)
+    keyed = paid.select("node", F.col("id").cast("string").alias("key"), "payments_date")
     occupancy = replication.split_by_node(
         d.room_reservation_guests.join(lines, "room_reservation_id").join(stays, "reservation_id"), _routes(d)
-    ).select("node", F.concat_ws("-", "room_reservation_id", "guest_id").alias("key"))
-    parts = []
-    for name in ("rooms", "reservations", "payments"):
-        rows = keyed[name].where(at_branches).select("node", F.col("id").cast("string").alias("key"))
-        parts.append(replication.fragment_parity(rows, rows, name))
-    # Occupancy is never published, so the centre holds none of it.
-    branch = occupancy.where(at_branches)
-    parts.append(replication.fragment_parity(branch, branch.where(F.lit(False)), "room_reservation_guests"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    ).select("node", F.concat_ws("-", "room_reservation_id", "guest_id").alias("key")).where(at_branches)
+    rooms = _with_nodes(d)["rooms"].where(at_branches).select("node", F.col("id").cast("string").alias("key"))
+    parts = [
+        replication.fragment_parity(rooms, rooms, "rooms"),
+        replication.fragment_parity(after(made), delivered, "reservations"),
+        replication.fragment_parity(
+            keyed.drop("payments_date"), keyed.where(f"payments_date <= DATE'{ROLLED_UP_UNTIL}'").drop("payments_date"), "payments"
+        ),
+        # Occupancy is never published, so the centre holds none of it.
+        replication.fragment_parity(occupancy, occupancy.limit(0), "room_reservation_guests"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES = {
@@ -126,7 +151,7 @@ QUERIES = {
     "s05_payments_rollup": _on(_rollup),
     "s06_strided_ids": _on(_new_ids),
     "s07_route_writes": _on(_routed),
-    "s08_node_scan": _on(_scan),
+    "s08_node_scan": _scan,
     "q01_foreign_keys": _on(lambda d: quality.broken_references(d.incoming_tables)),
     "q02_unique_keys": _on(lambda d: quality.duplicate_keys(d.incoming_tables)),
     "q03_partial_unique": _on(lambda d: quality.duplicate_present_keys(d.incoming_tables)),
@@ -140,17 +165,18 @@ QUERIES = {
 _INCOMING = {
     name: name
     for name in (
-        "types_amenities cities categories_hotel categories_room loyalty_cards hotels amenities reservations "
+        "types_amenities cities categories_hotel categories_room loyalty_cards positions hotels amenities reservations "
         "details_reservations room_reservation_guests"
     ).split()
-} | {"payments": "offered_payments", "guests": "offered_guests", "rooms": "offered_rooms"}
+} | {name: f"offered_{name}" for name in ("payments", "guests", "rooms", "employees", "payments_amenities")}
 _INCOMING_TABLES = " ".join(_INCOMING.values())
-_ABSENT = {"guests": {"middle_name"}}
 
 
-def _payload_sql(table: str) -> str:
-    parts = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in COPIED[table].split())
-    return f"SELECT '{table}' AS table_name, id, {parts} AS payload, b.node FROM {table}, branches b"
+def _cells_sql(table: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, b.node, id, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {table}, branches b"
+        for c in COPIED[table].split()
+    )
 
 
 def _references_sql() -> str:
@@ -159,7 +185,6 @@ def _references_sql() -> str:
         f"CAST({column} AS BIGINT) AS value FROM {_INCOMING[child]} "
         f"WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {_INCOMING[parent]})"
         for child, column, parent in FOREIGN_KEYS
-        if child in _INCOMING and parent in _INCOMING
     )
 
 
@@ -186,7 +211,7 @@ def _rule_sql(table: str, rule: str, broken: str) -> str:
 
 def _domains_sql() -> str:
     return " UNION ALL ".join(
-        _rule_sql(table, name, f"NOT ({condition})") for table, name, condition in DOMAIN_CHECKS if table in _INCOMING
+        _rule_sql(table, name, f"NOT ({condition})") for table, name, condition in DOMAIN_CHECKS
     )
 
 
@@ -197,13 +222,12 @@ def _shapes_sql() -> str:
             if not field.nullable:
                 parts.append(_rule_sql(table, f"{field.name} is missing", f"{field.name} IS NULL"))
         for name, width in TEXT_WIDTHS.get(table, {}).items():
-            if name not in _ABSENT.get(table, set()):
-                parts.append(_rule_sql(table, f"{name} is too long", f"length({name}) > {width}"))
+            parts.append(_rule_sql(table, f"{name} is too long", f"length({name}) > {width}"))
     return " UNION ALL ".join(parts)
 
 
 _NODES = "hotel_nodes AS (SELECT h.id AS hotel_id, c.node FROM hotels h JOIN cities c ON c.id = h.city_id)"
-_NODE_TABLES = "hotels cities rooms reservations details_reservations amenities payments"
+_NODE_TABLES = "hotels cities rooms reservations details_reservations amenities payments employees"
 _KEYED = (
     _NODES
     + """,
@@ -213,18 +237,19 @@ _KEYED = (
         UNION ALL SELECT 'details_reservations', r.hotel_id, d.id
                   FROM details_reservations d JOIN reservations r ON r.id = d.reservation_id
         UNION ALL SELECT 'amenities', hotel_id, id FROM amenities
+        UNION ALL SELECT 'employees', hotel_id, id FROM employees
         UNION ALL SELECT 'payments', r.hotel_id, p.id FROM payments p JOIN reservations r ON r.id = p.reservation_id)"""
 )
 
 ORACLES = {
     "s01_distribute_reference": over(
         " ".join(COPIED),
-        " UNION ALL ".join(_payload_sql(table) for table in COPIED),
+        " UNION ALL ".join(_cells_sql(table) for table in COPIED),
         "branches AS (SELECT * FROM (VALUES ('filial1'), ('filial2'), ('filial3')) t(node))",
     ),
     "s02_consolidate_branches": over(
         _NODE_TABLES,
-        """SELECT table_name, node, id FROM keyed JOIN hotel_nodes USING (hotel_id) WHERE node <> 'central'""",
+        "SELECT table_name, node, id FROM keyed JOIN hotel_nodes USING (hotel_id)",
         _KEYED,
     ),
     "s03_sync_guests": over(
@@ -239,7 +264,7 @@ ORACLES = {
                   CASE WHEN c.key IS NULL THEN g.bonus_points ELSE CAST(trunc(c.value) AS INT) END AS bonus_points
            FROM guests g FULL JOIN (SELECT * FROM guest_changes QUALIFY row_number() OVER (
                     PARTITION BY key ORDER BY ts DESC, origin DESC, seq DESC) = 1) c ON c.key = g.id
-           WHERE c.op IS NULL OR c.op <> 'D'""",
+           WHERE c.op IS NULL OR c.op = 'I' OR (c.op = 'U' AND g.id IS NOT NULL)""",
     ),
     "s05_payments_rollup": over(
         "payment_requests reservations hotels cities",
@@ -287,15 +312,21 @@ ORACLES = {
     ),
     "q07_consolidation_parity": over(
         _NODE_TABLES + " room_reservation_guests",
-        """SELECT table_name, node, count(*) AS matched, CAST(0 AS BIGINT) AS missing_at_centre,
-                  CAST(0 AS BIGINT) AS only_at_centre
-           FROM keyed JOIN hotel_nodes USING (hotel_id)
-           WHERE node <> 'central' AND table_name IN ('rooms', 'reservations', 'payments') GROUP BY 1, 2
-           UNION ALL
-           SELECT 'room_reservation_guests', node, 0, count(*), 0
-           FROM room_reservation_guests o JOIN details_reservations d ON d.id = o.room_reservation_id
-           JOIN reservations r ON r.id = d.reservation_id JOIN hotel_nodes USING (hotel_id)
-           WHERE node <> 'central' GROUP BY 2""",
-        _KEYED,
+        """SELECT table_name, node, count_if(here AND there) AS matched, count_if(here AND NOT there) AS missing_at_centre,
+                  count_if(there AND NOT here) AS only_at_centre
+           FROM sides JOIN hotel_nodes USING (hotel_id) WHERE node <> 'central' AND (here OR there) GROUP BY 1, 2""",
+        _NODES
+        + f""",
+    dated AS (
+        SELECT hotel_id, create_date <= TIMESTAMP '{DELIVERED_UNTIL}' AS known, status = 'cancelled' AND id % 7 = 0 AS gone,
+               create_date + INTERVAL 30 DAY <= TIMESTAMP '{DELIVERED_UNTIL}' AS told FROM reservations),
+    sides AS (
+        SELECT 'rooms' AS table_name, hotel_id, true AS here, true AS there FROM rooms
+        UNION ALL SELECT 'reservations', hotel_id, NOT gone, known AND NOT (gone AND told) FROM dated
+        UNION ALL SELECT 'payments', r.hotel_id, true, p.payments_date <= DATE '{ROLLED_UP_UNTIL}'
+                  FROM payments p JOIN reservations r ON r.id = p.reservation_id
+        UNION ALL SELECT 'room_reservation_guests', r.hotel_id, true, false
+                  FROM room_reservation_guests o JOIN details_reservations d ON d.id = o.room_reservation_id
+                  JOIN reservations r ON r.id = d.reservation_id)""",
     ),
 }

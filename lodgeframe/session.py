@@ -31,13 +31,20 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints. A local session may make its own."""
+    """The folder the cluster names for checkpoints. Only a session without executors may make its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="lodgeframe-")
+    if spark.sparkContext.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[spark.sparkContext.applicationId] = tempfile.TemporaryDirectory(prefix="lodgeframe-")
+    return _OWN_FOLDERS[spark.sparkContext.applicationId].name
+
+
+# Folders of local sessions; they go when the process ends.
+_OWN_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -104,6 +104,28 @@ class HotelData:
     def types_amenities(self) -> DataFrame:
         return self._values("(1, 'Pool'), (2, 'Parking'), (3, 'Spa'), (4, 'Gym')", "id BIGINT, name STRING")
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self._values("(1, 'Receptionist'), (2, 'Manager'), (3, 'Cleaner')", "id BIGINT, position_name STRING")
+
+    @cached_property
+    def employees(self) -> DataFrame:
+        """Every tenth customer works for a hotel."""
+        keyed = self.raw("customer").where("c_custkey % 10 = 0").withColumn("nh", self._hotel_count)
+        return keyed.select(
+            (F.col("c_custkey") + 1).alias("id"),
+            F.col("c_mktsegment").alias("first_name"),
+            F.col("c_name").alias("last_name"),
+            F.lit(None).cast("string").alias("middle_name"),
+            F.expr("1 + c_custkey DIV 10 % 3").alias("position_id"),
+            F.expr("concat('+6', c_custkey)").alias("phone_number"),
+            F.expr("CASE WHEN c_custkey % 40 <> 0 THEN concat('e', c_custkey, '@stay.example') END").alias("email"),
+            F.expr("date_add(DATE'2015-01-01', CAST(c_custkey % 3000 AS INT))").alias("employment_date"),
+            F.lit(None).cast("date").alias("fired_date"),
+            F.expr("c_custkey DIV 10 % nh + 1").alias("hotel_id"),
+            F.expr("CAST(30000 + c_custkey % 1000 * 10 AS DECIMAL(12,2))").alias("salary"),
+        )
+
     @cached_property
     def hotels(self) -> DataFrame:
         return self.raw("supplier").select(
@@ -154,7 +176,7 @@ class HotelData:
 
     @cached_property
     def reservations(self) -> DataFrame:
-        keyed = self.raw("orders").withColumn("nh", self._hotel_count)
+        keyed = self.raw("orders").withColumn("nh", self._hotel_count).withColumn("ng", self._guest_count)
         dated = keyed.withColumn(
             "start_date",
             F.expr(f"date_add({BASE_DATE}, pmod(datediff(o_orderdate, DATE'1995-01-01'), 90))"),
@@ -162,7 +184,7 @@ class HotelData:
         return dated.select(
             (F.col("o_orderkey") + 1).alias("id"),
             F.expr("o_orderkey % nh + 1").alias("hotel_id"),
-            F.lit(None).cast("bigint").alias("employee_id"),
+            F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % ((ng + 9) DIV 10) * 10 + 1 END").alias("employee_id"),
             F.col("o_orderdate").alias("create_date"),
             F.expr(
                 "CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'cancelled' END"
@@ -225,6 +247,21 @@ class HotelData:
             F.expr("element_at(array('cash', 'card', 'online'), CAST(id % 3 AS INT) + 1)").alias("payments_method"),
         )
 
+    @cached_property
+    def payments_amenities(self) -> DataFrame:
+        """Amenities on paid reservations: one of the hotel's four per detail line."""
+        lines = self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+            F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("x")
+        )
+        paid = self.raw("orders").where("o_orderstatus = 'F'").select("o_orderkey")
+        return lines.join(paid, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("nh", self._hotel_count).select(
+            F.expr("l_orderkey * 8 + l_linenumber").alias("id"),
+            F.expr("l_orderkey % nh * 4 + 1 + l_linenumber % 4").alias("hotel_amenities_id"),
+            F.expr("l_orderkey + 1").alias("payment_id"),
+            F.expr("CAST(1 + CAST(q AS BIGINT) % 3 AS INT)").alias("quantity"),
+            _money("x").alias("total_amenities_price"),
+        )
+
     @cached_property
     def booking_requests(self) -> DataFrame:
         """Some name no known hotel or category or no guest, some dates hold no night."""
@@ -265,6 +302,19 @@ class HotelData:
             _money("value").alias("value"),
         )
 
+    @cached_property
+    def reservation_changes(self) -> DataFrame:
+        """What the branches wrote: every reservation when made, and some cancelled ones' removal a month later."""
+        seen = F.struct(F.lit("I").alias("op"), F.col("create_date").alias("ts"))
+        removal = F.struct(F.lit("D").alias("op"), F.expr("create_date + INTERVAL 30 DAYS").alias("ts"))
+        gone = F.expr("status = 'cancelled' AND id % 7 = 0")
+        return self.reservations.select(
+            F.col("id").alias("seq"),
+            F.col("id").alias("key"),
+            "hotel_id",
+            F.explode(F.when(gone, F.array(seen, removal)).otherwise(F.array(seen))).alias("c"),
+        ).select("seq", "key", "hotel_id", "c.*")
+
     @cached_property
     def guest_forms(self) -> DataFrame:
         """Sign-up forms: some lack a phone, some carry only a full name, some a blank one."""
@@ -352,8 +402,8 @@ class HotelData:
     @cached_property
     def base_tables(self) -> dict[str, DataFrame]:
         names = (
-            "types_amenities cities categories_hotel categories_room loyalty_cards hotels guests rooms amenities "
-            "reservations details_reservations payments room_reservation_guests"
+            "types_amenities cities categories_hotel categories_room loyalty_cards positions hotels guests employees rooms "
+            "amenities reservations details_reservations payments room_reservation_guests payments_amenities"
         )
         return {name: getattr(self, name) for name in names.split()}
 
@@ -375,6 +425,7 @@ class HotelData:
                 "first_name"
             ),
             F.col("c_name").alias("last_name"),
+            F.expr("CASE WHEN c_custkey % 61 = 0 THEN repeat('m', 60) END").alias("middle_name"),
             F.expr("concat('+7', c_custkey % (ng - ng DIV 10))").alias("phone_number"),
             F.expr("CASE WHEN c_custkey % 4 <> 0 THEN concat('m', c_custkey % (ng - ng DIV 11), '@x.org') END").alias("email"),
             F.expr("date_add(DATE'1960-01-01', CAST(c_custkey % 15000 AS INT))").alias("birth_date"),
@@ -382,6 +433,26 @@ class HotelData:
             F.expr("c_custkey % 5").alias("loyalty_card_id"),
             F.expr("CAST(floor(c_acctbal) AS INT)").alias("bonus_points"),
         )
+        offered["employees"] = self.raw("customer").withColumn("nh", nh).withColumn("ng", self._guest_count).select(
+            F.expr("c_custkey + 1").alias("id"),
+            F.col("c_mktsegment").alias("first_name"),
+            F.expr("CASE WHEN c_custkey % 53 <> 0 THEN c_name END").alias("last_name"),
+            F.expr("CASE WHEN c_custkey % 59 = 0 THEN repeat('m', 51) END").alias("middle_name"),
+            F.expr("1 + c_custkey % 4").alias("position_id"),
+            F.expr("concat('+6', c_custkey)").alias("phone_number"),
+            F.expr("concat('e', c_custkey % (ng - ng DIV 9), '@stay.example')").alias("email"),
+            F.expr("date_add(DATE'2015-01-01', CAST(c_custkey % 3000 AS INT))").alias("employment_date"),
+            F.lit(None).cast("date").alias("fired_date"),
+            F.expr("c_custkey % (nh + 2) + 1").alias("hotel_id"),
+            _money("c_acctbal").alias("salary"),
+        )
+        offered["payments_amenities"] = self.raw("lineitem").withColumn("nh", nh).select(
+            F.expr("l_orderkey * 4 + l_linenumber").alias("id"),
+            F.expr("l_suppkey % (nh * 4 + 8) + 1").alias("hotel_amenities_id"),
+            F.expr("l_orderkey + 1").alias("payment_id"),
+            F.expr("l_linenumber - 1").alias("quantity"),
+            F.expr("CAST(l_extendedprice - 2000 AS DECIMAL(12,2))").alias("total_amenities_price"),
+        )
         offered["rooms"] = self.raw("part").withColumn("nh", nh).select(
             (F.col("p_partkey") + 1).alias("id"),
             F.expr("p_partkey % (nh + 3) + 1").alias("hotel_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodgeframe.functions import pricing
 from lodgeframe.operators import availability, hotels, quality, reservations
-from lodgeframe.schemas import CITY_NODES
+from lodgeframe.schemas import CITY_NODES, DOMAIN_CHECKS, UNIQUE_KEYS
 
 # The sample chain.
 CITIES = [(1, "Москва", "RUS"), (2, "Санкт-Петербург", "RUS"), (3, "Казань", "RUS")]
@@ -184,9 +184,12 @@ def test_seed_breaks_no_rule(chain):
         "categories_room": chain["categories_room"],
         "rooms": chain["rooms"],
     }
-    assert quality.broken_domains(tables).isEmpty()
-    assert quality.duplicate_keys(tables).isEmpty()
+    assert quality.broken_domains(tables, [rule for rule in DOMAIN_CHECKS if rule[0] in tables]).isEmpty()
+    assert quality.duplicate_keys(tables, [rule for rule in UNIQUE_KEYS if rule[0] in tables]).isEmpty()
     assert quality.bad_shapes(tables).isEmpty()
+    for check in (quality.broken_domains, quality.duplicate_keys, quality.broken_references):
+        with pytest.raises(ValueError, match="employees"):
+            check(tables)
 
 
 def test_sorted_reads_keep_their_order(spark, data):
