@@ -424,18 +424,26 @@ class OpenRooms:
     def take(self, first: int, last: int) -> int | None:
         """The lowest room with a gap around the dates; the gap is cut so stays keep a day apart."""
         if self.room is None:
-            columns = np.array(self.gathered, dtype="int64").reshape(-1, 3).T
-            self.room, self.opens, self.closes = (column.copy() for column in columns)
-        fits = np.flatnonzero((self.opens <= first) & (self.closes >= last))
+            self.used = len(self.gathered)
+            self.room, self.opens, self.closes = self._arrays(self.gathered)
+        fits = np.flatnonzero((self.opens[: self.used] <= first) & (self.closes[: self.used] >= last))
         if not len(fits):
             return None
         spot = fits[np.argmin(self.room[fits])]
-        self.room = np.append(self.room, self.room[spot])
-        self.opens = np.append(self.opens, last + 1)
-        self.closes = np.append(self.closes, self.closes[spot])
+        if self.used == len(self.room):  # doubled, so that cuts don't copy the list each time
+            self.room, self.opens, self.closes = (
+                np.concatenate([column, column]) for column in (self.room, self.opens, self.closes)
+            )
+        self.room[self.used], self.opens[self.used], self.closes[self.used] = self.room[spot], last + 1, self.closes[spot]
         self.closes[spot] = first - 1
+        self.used += 1
         return int(self.room[spot])
 
+    @staticmethod
+    def _arrays(gaps: list[tuple[int, int, int]]) -> list[np.ndarray]:
+        """Columns of room, first and last day with one spare place at the end."""
+        return list(np.array([*gaps, (0, 0, 0)], dtype="int64").T.copy())
+
 
 def _assign(rooms: OpenRooms, row):
     """Gap rows sort first and fill the state; reservation rows are answered from it."""

@@ -13,25 +13,31 @@ from lodgeframe.session import cut_lineage
 ARRIVAL = ["requested_at", "request_id"]
 
 
-def card_table(cards: DataFrame) -> DataFrame:
-    """All cards as one row: an array ordered by requirement. Cards are a handful of programmes."""
-    entry = F.struct(
-        F.col("req_bonus_amount").cast("bigint").alias("required"),
-        F.col("id").cast("bigint").alias("id"),
-        (F.col("discount") * 100).cast("bigint").alias("discount"),
-    )
-    return cards.agg(F.array_sort(F.collect_list(entry)).alias("cards"))
+# Loyalty programmes at most; more of them is an error, as each task gets the whole list.
+MOST_CARDS = 1_000
+
+
+def card_ladder(cards: DataFrame) -> list[tuple[int, int, int]]:
+    """(required points, card, discount in hundredths of a per cent) of all cards, ordered by requirement."""
+    rows = cards.select(
+        F.col("req_bonus_amount").cast("bigint"), F.col("id").cast("bigint"), (F.col("discount") * 100).cast("bigint")
+    ).take(MOST_CARDS + 1)
+    if len(rows) > MOST_CARDS:
+        raise ValueError(f"more than {MOST_CARDS} loyalty cards")
+    return sorted(tuple(row) for row in rows)
 
 
 def loyalty_tier(guests: DataFrame, cards: DataFrame) -> DataFrame:
     """The card with the greatest requirement the points meet; with none met the old card stays."""
-    ladder = card_table(cards).scalar()
-    met = F.filter("cards", lambda card: card["required"] <= F.col("bonus_points"))
-    return guests.select("*", ladder.alias("cards")).select(
+    reached = [
+        F.when(F.col("bonus_points") >= required, F.lit(card).cast("bigint"))
+        for required, card, _ in reversed(card_ladder(cards))
+    ]
+    return guests.select(
         F.col("id").alias("guest_id"),
         "bonus_points",
         F.col("loyalty_card_id").alias("old_card_id"),
-        F.coalesce(F.try_element_at(met, F.lit(-1))["id"], F.col("loyalty_card_id")).alias("loyalty_card_id"),
+        F.coalesce(*reached, F.col("loyalty_card_id")).alias("loyalty_card_id"),
     )
 
 
@@ -65,11 +71,14 @@ def pay_in_cents(cents: int, points: int, card: int | None, ladder: list) -> tup
     return paid, earned, card
 
 
-def start_account(row) -> list:
-    card = row.loyalty_card_id
-    # The ladder arrives as text once per key: required:id:discount, ordered by requirement.
-    ladder = [tuple(map(int, entry.split(":"))) for entry in row.ladder.split(",")] if row.ladder else []
-    return [int(row.bonus_points), None if card < 0 else int(card), ladder]
+def start_account(ladder: list[tuple[int, int, int]]):
+    """Makes a payer's account, (points, card, ladder), from their first row."""
+
+    def start(row) -> list:
+        card = row.loyalty_card_id
+        return [int(row.bonus_points), None if card < 0 else int(card), ladder]
+
+    return start
 
 
 def settle_payment(account: list, row) -> tuple:
@@ -82,16 +91,6 @@ def settle_payment(account: list, row) -> tuple:
 _SETTLED = "request_id bigint, payer_id bigint, cents bigint, earned bigint, points bigint, card bigint"
 
 
-def ladder_text(cards: DataFrame) -> DataFrame:
-    line = F.array_join(
-        F.transform(
-            "cards", lambda c: F.concat_ws(":", c["required"].cast("string"), c["id"].cast("string"), c["discount"].cast("string"))
-        ),
-        ",",
-    )
-    return card_table(cards).select(line)
-
-
 def look_up_payments(requests: DataFrame, reservations: DataFrame) -> DataFrame:
     """Adds payer, ``status`` and ``error`` from input checks, unknown and already paid reservations."""
     found = reservations.select(F.col("id").alias("reservation_id"), "payer_id", "payments_status")
@@ -145,7 +144,7 @@ def process_payments(
 ) -> DataFrame:
     """Outcome per request; each payer's points and card carry from one payment to the next."""
     checked = check_payments(requests, reservations)
-    ladder = ladder_text(cards).scalar()
+    start = start_account(card_ladder(cards))
     accounts = guests.select(
         F.col("id").alias("payer_id"),
         F.coalesce("bonus_points", F.lit(0)).cast("bigint").alias("bonus_points"),
@@ -154,15 +153,15 @@ def process_payments(
     valid = checked.where("status = 0").select(*ARRIVAL, "payer_id", (F.col("amount") * 100).cast("bigint").alias("cents"))
 
     def prepare(pending, state):
-        return pending.join(state, "payer_id").withColumn("ladder", ladder)
+        return pending.join(state, "payer_id")
 
     def decide(rows, state):
-        columns = ["request_id", "cents", "bonus_points", "loyalty_card_id", "ladder"]
-        return fold_sorted(rows, ["payer_id"], ARRIVAL, columns, _SETTLED, start_account, settle_payment)
+        columns = ["request_id", "cents", "bonus_points", "loyalty_card_id"]
+        return fold_sorted(rows, ["payer_id"], ARRIVAL, columns, _SETTLED, start, settle_payment)
 
     def advance(state, decided):
         last = (
-            decided.join(requests.select(*ARRIVAL), "request_id")
+            decided.join(valid.select(*ARRIVAL), "request_id")
             .groupBy("payer_id")
             .agg(F.max_by(F.struct("points", "card"), F.struct(*ARRIVAL)).alias("last"))
         )

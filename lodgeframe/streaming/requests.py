@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from lodgeframe.operators.availability import CATEGORY_KEY, DATES
 from lodgeframe.operators.booking import create_bookings
-from lodgeframe.operators.payments import ladder_text, look_up_payments, settle_payment, start_account
+from lodgeframe.operators.payments import card_ladder, look_up_payments, settle_payment, start_account
 from lodgeframe.schemas import struct
 from lodgeframe.sources.store import read_log
 
@@ -74,31 +74,35 @@ _ANSWER = (
 )
 
 
-def _settle_micro_batch(_key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """A payer's payments of one micro-batch, in order, on top of the account kept in the state."""
-    rows = pd.concat(list(batches)).sort_values(["requested_at", "request_id"])
-    first = next(rows.itertuples(index=False))
-    points, card, ladder = start_account(first)
-    paid: set[int] = set()
-    if state.exists:
-        points, kept, numbers = state.get
-        card, paid = (None if kept < 0 else kept), set(numbers)
-    account = [points, card, ladder]
-    answers = []
-    for row in rows.itertuples(index=False):
-        given = (row.request_id, row.requested_at, row.reservation_id, row.payer_id, row.method)
-        if row.status:
-            answers.append((*given, row.status, row.error, None, None, None, None))
-        elif row.reservation_id in paid:
-            answers.append((*given, 400, "Reservation already paid", None, None, None, None))
-        else:
-            paid.add(row.reservation_id)
-            answers.append((*given, 200, None, *settle_payment(account, row)[2:]))
-    state.update((account[0], -1 if account[1] is None else account[1], sorted(paid)))
-    names = [part.split()[0] for part in _ANSWER.split(", ")]
-    out = pd.DataFrame(answers, columns=names)
-    counts = ["cents", "earned", "points", "card"]
-    yield out.astype(dict.fromkeys(counts, "Int64"))
+def _settle_micro_batch(open_account: Callable):
+    """Settles a payer's payments of one micro-batch, in order, on top of the account kept in the state."""
+
+    def settle(_key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["requested_at", "request_id"])
+        first = next(rows.itertuples(index=False))
+        points, card, ladder = open_account(first)
+        paid: set[int] = set()
+        if state.exists:
+            points, kept, numbers = state.get
+            card, paid = (None if kept < 0 else kept), set(numbers)
+        account = [points, card, ladder]
+        answers = []
+        for row in rows.itertuples(index=False):
+            given = (row.request_id, row.requested_at, row.reservation_id, row.payer_id, row.method)
+            if row.status:
+                answers.append((*given, row.status, row.error, None, None, None, None))
+            elif row.reservation_id in paid:
+                answers.append((*given, 400, "Reservation already paid", None, None, None, None))
+            else:
+                paid.add(row.reservation_id)
+                answers.append((*given, 200, None, *settle_payment(account, row)[2:]))
+        state.update((account[0], -1 if account[1] is None else account[1], sorted(paid)))
+        names = [part.split()[0] for part in _ANSWER.split(", ")]
+        out = pd.DataFrame(answers, columns=names)
+        counts = ["cents", "earned", "points", "card"]
+        yield out.astype(dict.fromkeys(counts, "Int64"))
+
+    return settle
 
 
 def settled_payments(requests: DataFrame, reservations: DataFrame, guests: DataFrame, cards: DataFrame) -> DataFrame:
@@ -108,7 +112,7 @@ def settled_payments(requests: DataFrame, reservations: DataFrame, guests: DataF
     arrive in time order from batch to batch; within a batch they are put in order. Requests
     without a payer's account are answered without state.
     """
-    ladder = ladder_text(cards).scalar()
+    settle = _settle_micro_batch(start_account(card_ladder(cards)))
     accounts = guests.select(
         F.col("id").alias("payer_id"),
         F.coalesce("bonus_points", F.lit(0)).cast("bigint").alias("bonus_points"),
@@ -116,9 +120,9 @@ def settled_payments(requests: DataFrame, reservations: DataFrame, guests: DataF
     )
     checked = look_up_payments(requests, reservations).withColumn("cents", (F.col("amount") * 100).cast("bigint"))
     looked_up = checked.join(accounts, "payer_id", "left")
-    owned = looked_up.where("bonus_points IS NOT NULL").withColumn("ladder", ladder)
+    owned = looked_up.where("bonus_points IS NOT NULL")
     settled = owned.groupBy("payer_id").applyInPandasWithState(
-        _settle_micro_batch, _ANSWER, _ACCOUNT, "append", GroupStateTimeout.NoTimeout
+        settle, _ANSWER, _ACCOUNT, "append", GroupStateTimeout.NoTimeout
     )
     unsettled = F.col("status") == 0
     unowned = looked_up.where("bonus_points IS NULL").select(
