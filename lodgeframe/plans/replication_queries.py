@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -101,9 +101,8 @@ def _routed(d):
 def _scan(spark, path):
     """Reservations in a folder per node, of which the scan opens one."""
     d = HotelData(spark, path)
-    run = f"{spark.sparkContext.applicationId}-{zlib.crc32(path.encode())}"
-    folder = f"{shared_folder(spark).rstrip('/')}/lodgeframe-nodes-{run}/reservations"
-    store.write_by_node(replication.split_by_node(d.reservations, _routes(d)), folder, mode="overwrite")
+    folder = f"{shared_folder(spark).rstrip('/')}/lodgeframe-nodes-{uuid.uuid4().hex}/reservations"
+    store.write_by_node(replication.split_by_node(d.reservations, _routes(d)), folder)
     stored = spark.read.schema(store.node_schema("reservations")).parquet(folder)
     return replication.node_scan(stored, SCANNED_NODE).select("node", *d.reservations.columns)
 
