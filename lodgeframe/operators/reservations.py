@@ -68,8 +68,9 @@ def city_reservations(
     categories_room: DataFrame,
     occupancy: DataFrame,
     routes: DataFrame,
+    newest_first: bool = True,
 ) -> DataFrame:
-    """Active reservations with payer, hotel, requested room and registered guests, newest first.
+    """Active reservations with payer, hotel, requested room and registered guests, newest first if asked.
 
     Lines of one reservation that ask for the same category, size and room form one row. They are
     folded together on their narrow key, before the wide columns are joined.
@@ -90,7 +91,7 @@ def city_reservations(
         "payments_status",
         "payer_id",
     )
-    return (
+    listed = (
         kept.join(lines, kept.id == lines.reservation_id, "left")
         .join(_payers(guests, "first_name", "last_name", "phone_number", "email"), "payer_id")
         .join(_hotel_names(hotels), "hotel_id")
@@ -110,8 +111,8 @@ def city_reservations(
             F.coalesce("registered", F.lit(0)).alias("registered_guests_count"),
             "node",
         )
-        .orderBy(F.desc("create_date"))
     )
+    return listed.orderBy(F.desc("create_date")) if newest_first else listed
 
 
 def status_counts(listed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _routes(d):
     return H.hotel_city_route(d.hotels, d.cities, d.city_nodes)
 
 
-def _listed(d):
+def _listed(d, newest_first=True):
     return R.city_reservations(
         d.reservations,
         d.guests,
@@ -28,6 +28,7 @@ def _listed(d):
         d.categories_room,
         d.room_reservation_guests,
         _routes(d),
+        newest_first,
     )
 
 
@@ -72,8 +73,8 @@ QUERIES = {
     "r16_cities_reservation_counts": _on(_reservation_counts),
     "r17_city_load_tier": _on(lambda d: R.city_load_tier(_reservation_counts(d))),
     "r18_city_reservations": _on(_listed),
-    "r19_city_status_counts": _on(lambda d: R.status_counts(_listed(d))),
-    "r20_registration_needed": _on(lambda d: R.registration_needed(_listed(d))),
+    "r19_city_status_counts": _on(lambda d: R.status_counts(_listed(d, newest_first=False))),
+    "r20_registration_needed": _on(lambda d: R.registration_needed(_listed(d, newest_first=False))),
     "r21_hotel_reservations": _on(
         lambda d: R.hotel_reservations(
             d.reservations, d.guests, d.hotels, d.details_reservations, d.room_reservation_guests
