@@ -68,6 +68,7 @@ class WordEncoder:
 
     The tokenizer must drop white space, so that words between white space are encoded alone. A
     plain word skips the splitting steps, which would return it whole, and goes to the model alone.
+    The names of special tokens within a text are plain characters, unlike in the library's default.
     """
 
     def __init__(self, spec: bytes, remembered: int = REMEMBERED_WORDS):
