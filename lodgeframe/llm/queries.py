@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, chat, embed_dedup, language_id, lm_scoring, packing, simhash, topk, toxicity, url_filter
+from lodgeframe.llm import best_fit, bpe, chat, embed_dedup, language_id, lm_scoring, packing, simhash, topk, toxicity, url_filter
 from lodgeframe.llm.samples import is_fold
 
 
@@ -162,6 +162,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = Path(public_tokenizers.path("byte_bpe_50k.json")).read_bytes()
+    return best_fit.pack(_table(spark, sf_dir, "documents"), spec).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -173,6 +178,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
+    "op11_best_fit": op11_best_fit,
 }
 
 ORACLES = {
