@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgeframe.llm import language_id, near_copies, packing, toxicity
+from lodgeframe.llm import language_id, packing, simhash, toxicity
 from lodgeframe.llm.queries import word_tokenizer
 from lodgeframe.session import shared_folder
 
@@ -23,8 +23,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard >= 0.8) stays: the smallest id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near-duplicates stays, the smallest id: operator 1 with its contract's settings."""
+    return simhash.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
