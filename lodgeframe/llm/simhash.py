@@ -240,19 +240,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Rows without an id only stay where no row of the component has one; rows equal in id and text
     count as one.
     """
-    names = docs.columns
-    first = (
-        near_duplicates(docs, id_col, text_col, radius)
-        .groupBy("component")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("text_key"))).alias("w"))
-        .select(F.col("w.no_id").alias("__no"), F.expr("coalesce(w.id, 0)").alias("__id"), F.col("w.text_key").alias("__key"))
-    )
-    keyed = docs.withColumns(
-        {
-            "__no": F.col(id_col).isNull(),
-            "__id": F.coalesce(F.col(id_col), F.lit(0)),
-            "__key": F.xxhash64(text_col),
-        }
-    )
-    keys = ["__no", "__id", "__key"]
-    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).select(*names)
+    found = near_duplicates(docs, id_col, text_col, radius)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("text_key"))).alias("w"))
+    first = first.select(F.col("w.id").alias("id"), F.col("w.text_key").alias("text_key"))
+    # The whole row is one column here, so no name of docs meets one of ours.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"))
+    kept = rows.join(first, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("text_key")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_key"]).select("row.*")

@@ -84,6 +84,15 @@ def test_keep_one_keeps_one_row_of_each_component(spark):
     assert (1010, rows[1][1]) not in found and (1, rows[1][1]) in found
 
 
+def test_no_column_name_matters(spark):
+    names = ["__no", "__id", "__key", "own_id", "own_key", "row", "w", "a.b"]
+    rows = [(i, f"text number {i % 3} of a few", *[100 * i + k for k in range(len(names))]) for i in range(9)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == rows[:3]
+
+
 def test_empty_table(spark):
     docs = docs_frame(spark, [])
     assert simhash.near_duplicates(docs).count() == 0
