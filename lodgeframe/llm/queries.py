@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import best_fit, bpe, chat, embed_dedup, language_id, lm_scoring, packing, simhash, topk, toxicity, url_filter
+from lodgeframe.llm import best_fit, bpe, chat, collocations, embed_dedup, language_id, lm_scoring, packing, runs, simhash, topk
+from lodgeframe.llm import toxicity, url_filter
 from lodgeframe.llm.samples import is_fold
 
 
@@ -167,6 +168,79 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(_table(spark, sf_dir, "documents"), spec).withColumnRenamed("id", "doc_id")
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in about a tenth of the texts the words from one on repeat themselves, as the contract says."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    marked = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, words)
+    )
+    g, n = F.expr("h DIV 10"), F.size("words")
+    placed = marked.withColumn("a", F.when(n > 0, F.pmod(g, n)).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.pmod(g, F.lit(8))))).cast("int"))
+    repeated = F.expr("transform(sequence(a, size(words) - 1), i -> words[a + (i - a) % p])")
+    changed = F.concat(F.slice("words", F.lit(1), F.col("a")), repeated)
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "greatest.*",
+        F.expr("greatest.length * 1000 DIV greatest.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL
+), worded AS (
+    SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces
+), sized AS (
+    SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS k FROM worded
+), placed AS (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized
+), f AS (
+    SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS n FROM placed GROUP BY ALL
+), total AS (
+    SELECT lang, sum(n) AS words FROM f WHERE k = 1 GROUP BY lang
+), often AS (
+    SELECT * FROM f WHERE n >= 100
+), inside AS (
+    SELECT lang, p[i:i + m - 1] AS p, max(n) AS most
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM often WHERE k > 2))
+    GROUP BY ALL
+), cut AS (
+    SELECT lang, p, n AS a, unnest(range(1, k)) AS c, k FROM often WHERE k > 1
+), scored AS (
+    SELECT cut.lang, cut.p, cut.a, c, x.n AS l, y.n AS r, t.words AS n,
+           CAST((1000 * CAST(cut.a AS HUGEINT) * CAST(t.words AS HUGEINT)) // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+    FROM cut JOIN often AS x ON x.lang = cut.lang AND x.p = cut.p[1:c]
+             JOIN often AS y ON y.lang = cut.lang AND y.p = cut.p[c + 1:cut.k]
+             JOIN total AS t ON t.lang = cut.lang
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1
+), kept AS (
+    SELECT b.*, array_to_string(b.p, ' ') AS phrase
+    FROM best AS b LEFT JOIN inside AS i ON i.lang = b.lang AND i.p = b.p WHERE i.most IS NULL OR i.most < b.a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -179,10 +253,13 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
     "op11_best_fit": op11_best_fit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
     "op4_topk": OP4_SQL,
     "op8_chat": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
+    "op13_collocations": OP13_SQL,
 }
