@@ -6,11 +6,16 @@ function says otherwise. "Active" stays belong to confirmed or pending reservati
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgeframe.functions import pricing
+from lodgeframe.functions.daybits import RoomCalendar, lowest
+from lodgeframe.functions.graph import islands
 from lodgeframe.functions.intervals import CLOSED, HALF_OPEN, count_overlaps, free_gaps
+from lodgeframe.functions.ordering import fold_sorted
 from lodgeframe.schemas import ACTIVE
 
 CATEGORY_KEY = ["hotel_id", "room_category_id"]
@@ -423,55 +428,65 @@ def free_room_for_reservation(
     )
 
 
+_NAMED = "room_id bigint, reservation_id bigint, low bigint, high bigint"
+
+
+class Clashes:
+    """The stays of one island of a room; they come in order of their reservations, so a member's bit tells its rank."""
+
+    def __init__(self, _row):
+        self.reservations: list[int] = []
+        self.calendar = RoomCalendar()
+
+
+def _name_clashes(clashes: Clashes, row):
+    """Rows that hold the room sort first; then each stay asks for the lowest and highest of the others."""
+    if not row.is_request:
+        clashes.calendar.hold(len(clashes.reservations), row.first_day, row.last_day)
+        clashes.reservations.append(row.reservation_id)
+        return None
+    own = bisect_left(clashes.reservations, row.reservation_id)
+    others = clashes.calendar.clashes(row.first_day, row.last_day) & ~(1 << own)
+    if not others:
+        return None
+    low, high = lowest(others), others.bit_length() - 1
+    return row.room_id, row.reservation_id, clashes.reservations[low], clashes.reservations[high]
+
+
 def room_conflicts(stays: DataFrame) -> DataFrame:
     """Per active reservation and room: how many stays of others overlap, and one of them.
 
-    Lists no pairs. The count comes from running day counts. The named reservation is the lowest
-    overlapping id where that is below its own, else the highest; both are read from the nights a
-    room is shared. A stay without a night (``start = end``) clashes only with stays
-    that hold both the night before and the night after it: those past their first night.
+    Lists no pairs and no nights. The count comes from running day counts. The named reservation is
+    the lowest overlapping id where that is below its own, else the highest. Only stays with a clash
+    go on to be named: they are cut into islands of overlapping dates, and a worker loads an island
+    into a dyadic tree over days and asks it once per stay, so rows are bounded by stays, not by their
+    length. A stay without a night (``start = end``) clashes only with stays that hold both the night
+    before and the night after it: those past their first night.
     """
     on_rooms = stays.where("room_id IS NOT NULL")
     held = on_rooms.groupBy("reservation_id", "room_id", *DATES).agg(F.count("*").alias("lines"))
     counted = count_overlaps(held, on_rooms, ["room_id"], into="overlapping")
-
-    solid = F.col("start_date") < F.col("end_date")
-    nights_of = F.when(solid, F.sequence("start_date", F.date_sub("end_date", 1))).otherwise(F.array("start_date"))
-    nights = held.select("*", solid.alias("solid"), F.explode(nights_of).alias("night")).withColumn(
-        "inside", F.col("night") > F.col("start_date")
-    )
-
-    def ids(condition: str, pick) -> Column:
-        return pick(F.when(F.expr(condition), F.col("reservation_id")))
-
-    per_night = nights.groupBy("room_id", "night").agg(
-        ids("solid", F.min).alias("low"),
-        ids("solid", F.max).alias("high"),
-        ids("solid AND inside", F.min).alias("inner_low"),
-        ids("solid AND inside", F.max).alias("inner_high"),
-        ids("NOT solid", F.min).alias("empty_low"),
-        ids("NOT solid", F.max).alias("empty_high"),
-    )
-
-    def seen_by(side: str) -> Column:
-        shared = F.when(F.col("inside"), F.col(f"empty_{side}"))
-        among_solid = (F.least if side == "low" else F.greatest)(F.col(side), shared)
-        return F.when(F.col("solid"), among_solid).otherwise(F.col(f"inner_{side}"))
-
-    seen = (
-        nights.join(per_night, ["room_id", "night"])
-        .groupBy("reservation_id", "room_id")
-        .agg(
-            F.min(seen_by("low")).alias("low"),
-            F.max(seen_by("high")).alias("high"),
-        )
-    )
     # A stay without a night does not overlap itself.
+    solid = F.col("start_date") < F.col("end_date")
     others = F.when(solid, F.col("overlapping") - F.col("lines")).otherwise(F.col("overlapping"))
-    named = F.when(F.col("low") < F.col("reservation_id"), F.col("low")).otherwise(F.col("high"))
-    return (
-        counted.join(seen, ["reservation_id", "room_id"])
-        .withColumn("conflicts", others)
-        .where("conflicts > 0")
-        .select("reservation_id", "room_id", *DATES, "conflicts", named.alias("conflicting_reservation_id"))
+    clashing = counted.withColumn("conflicts", others).where("conflicts > 0")
+    days = clashing.select(
+        "room_id",
+        "reservation_id",
+        F.datediff("start_date", F.lit("1970-01-01")).cast("bigint").alias("first_day"),
+        F.datediff("end_date", F.lit("1970-01-01")).cast("bigint").alias("last_day"),
+    )
+    rows = islands(days, "room_id", "first_day", "last_day", "reservation_id")
+    named = fold_sorted(
+        rows.withColumn("is_request", F.explode(F.array(F.lit(False), F.lit(True)))),
+        ["room_id", "island"],
+        ["is_request", "reservation_id"],
+        ["is_request", "reservation_id", "first_day", "last_day"],
+        _NAMED,
+        Clashes,
+        _name_clashes,
+    )
+    chosen = F.when(F.col("low") < F.col("reservation_id"), F.col("low")).otherwise(F.col("high"))
+    return clashing.join(named, ["reservation_id", "room_id"]).select(
+        "reservation_id", "room_id", *DATES, "conflicts", chosen.alias("conflicting_reservation_id")
     )

@@ -10,12 +10,13 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgeframe.functions import pricing
-from lodgeframe.functions.intervals import CLOSED, count_overlaps, free_gaps
+from lodgeframe.functions.daybits import DayBits, RoomCalendar, each, lowest
+from lodgeframe.functions.graph import islands, linked_groups
+from lodgeframe.functions.intervals import count_overlaps
 from lodgeframe.functions.ordering import (
     BLOCK_ROWS,
     fold_sorted,
@@ -33,7 +34,9 @@ NODE_NUMBERS = {node: number for number, node in enumerate([*BRANCHES, "central"
 NO_ROOM = "No available rooms of this category for the selected dates. Available: 0, Required: 1"
 REQUIRED = ["hotel_id", "guest_id", "room_category_id", "start_date", "end_date"]
 # Unassigned reservations see this many rooms of a hotel and category at a time.
-ROOM_CHUNK = 2_000
+ROOM_CHUNK = 65_536
+# Requests of one hotel that are answered in one go before they are cut into independent groups.
+HOTEL_ROWS = 20_000
 
 
 def missing_fields(required: list[str], types: dict[str, str]) -> Column:
@@ -155,12 +158,20 @@ def create_bookings(
 ) -> DataFrame:
     """Status, error and price per request, in arrival order per hotel and category."""
     checked = check_bookings(requests, hotels, cities, categories_room, routes)
-    open_requests = (
-        checked.where("status = 0")
-        .join(room_totals(rooms), CATEGORY_KEY, "left")
-        .withColumn("places", F.coalesce("total_rooms", F.lit(0)))
-    )
+    open_requests = with_places(checked.where("status = 0"), rooms)
     decided = accept_in_order(open_requests, stays, CATEGORY_KEY, block_rows, requests)
+    return answers(checked.join(decided, "request_id", "left"), requests.columns)
+
+
+def with_places(checked: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Adds ``places``, the number of rooms of the asked hotel and category."""
+    return checked.join(room_totals(rooms), CATEGORY_KEY, "left").withColumn(
+        "places", F.coalesce("total_rooms", F.lit(0))
+    )
+
+
+def answers(decided: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of checked requests, node, status, error and price; ``accepted`` is NULL where a check failed."""
     length = pricing.nights(F.col("start_date"), F.col("end_date"))
     guests = F.coalesce("total_guests", F.lit(1))
     price = pricing.booking_price(
@@ -168,8 +179,8 @@ def create_bookings(
     )
     status = F.when(F.col("status") != 0, F.col("status")).when(F.col("accepted"), 201).otherwise(409)
     error = F.coalesce("error", F.when(~F.col("accepted"), NO_ROOM))
-    return checked.join(decided, "request_id", "left").select(
-        *requests.columns,
+    return decided.select(
+        *columns,
         F.coalesce("node", F.lit("central")).alias("node"),
         status.alias("status"),
         error.alias("error"),
@@ -242,28 +253,34 @@ _REGISTERED = "request_id bigint, conflict bigint"
 
 
 class RoomBook:
-    """Who holds which of a hotel's asked rooms when, as day numbers."""
+    """Who holds which room when, as day numbers, for rooms whose reservations may move between them."""
 
     def __init__(self, _row):
-        self.stays: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        self.rooms: dict[int, set[int]] = {}
+        self.calendars: dict[int, RoomCalendar] = {}
+        self.members: dict[int, int] = {}
+        self.reservations: list[int] = []
+        self.rooms: dict[int, dict[int, tuple[int, int]]] = {}
+
+    def _member(self, reservation: int) -> int:
+        if reservation not in self.members:
+            self.members[reservation] = len(self.reservations)
+            self.reservations.append(reservation)
+        return self.members[reservation]
 
     def hold(self, room: int, reservation: int, first: int, last: int) -> None:
-        self.stays.setdefault(room, {}).setdefault(reservation, []).append((first, last))
-        self.rooms.setdefault(reservation, set()).add(room)
+        self.calendars.setdefault(room, RoomCalendar()).hold(self._member(reservation), first, last)
+        self.rooms.setdefault(reservation, {})[room] = first, last
 
     def conflict(self, room: int, reservation: int, first: int, last: int) -> int | None:
         """The lowest other reservation that overlaps the dates in the room."""
-        others = (
-            other
-            for other, spans in self.stays.get(room, {}).items()
-            if other != reservation and any(start < last and end > first for start, end in spans)
-        )
-        return min(others, default=None)
+        if room not in self.calendars:
+            return None
+        others = self.calendars[room].clashes(first, last) & ~(1 << self._member(reservation))
+        return min((self.reservations[member] for member in each(others)), default=None)
 
     def move(self, room: int, reservation: int, first: int, last: int) -> None:
-        for old in self.rooms.pop(reservation, ()):
-            del self.stays[old][reservation]
+        for old, dates in self.rooms.pop(reservation, {}).items():
+            self.calendars[old].release(self._member(reservation), *dates)
         self.hold(room, reservation, first, last)
 
 
@@ -279,12 +296,35 @@ def _register(book: RoomBook, row):
     return row.number, conflict
 
 
-def register_guests(requests: DataFrame, reservations: DataFrame, details: DataFrame, rooms: DataFrame) -> DataFrame:
+def dependent_groups(rows: DataFrame) -> DataFrame:
+    """Adds ``decided_with``: rows of different groups cannot change each other's answers.
+
+    Two reservations meet only where their dates overlap in a room, so a room falls into islands of
+    overlapping dates; a reservation ties the islands together that it holds or asks for. The groups
+    are the connected components of these ties, named by one of their reservations.
+    """
+    placed = islands(rows, "room_id", "first_day", "last_day", "reservation_id")
+    groups = linked_groups(placed, "reservation_id", "island")
+    alone = F.col("reservation_id")
+    return rows.join(groups.withColumnRenamed("node", "reservation_id"), "reservation_id", "left").withColumn(
+        "decided_with", F.coalesce("linked_group", alone)
+    ).drop("linked_group")
+
+
+def register_guests(
+    requests: DataFrame,
+    reservations: DataFrame,
+    details: DataFrame,
+    rooms: DataFrame,
+    hotel_rows: int = HOTEL_ROWS,
+) -> DataFrame:
     """Status per request to put a reservation into a room, in arrival order per hotel.
 
     An accepted request moves the whole reservation: its other rooms are free for what follows, and
     a later request of the reservation may move it again. So rooms of a hotel depend on each other,
     and a hotel's requests stream through one worker that holds the calendar of its asked rooms.
+    With more than ``hotel_rows`` requests of one hotel, requests are cut into the groups of
+    :func:`dependent_groups` instead, which give the same answers and spread over the workers.
     """
     asked_rooms = requests.select("room_id").distinct()
     asked_for = requests.select("reservation_id").distinct()
@@ -334,9 +374,12 @@ def register_guests(requests: DataFrame, reservations: DataFrame, details: DataF
     rows = days(held, False, F.col("reservation_id"), never, F.lit(True)).unionByName(
         days(checked.where("status = 0"), True, F.col("request_id"), F.col("requested_at"), F.col("has_lines"))
     )
+    key = "hotel_id"
+    if has_large_key(checked.where("status = 0"), ["hotel_id"], hotel_rows):
+        rows, key = dependent_groups(cut_lineage(rows)), "decided_with"
     columns = ["is_request", "number", "reservation_id", "room_id", "first_day", "last_day", "has_lines"]
     order = ["is_request", "requested_at", "number"]
-    decided = fold_sorted(rows, ["hotel_id"], order, columns, _REGISTERED, RoomBook, _register)
+    decided = fold_sorted(rows, [key], order, columns, _REGISTERED, RoomBook, _register)
     answered, taken = F.col("status") == 0, F.col("conflict").isNotNull()
     occupied = F.concat(
         F.lit("Room is already occupied by another reservation (ID: "), F.col("conflict"), F.lit(") for these dates")
@@ -415,41 +458,38 @@ _ASSIGNED = "reservation_id bigint, hotel_id bigint, room_category_id bigint, ro
 
 
 class OpenRooms:
-    """Free gaps of a hotel and category's rooms, as day numbers."""
+    """Rooms of a hotel and category in id order, and the days each is occupied, both ends included."""
 
     def __init__(self, _row):
-        self.gathered: list[tuple[int, int, int]] = []
-        self.room = None
+        self.rooms: list[int] = []
+        self.places: dict[int, int] = {}
+        self.occupied = DayBits()
+
+    def add_room(self, room: int) -> None:
+        self.places[room] = len(self.rooms)
+        self.rooms.append(room)
+
+    def occupy(self, room: int, first: int, last: int) -> None:
+        self.occupied.add(self.places[room], first, last + 1)
 
     def take(self, first: int, last: int) -> int | None:
-        """The lowest room with a gap around the dates; the gap is cut so stays keep a day apart."""
-        if self.room is None:
-            self.used = len(self.gathered)
-            self.room, self.opens, self.closes = self._arrays(self.gathered)
-        fits = np.flatnonzero((self.opens[: self.used] <= first) & (self.closes[: self.used] >= last))
-        if not len(fits):
+        """The lowest room without a stay on the days; it is occupied then."""
+        free = ((1 << len(self.rooms)) - 1) & ~self.occupied.busy(first, last + 1)
+        if not free or last < first:
             return None
-        spot = fits[np.argmin(self.room[fits])]
-        if self.used == len(self.room):  # doubled, so that cuts don't copy the list each time
-            self.room, self.opens, self.closes = (
-                np.concatenate([column, column]) for column in (self.room, self.opens, self.closes)
-            )
-        self.room[self.used], self.opens[self.used], self.closes[self.used] = self.room[spot], last + 1, self.closes[spot]
-        self.closes[spot] = first - 1
-        self.used += 1
-        return int(self.room[spot])
-
-    @staticmethod
-    def _arrays(gaps: list[tuple[int, int, int]]) -> list[np.ndarray]:
-        """Columns of room, first and last day with one spare place at the end."""
-        return list(np.array([*gaps, (0, 0, 0)], dtype="int64").T.copy())
+        room = self.rooms[lowest(free)]
+        self.occupy(room, first, last)
+        return room
 
 
 def _assign(rooms: OpenRooms, row):
-    """Gap rows sort first and fill the state; reservation rows are answered from it."""
-    if row.is_request:
+    """Rooms sort first, in id order, then their stays; reservations are answered from both."""
+    if row.kind == 2:
         return row.number, row.hotel_id, row.room_category_id, rooms.take(row.first_day, row.last_day)
-    rooms.gathered.append((row.number, row.first_day, row.last_day))
+    if row.kind == 1:
+        rooms.occupy(row.number, row.first_day, row.last_day)
+    else:
+        rooms.add_room(row.number)
     return None
 
 
@@ -465,7 +505,10 @@ def assign_free_rooms(
     ``asked`` comes from :func:`unassigned`; ``room_id`` is NULL where nothing was free. Choosing
     the first fitting room can be done a chunk of rooms at a time: what fits into the first chunk
     does not depend on the later ones, and what is left over moves on. So no task sees more than
-    about ``room_chunk`` rooms and ``block_rows`` reservations of a hotel and category.
+    about ``room_chunk`` rooms and ``block_rows`` reservations of a hotel and category. A worker asks
+    a dyadic tree over days for the set of occupied rooms, so an answer takes a number of set
+    operations that grows with the logarithm of the stay, not with the rooms' stays. Absent
+    dates, and dates that end before they start, get no room.
     """
     order = ["requested_at", "reservation_id"]
     occupied = stays.where("room_id IS NOT NULL").select("room_id", *DATES)
@@ -480,33 +523,35 @@ def assign_free_rooms(
             return waiting
 
         def decide(waiting, state):
-            gaps = (
-                free_gaps(chunk, state.join(placed_rooms, "room_id", "left_semi"), CLOSED, single_days=True)
-                .join(placed_rooms, "room_id")
-                .join(waiting.select(*CATEGORY_KEY).distinct(), CATEGORY_KEY, "left_semi")
-                .select(
+            wanted = waiting.select(*CATEGORY_KEY).distinct()
+            open_rooms = placed_rooms.join(wanted, CATEGORY_KEY, "left_semi")
+
+            def rows(df: DataFrame, kind: int, arrived: Column, number: str, first: Column, last: Column) -> DataFrame:
+                return df.select(
                     *CATEGORY_KEY,
-                    F.lit(False).alias("is_request"),
-                    F.lit(None).cast("timestamp_ntz").alias("requested_at"),
-                    F.col("room_id").alias("number"),
-                    day_number("gap_start").alias("first_day"),
-                    day_number("gap_end").alias("last_day"),
+                    F.lit(kind).alias("kind"),
+                    arrived.cast("timestamp_ntz").alias("requested_at"),
+                    F.col(number).alias("number"),
+                    first.alias("first_day"),
+                    last.alias("last_day"),
                 )
+
+            never, no_day = F.lit(None), F.lit(0).cast("bigint")
+            dated = F.col("start_date").isNotNull() & F.col("end_date").isNotNull()
+            first = F.when(dated, day_number("start_date")).otherwise(1)
+            last = F.when(dated, day_number("end_date")).otherwise(0)
+            # Of stays that begin on one day only the longest counts, which bounds a room's rows by the calendar.
+            longest = state.where(dated).groupBy("room_id", "start_date").agg(F.max("end_date").alias("end_date"))
+            every = (
+                rows(open_rooms, 0, never, "room_id", no_day, no_day)
+                .union(rows(longest.join(open_rooms, "room_id"), 1, never, "room_id", first, last))
+                .union(rows(waiting, 2, F.col("requested_at"), "reservation_id", first, last))
             )
-            requests = waiting.select(
-                *CATEGORY_KEY,
-                F.lit(True).alias("is_request"),
-                "requested_at",
-                F.col("reservation_id").alias("number"),
-                day_number("start_date").alias("first_day"),
-                day_number("end_date").alias("last_day"),
-            )
-            rows = gaps.unionByName(requests)
             return fold_sorted(
-                rows,
+                every,
                 CATEGORY_KEY,
-                ["is_request", "requested_at", "number"],
-                ["is_request", "number", "first_day", "last_day"],
+                ["kind", "requested_at", "number"],
+                ["kind", "number", "first_day", "last_day"],
                 _ASSIGNED,
                 OpenRooms,
                 _assign,
