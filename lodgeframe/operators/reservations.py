@@ -393,3 +393,11 @@ def latest_booking_per_hotel(
 ) -> DataFrame:
     newest = reservations.groupBy("hotel_id").agg(F.max("id").alias("id")).select("id")
     return _booked_rooms(reservations.join(newest, "id", "left_semi"), details, rooms, categories_room)
+
+
+def latest_placed_booking(
+    reservations: DataFrame, details: DataFrame, rooms: DataFrame, categories_room: DataFrame
+) -> DataFrame:
+    """The booking with the greatest id among those that hold a room."""
+    newest = details.where("room_id IS NOT NULL").agg(F.max("reservation_id")).scalar()
+    return _booked_rooms(reservations.where(F.col("id") == newest), details, rooms, categories_room)

@@ -5,12 +5,17 @@ The SQL twins of the ordered folds walk each key's rows one at a time with a rec
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lodgeframe.operators import availability, booking, guests, hotels, payments
+from lodgeframe.operators import availability, booking, guests, hotels, payments, reservations
 from lodgeframe.plans.domain_sql import over
+from lodgeframe.plans.read_queries import BOOKED_SQL, BOOKED_TABLES, PLACED_SQL
 from lodgeframe.plans.search_queries import _COUNTS
+from lodgeframe.session import shared_folder
 from lodgeframe.sources.projection import HotelData
+from lodgeframe.streaming import feeds, requests
 
 # A minute into a day on which reservations were made.
 ATTACH_AS_OF = "2000-06-15 00:00:30"
@@ -85,6 +90,35 @@ def _assignments(d):
     return booking.assign_free_rooms(asked, d.rooms, _stays(d))
 
 
+def _latest_placed(d):
+    """The latest booking once the reservations without a room got theirs."""
+    placed = booking.assigned_details(d.details_reservations, _assignments(d))
+    return reservations.latest_placed_booking(d.reservations, placed, d.rooms, d.categories_room)
+
+
+STREAM_PARTS = 3
+
+
+def _booking_stream(spark, path):
+    """Requests in parts by arrival, each decided by a stream that is started anew on the state the last one left."""
+    d = HotelData(spark, path)
+    asks = d.booking_requests
+    base = f"{shared_folder(spark).rstrip('/')}/lodgeframe-booking-stream-{uuid.uuid4().hex}"
+    arrived = F.unix_micros(F.col("requested_at").cast("timestamp"))
+    first, last = asks.agg(F.min(arrived), F.max(arrived)).first()
+    routes = hotels.hotel_city_route(d.hotels, d.cities, d.city_nodes)
+    for part in range(STREAM_PARTS if first is not None else 0):
+        own = F.least(F.floor((arrived - first) * STREAM_PARTS / (last - first + 1)), F.lit(STREAM_PARTS - 1))
+        asks.where(own == part).write.mode("append").parquet(f"{base}/requests")
+        stream = feeds.read_feed(spark, f"{base}/requests", asks.schema, files_per_batch=10_000)
+        requests.book_stream(
+            stream, d.hotels, d.cities, d.categories_room, routes, d.rooms, _stays(d), f"{base}/decisions", f"{base}/state"
+        ).awaitTermination()
+    return spark.read.schema(requests.BOOKING_DECISION).parquet(f"{base}/decisions").select(
+        "request_id", "hotel_id", "room_category_id", "node", "status", "error", "total_price"
+    )
+
+
 QUERIES = {
     "t01_create_bookings": _on(
         lambda d: _bookings(d).select("request_id", "hotel_id", "room_category_id", "node", "status", "error", "total_price")
@@ -115,6 +149,8 @@ QUERIES = {
         )
     ),
     "t08_assign_free_room": _on(_assignments),
+    "t01_booking_stream": _booking_stream,
+    "r30_latest_booking_placed": _on(_latest_placed),
 }
 
 _BOOKING_TABLES = "booking_requests hotels cities categories_room rooms active_stays reservations details_reservations"
@@ -410,3 +446,18 @@ ORACLES = {
         recursive=True,
     ),
 }
+
+ORACLES["t01_booking_stream"] = ORACLES["t01_create_bookings"]
+ORACLES["r30_latest_booking_placed"] = over(
+    f"{BOOKED_TABLES} active_stays",
+    BOOKED_SQL + " WHERE id = (SELECT max(id) FROM placed)",
+    _ASSIGNED
+    + ", "
+    + PLACED_SQL.replace("FROM details_reservations NATURAL JOIN numbered", "FROM filled NATURAL JOIN numbered").replace(
+        "placed AS", """filled AS (
+        SELECT d.* EXCLUDE (room_id), coalesce(d.room_id, f.room_id) AS room_id FROM details_reservations d
+        LEFT JOIN fold f ON f.reservation_id = d.reservation_id AND f.room_category_id = d.requested_room_category),
+    placed AS"""
+    ),
+    recursive=True,
+)

@@ -125,7 +125,7 @@ _CITY_COUNTS = """
     hotel_counts AS (SELECT DISTINCT city_name, coalesce(n, 0) AS hotels_count FROM cities LEFT JOIN in_city USING (id))"""
 _RES_COUNTS = """
     open_in_hotel AS (SELECT hotel_id AS id, count(*) AS n FROM reservations
-                      WHERE NOT status NOT IN ('confirmed', 'pending') GROUP BY hotel_id),
+                      WHERE status IN ('confirmed', 'pending') GROUP BY hotel_id),
     open_in_city AS (SELECT city_id AS id, sum(n) AS n FROM hotels NATURAL JOIN open_in_hotel GROUP BY city_id),
     res_counts AS (SELECT DISTINCT city_name, CAST(coalesce(n, 0) AS BIGINT) AS reservations_count
                    FROM cities LEFT JOIN open_in_city USING (id))"""
@@ -162,12 +162,12 @@ _LISTED_TABLES = (
 )
 
 # Lines that hold a room, with the room's number and category.
-_PLACED = f"""{_KIND},
+PLACED_SQL = f"""{_KIND},
     numbered AS (SELECT id AS room_id, room_number, floor, category_name FROM rooms NATURAL JOIN kind),
     placed AS (SELECT reservation_id AS id, total_guest_number, numbered.* FROM details_reservations NATURAL JOIN numbered)"""
-_BOOKED = """SELECT hotel_id, id AS reservation_id, total_price, room_number, category_name, start_date, end_date, status
+BOOKED_SQL = """SELECT hotel_id, id AS reservation_id, total_price, room_number, category_name, start_date, end_date, status
              FROM placed NATURAL JOIN reservations"""
-_BOOKED_TABLES = "reservations details_reservations rooms categories_room"
+BOOKED_TABLES = "reservations details_reservations rooms categories_room"
 
 ORACLES = {
     "r01_list_hotels": over(
@@ -347,7 +347,7 @@ ORACLES = {
            FROM placed NATURAL JOIN (SELECT * FROM reservations WHERE status = ANY(['pending', 'confirmed']))
            JOIN (SELECT hotel_id, hotel_name FROM house) USING (hotel_id)
            JOIN (SELECT payer_id, first_name, last_name FROM payer) USING (payer_id)""",
-        f"{_PLACED}, {_PAYER}, {_HOUSE}",
+        f"{PLACED_SQL}, {_PAYER}, {_HOUSE}",
     ),
     "r27_payment_history": over(
         "payments reservations hotels",
@@ -370,12 +370,12 @@ ORACLES = {
            FROM (SELECT id, city_id FROM hotels) JOIN (SELECT id AS city_id, city_name, node FROM cities) USING (city_id)""",
     ),
     "r30_latest_booking": over(
-        _BOOKED_TABLES, _BOOKED + " WHERE id >= ALL(SELECT id FROM reservations)", _PLACED
+        BOOKED_TABLES, BOOKED_SQL + " WHERE id >= ALL(SELECT id FROM reservations)", PLACED_SQL
     ),
     "r30_latest_booking_per_hotel": over(
-        _BOOKED_TABLES,
-        _BOOKED + " SEMI JOIN (SELECT hotel_id, max(id) AS id FROM reservations GROUP BY hotel_id) USING (hotel_id, id)",
-        _PLACED,
+        BOOKED_TABLES,
+        BOOKED_SQL + " SEMI JOIN (SELECT hotel_id, max(id) AS id FROM reservations GROUP BY hotel_id) USING (hotel_id, id)",
+        PLACED_SQL,
     ),
     "r31_hotel_teaser": over(
         "hotels",

@@ -1,7 +1,7 @@
 """Booking and payment requests decided as they arrive.
 
-Bookings: each micro-batch runs the batch operator over the stays on record plus what earlier
-batches accepted; decisions go to a folder per batch, so a repeated batch replaces its own output.
+Bookings: the state store keeps, per hotel and category, how many stays start and end on each day, in
+a tree of day blocks; no batch reads stays or decisions of earlier ones.
 Payments: points, card and paid reservations are kept per payer in the state store.
 """
 
@@ -10,39 +10,158 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import StructType
 
+from lodgeframe.functions.intervals import boundary_marks, per_day
 from lodgeframe.operators.availability import CATEGORY_KEY, DATES
-from lodgeframe.operators.booking import create_bookings
+from lodgeframe.operators.booking import answers, check_bookings, day_number, with_places
 from lodgeframe.operators.payments import card_ladder, look_up_payments, settle_payment, start_account
 from lodgeframe.schemas import struct
-from lodgeframe.sources.store import read_log
 
 BOOKING_DECISION = struct(
     "request_id BIGINT, requested_at TIMESTAMP_NTZ, hotel_id BIGINT, guest_id BIGINT, room_category_id BIGINT, "
     "start_date DATE, end_date DATE, total_guests INT, node STRING, status INT, error STRING, "
     "total_price DECIMAL(12,2)"
 )
-def _earlier(spark: SparkSession, out: str, declared: StructType, batch: int) -> DataFrame:
-    if batch == 0:
-        return spark.createDataFrame([], declared)
-    return read_log(spark, out, declared, batch)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_FAN_BITS = 4
+_LEVELS = 6
+# Days are counted from here, so that the tree's 2 ** 24 days reach from long before the year 1 to long after 9999.
+_DAY_ZERO = 1 << 23
 
-def _run(requests: DataFrame, decide: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str):
-    def one_batch(batch: DataFrame, number: int) -> None:
-        decide(batch, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return (
-        requests.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+class DayCounts:
+    """How many stays start and end before a day, from a tree of day blocks kept in a state map.
+
+    A node covers sixteen blocks of one size and holds their counts of starts and of ends. A count up
+    to a day reads one node of each of six sizes, and a stay changes six nodes for its start and six
+    for its end, however many stays and days there are. Nodes read in a batch are remembered and
+    written once, by :meth:`save`.
+    """
+
+    def __init__(self, nodes):
+        self.nodes = nodes
+        self.read: dict[tuple[int, int], list[int]] = {}
+        self.changed: set[tuple[int, int]] = set()
+
+    def _node(self, level: int, block: int) -> list[int]:
+        key = level, block
+        if key not in self.read:
+            self.read[key] = list(self.nodes.getValue(key)[0]) if self.nodes.containsKey(key) else [0] * (2 << _FAN_BITS)
+        return self.read[key]
+
+    def add(self, day: int, starts: int, ends: int) -> None:
+        at = day + _DAY_ZERO
+        for level in range(_LEVELS):
+            slot, at = at & (1 << _FAN_BITS) - 1, at >> _FAN_BITS
+            node = self._node(level, at)
+            node[slot] += starts
+            node[slot + (1 << _FAN_BITS)] += ends
+            self.changed.add((level, at))
+
+    def before(self, day: int, ends: bool) -> int:
+        """Starts, or ends, on all days before that one."""
+        at, found, shift = day + _DAY_ZERO, 0, (1 << _FAN_BITS) * ends
+        for level in range(_LEVELS):
+            slot, at = at & (1 << _FAN_BITS) - 1, at >> _FAN_BITS
+            found += sum(self._node(level, at)[shift : shift + slot])
+        return found
+
+    def save(self) -> None:
+        for key in self.changed:
+            self.nodes.updateValue(key, (self.read[key],))
+        self.changed.clear()
+
+
+_ASKED = (
+    "request_id bigint, requested_at timestamp_ntz, hotel_id bigint, room_category_id bigint, first_day bigint, "
+    "last_day bigint, places bigint, carried string"
+)
+
+
+class KeptCounts(StatefulProcessor):
+    """Accepts a key's requests in order while its stays leave a room for the dates, and counts those accepted."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.nodes = handle.getMapState("day_counts", "level int, block bigint", "counts array<bigint>")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        counts = DayCounts(self.nodes)
+        for row in initialState.itertuples(index=False):
+            counts.add(row.day, row.starts, row.ends)
+        counts.save()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        asked = pd.concat(list(rows)).sort_values(["requested_at", "request_id"])
+        counts, accepted = DayCounts(self.nodes), []
+        for row in asked.itertuples(index=False):
+            taken = counts.before(row.last_day, ends=False) - counts.before(row.first_day + 1, ends=True)
+            accepted.append(taken < row.places)
+            if accepted[-1]:
+                counts.add(row.first_day, 1, 0)
+                counts.add(row.last_day, 0, 1)
+        counts.save()
+        yield asked.assign(accepted=accepted)
+
+    def close(self) -> None:
+        pass
+
+
+def booking_decisions(
+    requests: DataFrame,
+    hotels: DataFrame,
+    cities: DataFrame,
+    categories_room: DataFrame,
+    routes: DataFrame,
+    rooms: DataFrame,
+    stays: DataFrame,
+) -> DataFrame:
+    """The columns of ``BOOKING_DECISION`` for a stream of requests.
+
+    ``stays`` are counted into the state once, when the stream first starts. A stay overlaps a window
+    unless it starts at or after the window's end or ended by its start, so two counts answer a
+    request. Requests must arrive in time order from batch to batch; within a batch they are put in
+    order. A batch's requests of one hotel and category are held by one task.
+    """
+    columns = ["request_id", "requested_at", "hotel_id", "guest_id", "room_category_id", *DATES, "total_guests"]
+    checked = check_bookings(requests.select(*columns), hotels, cities, categories_room, routes)
+    carried = [c for c in checked.columns if c not in ("request_id", "requested_at", *CATEGORY_KEY)]
+    kinds = dict(checked.dtypes)
+    # Values that only pass through travel as one text, so that no pandas type changes them.
+    asked = with_places(checked.where("status = 0"), rooms).select(
+        "request_id",
+        "requested_at",
+        *CATEGORY_KEY,
+        day_number("start_date").alias("first_day"),
+        day_number("end_date").alias("last_day"),
+        F.col("places").cast("bigint").alias("places"),
+        F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in carried])).alias("carried"),
     )
+    known = per_day(boundary_marks(stays.select(*CATEGORY_KEY, *DATES), CATEGORY_KEY), CATEGORY_KEY).select(
+        *CATEGORY_KEY, day_number("day").alias("day"), F.col("starts").cast("bigint"), F.col("ends").cast("bigint")
+    )
+    decided = asked.groupBy(*CATEGORY_KEY).transformWithStateInPandas(
+        statefulProcessor=KeptCounts(),
+        outputStructType=f"{_ASKED}, accepted boolean",
+        outputMode="append",
+        timeMode="none",
+        initialState=known.groupBy(*CATEGORY_KEY),
+    )
+    passed = F.from_json("carried", ", ".join(f"{c} string" for c in carried))
+    taken = decided.select(
+        "request_id",
+        "requested_at",
+        *CATEGORY_KEY,
+        *[passed[c].cast(kinds[c]).alias(c) for c in carried],
+        "accepted",
+    )
+    refused = checked.where("status <> 0").withColumn("accepted", F.lit(None).cast("boolean"))
+    every = answers(taken.unionByName(refused), columns)
+    return every.select(*[F.col(f.name).cast(f.dataType) for f in BOOKING_DECISION.fields])
 
 
 def book_stream(
@@ -56,15 +175,17 @@ def book_stream(
     out: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    spark = hotels.sparkSession
-
-    def decide(batch: DataFrame, number: int) -> DataFrame:
-        earlier = _earlier(spark, out, BOOKING_DECISION, number).where("status = 201").select(*CATEGORY_KEY, *DATES)
-        held = stays.select(*CATEGORY_KEY, *DATES).unionByName(earlier)
-        made = create_bookings(batch, hotels, cities, categories_room, routes, rooms, held)
-        return made.select(*BOOKING_DECISION.fieldNames())
-
-    return _run(requests, decide, out, checkpoint)
+    """Writes the decisions to ``out``; started again on its checkpoint it goes on where it ended."""
+    hotels.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    decided = booking_decisions(requests, hotels, cities, categories_room, routes, rooms, stays)
+    return (
+        decided.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 _ACCOUNT = "points BIGINT, card BIGINT, paid ARRAY<BIGINT>"

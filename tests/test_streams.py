@@ -1,6 +1,7 @@
 """Streams end in the state the batch operators give; replays change nothing."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -85,6 +86,47 @@ def test_bookings_one_batch_at_a_time(spark, data, tmp_path):
     assert got == {(r.request_id, r.status, r.total_price) for r in batch.collect()}
 
 
+def test_bookings_go_on_after_a_restart_without_their_history(spark, data, tmp_path):
+    """Stopped after each part and started again without stays on record: the state alone knows them."""
+    source, check, out = (str(tmp_path / name) for name in ("asks", "check", "out"))
+    asks = data.booking_requests
+    stays = availability.active_stays(data.reservations, data.details_reservations)
+    routes = hotels.hotel_city_route(data.hotels, data.cities, data.city_nodes)
+    tables = (data.hotels, data.cities, data.categories_room, routes, data.rooms)
+    for number, held in enumerate([stays, stays.limit(0), stays.limit(0)]):  # one micro-batch each
+        _parts(asks, ["requested_at", "request_id"]).where(F.col("part") == number).drop("part").coalesce(1).write.mode(
+            "append"
+        ).parquet(source)
+        stream = feeds.read_feed(spark, source, asks.schema)
+        live.book_stream(stream, *tables, held, out, check).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    batch = booking.create_bookings(asks, *tables, stays).select(*live.BOOKING_DECISION.fieldNames())
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, batch.collect()), key=str)
+    assert {201, 409} <= {r.status for r in got}
+
+
+class _Map(dict):
+    """A state map in memory."""
+
+    getValue, containsKey, updateValue = dict.__getitem__, dict.__contains__, dict.__setitem__
+
+
+def test_day_counts_equal_sums():
+    rng, nodes, events = random.Random(2), _Map(), []
+    for _ in range(40):
+        counts = live.DayCounts(nodes)
+        for _ in range(5):
+            day, starts, ends = rng.choice([-719_162, 2_932_896, *range(19_000, 19_200)]), rng.randrange(3), rng.randrange(3)
+            counts.add(day, starts, ends)
+            events.append((day, starts, ends))
+        counts.save()
+        limit = rng.choice([-719_163, 2_932_897, *range(18_990, 19_210)])
+        fresh = live.DayCounts(nodes)
+        assert fresh.before(limit, False) == sum(s for d, s, _ in events if d < limit)
+        assert fresh.before(limit, True) == sum(e for d, _, e in events if d < limit)
+        assert len(fresh.read) <= 6
+
+
 def test_payments_one_batch_at_a_time(spark, data, tmp_path):
     source, out = str(tmp_path / "asks"), str(tmp_path / "out")
     asks = data.payment_requests
