@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeframe.schemas import BRANCHES
+from lodgeframe.session import cut_lineage
 
 FEED = ["seq", "ts", "origin", "op", "key"]
 RECENCY = ["ts", "origin", "seq"]
@@ -95,6 +96,36 @@ def apply_changes(target: DataFrame, changes: DataFrame, columns: list[str]) ->
     return merged.where("op IS NULL OR op = 'I' OR (op = 'U' AND id IS NOT NULL)").select(*out)
 
 
+def replay(target: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
+    """``target`` (keyed by ``id``) after its only writer's changes, in ``seq`` order.
+
+    A key is there if its last insert comes after its last delete, or if neither came and it was there
+    before; its values are those of its last insert or update. An update of a missing key changes
+    nothing. Aggregates before the shuffle, so hot keys stay cheap.
+    """
+    last = changes.groupBy("key").agg(
+        F.max(F.when(F.col("op") == "D", F.col("seq"))).alias("gone"),
+        F.max(F.when(F.col("op") == "I", F.col("seq"))).alias("made"),
+        F.expr(f"max_by(struct({', '.join(f'`{c}`' for c in columns)}), seq) FILTER (WHERE op <> 'D')").alias("new"),
+    )
+    there = (
+        F.when(F.col("made").isNull() & F.col("gone").isNull(), F.col("id").isNotNull())
+        .otherwise(F.coalesce(F.col("made") > F.col("gone"), F.col("made").isNotNull()))
+    )
+    fresh = F.col("made").isNotNull() & F.col("gone").isNotNull()
+
+    def value(name: str) -> Column:
+        if name == "id":
+            return F.coalesce("id", "key").alias("id")
+        if name in columns:
+            return F.when(F.col("new").isNotNull(), F.col("new")[name]).otherwise(F.col(name)).alias(name)
+        # A row made anew after its removal keeps nothing of the old one.
+        return F.when(~fresh, F.col(name)).alias(name)
+
+    merged = target.join(last, target.id == last.key, "full")
+    return merged.where(there).select(*[value(c) for c in target.columns])
+
+
 def payments_rollup(payments: DataFrame, width: str = "3 hours") -> DataFrame:
     """Count and sum of payments per node and time window; needs ``node, ts, amount``."""
     return (
@@ -117,3 +148,47 @@ def fragment_parity(branch: DataFrame, centre: DataFrame, table: str) -> DataFra
         F.count_if(F.col("at_centre").isNull()).alias("missing_at_centre"),
         F.count_if(F.col("at_branch").isNull()).alias("only_at_centre"),
     ).select(F.lit(table).alias("table_name"), "node", "matched", "missing_at_centre", "only_at_centre")
+
+
+def range_digests(rows: DataFrame, size: int) -> DataFrame:
+    """``node, span, rows, digest`` of ``node, key, digest`` rows, per run of ``size`` keys."""
+    return rows.groupBy("node", F.floor(F.col("key") / size).alias("span")).agg(
+        F.count("*").alias("rows"), F.sum(F.col("digest").cast("decimal(38,0)")).alias("digest")
+    )
+
+
+def differing_keys(branch: DataFrame, centre: DataFrame, table: str, fan: int = 1024, levels: int = 3) -> DataFrame:
+    """Keys whose rows differ between the two sides: ``table_name, node, key, difference``.
+
+    Both sides have ``node, key`` and ``digest``, a hash of the whole row; keys may repeat. Sides are
+    compared by digests of key ranges, wide ones first, and only rows of ranges that differ go on to
+    the next level, so on equal sides no more than a few sums leave a task.
+    """
+    for level in range(levels - 1, -1, -1):
+        size = fan**level
+        here, there = range_digests(branch, size).alias("here"), range_digests(centre, size).alias("there")
+
+        def equal(name: str) -> Column:
+            return F.col(f"here.{name}").eqNullSafe(F.col(f"there.{name}"))
+
+        unequal = (
+            here.join(there, equal("node") & equal("span"), "full")
+            .where(~(equal("rows") & equal("digest")))
+            .select(
+                F.coalesce("here.node", "there.node").alias("node"),
+                F.coalesce("here.span", "there.span").alias("span"),
+                F.when(F.col("there.rows").isNull(), "missing at centre")
+                .when(F.col("here.rows").isNull(), "only at centre")
+                .otherwise("different")
+                .alias("difference"),
+            )
+        )
+        if level:
+            unequal = cut_lineage(unequal.drop("difference"))
+
+            def narrowed(rows: DataFrame) -> DataFrame:
+                placed = rows.withColumn("span", F.floor(F.col("key") / size))
+                return placed.join(unequal, ["node", "span"], "left_semi").drop("span")
+
+            branch, centre = narrowed(branch), narrowed(centre)
+    return unequal.select(F.lit(table).alias("table_name"), "node", F.col("span").alias("key"), "difference")

@@ -7,15 +7,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodgeframe.functions.ordering import strided_ids, writer_of
 from lodgeframe.operators import hotels, quality, replication
 from lodgeframe.operators.booking import NODE_NUMBERS
+from lodgeframe.operators.guests import EDITABLE
 from lodgeframe.plans.domain_sql import over
 from lodgeframe.schemas import BRANCHES, DOMAIN_CHECKS, FOREIGN_KEYS, PARTIAL_UNIQUE_KEYS, TEXT_WIDTHS
 from lodgeframe.schemas import UNIQUE_KEYS, key_column, schema
 from lodgeframe.session import shared_folder
-from lodgeframe.sources import store
+from lodgeframe.sources import copies, store
 from lodgeframe.sources.projection import HotelData
 
 SCANNED_NODE = "filial2"
@@ -107,41 +109,124 @@ def _scan(spark, path):
     return replication.node_scan(stored, SCANNED_NODE).select("node", *d.reservations.columns)
 
 
-def _parity(d):
-    """Branches as their own changes leave them, the centre as the changes delivered so far leave it."""
-    at_branches = F.col("node").isin(BRANCHES)
-    made = (
-        replication.split_by_node(d.reservation_changes, _routes(d))
-        .where(at_branches)
-        .select("seq", "ts", F.col("node").alias("origin"), "op", "key")
+def _hotel_feed(d):
+    """The centre's edits of hotels in order, some of them removals and some putting a hotel (back) in place."""
+    return d.hotel_changes.select(
+        F.col("change_id").alias("seq"),
+        F.expr("CASE WHEN change_id % 5 = 0 THEN 'D' WHEN change_id % 3 = 0 THEN 'I' ELSE 'U' END").alias("op"),
+        F.col("hotel_id").alias("key"),
+        *EDITABLE,
     )
 
-    def after(feed):
-        return replication.sync_tables([feed.withColumn("source", F.col("origin"))]).select(
-            F.col("origin").alias("node"), F.col("key").cast("string").alias("key")
-        )
 
-    delivered = after(made.where(F.col("ts") <= F.lit(DELIVERED_UNTIL).cast("timestamp_ntz")))
-    stays = d.reservations.select(F.col("id").alias("reservation_id"), "hotel_id")
-    lines = d.details_reservations.select(F.col("id").alias("room_reservation_id"), "reservation_id")
-    paid = replication.split_by_node(d.payments.join(stays, "reservation_id"), _routes(d)).where(at_branches)
-    keyed = paid.select("node", F.col("id").cast("string").alias("key"), "payments_date")
-    occupancy = replication.split_by_node(
-        d.room_reservation_guests.join(lines, "room_reservation_id").join(stays, "reservation_id"), _routes(d)
-    ).select("node", F.concat_ws("-", "room_reservation_id", "guest_id").alias("key")).where(at_branches)
-    rooms = _with_nodes(d)["rooms"].where(at_branches).select("node", F.col("id").cast("string").alias("key"))
-    parts = [
-        replication.fragment_parity(rooms, rooms, "rooms"),
-        replication.fragment_parity(after(made), delivered, "reservations"),
-        replication.fragment_parity(
-            keyed.drop("payments_date"), keyed.where(f"payments_date <= DATE'{ROLLED_UP_UNTIL}'").drop("payments_date"), "payments"
-        ),
-        # Occupancy is never published, so the centre holds none of it.
-        replication.fragment_parity(occupancy, occupancy.limit(0), "room_reservation_guests"),
-    ]
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/lodgeframe-{name}-{uuid.uuid4().hex}"
+
+
+def _changes_after_copy(spark, path):
+    """Each branch copies the hotels at a place of its own in the feed and is sent what follows, some of it twice."""
+    d = HotelData(spark, path)
+    base, feed = _folder(spark, "copies"), _hotel_feed(d)
+    rows = d.hotels.select("id", *COPIED["hotels"].split())
+    last = feed.agg(F.max("seq")).first()[0] or 0
+    parts = []
+    for number, node in enumerate(BRANCHES, 1):
+        position = last * number // 4
+        own = copies.SubscribedCopy(spark, f"{base}/{node}", rows.schema, EDITABLE)
+        own.take(replication.replay(rows, feed.where(F.col("seq") <= position), EDITABLE), position)
+        own.deliver(feed.where(F.col("seq").between(position // 2, (position + last) // 2)))
+        own.deliver(feed)
+        parts.append(replication.stacked("hotels", own.current().withColumn("node", F.lit(node))))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _at_branches(d):
+    """Whole rows of the branch tables that the centre follows, each as the insert its branch sent, and removals."""
+    routes, here = _routes(d), F.col("node").isin(BRANCHES)
+    stays = d.reservations.select(F.col("id").alias("reservation_id"), "hotel_id", "create_date")
+
+    def owned(df):
+        return replication.split_by_node(df, routes).where(here)
+
+    seen = owned(d.reservation_changes).select("key", "op", "ts")
+    day = F.datediff("ts", F.lit("1970-01-01")).cast("bigint")
+    # One number for each change of a branch, greater on later days.
+    number = day * (1 << 36) + F.col("key") * 2 + (F.col("op") == "D").cast("int")
+    reservations = (
+        owned(d.reservations).withColumn("key", F.col("id")).join(seen, "key")
+        .select(number.alias("seq"), "ts", F.col("node").alias("origin"), "op", "key", *d.reservations.columns[1:])
+    )
+    guests = d.room_reservation_guests
+    span = (guests.agg(F.max("guest_id")).first()[0] or 0) + 1
+    lines = d.details_reservations.select(F.col("id").alias("room_reservation_id"), "reservation_id")
+    occupancy = owned(
+        guests.join(lines, "room_reservation_id").join(stays, "reservation_id")
+        .withColumn("id", F.col("room_reservation_id") * span + F.col("guest_id"))
+    ).select("id", "node", "room_reservation_id", "guest_id", "create_date")
+    paid = owned(d.payments.join(stays.drop("create_date"), "reservation_id")).select("node", *d.payments.columns)
+    return {
+        "rooms": copies.whole_rows(owned(d.rooms).select("node", *d.rooms.columns), "TIMESTAMP_NTZ'1990-01-01 00:00:00'"),
+        "reservations": reservations,
+        "payments": copies.whole_rows(paid, "payments_date"),
+        "room_reservation_guests": copies.whole_rows(occupancy, "create_date").drop("create_date"),
+    }
+
+
+def _centre(spark, d, batches):
+    """The centre's tables after each branch's changes came in batches; ``batches`` gives them for a table's changes."""
+    base, made = _folder(spark, "centre"), {}
+    for name, changes in _at_branches(d).items():
+        values = [f for f in changes.schema.fields if f.name not in replication.FEED]
+        made[name] = copies.CentreTable(spark, f"{base}/{name}", StructType(values))
+        for batch in batches(name, changes):
+            made[name].apply(batch)
+    return made
+
+
+def _until(name: str) -> str:
+    return f"ts <= TIMESTAMP_NTZ'{ROLLED_UP_UNTIL if name == 'payments' else DELIVERED_UNTIL}'"
+
+
+def _centre_rows(spark, path):
+    """Reservations at the centre, from batches of which one is sent again and one overlaps what came before."""
+    d = HotelData(spark, path)
+    base = _folder(spark, "centre")
+    changes = _at_branches(d)["reservations"]
+    values = [f for f in changes.schema.fields if f.name not in replication.FEED]
+    centre = copies.CentreTable(spark, base, StructType(values))
+    early = changes.where(_until("reservations"))
+    for batch in (early, early, changes):
+        centre.apply(batch)
+    return centre.current()
+
+
+def _sides(spark, d):
+    """Per table the rows of the branches, as they are there now, and of the centre, as far as changes were delivered.
+
+    Branches have given some rooms another floor since.
+    """
+    centre = _centre(spark, d, lambda name, changes: [changes.where(_until(name))])
+    out = {}
+    for name, changes in _at_branches(d).items():
+        values = centre[name].columns
+        here = replication.latest_changes(changes).where("op <> 'D'").withColumnRenamed("origin", "node")
+        if name == "rooms":
+            here = here.withColumn("floor", F.expr("CASE WHEN key % 97 = 0 THEN floor + 1 ELSE floor END").cast(here.schema["floor"].dataType))
+        digest = F.xxhash64(*values).alias("digest")
+        out[name] = here.select("node", "key", digest), centre[name].current().select("node", "key", digest)
+    return out
+
+
+def _parity(spark, path):
+    sides = _sides(spark, HotelData(spark, path))
+    return reduce(DataFrame.unionByName, [replication.fragment_parity(*both, name) for name, both in sides.items()])
+
+
+def _differences(spark, path):
+    sides = _sides(spark, HotelData(spark, path))
+    return reduce(DataFrame.unionByName, [replication.differing_keys(*both, name) for name, both in sides.items()])
+
+
 QUERIES = {
     "s01_distribute_reference": _on(_distribute),
     "s02_consolidate_branches": _on(_consolidate),
@@ -157,7 +242,10 @@ QUERIES = {
     "q04_domain_checks": _on(lambda d: quality.broken_domains(d.incoming_tables)),
     "q05_shapes": _on(lambda d: quality.bad_shapes(d.incoming_tables)),
     "q06_request_checks": _on(lambda d: quality.check_requests(d.raw_requests)),
-    "q07_consolidation_parity": _on(_parity),
+    "q07_consolidation_parity": _parity,
+    "q07_differing_keys": _differences,
+    "s01_changes_after_copy": _changes_after_copy,
+    "s02_centre_rows": _centre_rows,
 }
 
 # Where the SQL twins find each table of ``HotelData.incoming_tables``.
@@ -240,6 +328,21 @@ _KEYED = (
         UNION ALL SELECT 'payments', r.hotel_id, p.id FROM payments p JOIN reservations r ON r.id = p.reservation_id)"""
 )
 
+_SIDES = f""",
+    dated AS (
+        SELECT id, hotel_id, create_date <= TIMESTAMP '{DELIVERED_UNTIL}' AS known, status = 'cancelled' AND id % 7 = 0 AS gone,
+               create_date + INTERVAL 30 DAY <= TIMESTAMP '{DELIVERED_UNTIL}' AS told FROM reservations),
+    sides AS (
+        SELECT 'rooms' AS table_name, hotel_id, id AS key, true AS here, true AS there FROM rooms
+        UNION ALL SELECT 'reservations', hotel_id, id, NOT gone, known AND NOT (gone AND told) FROM dated
+        UNION ALL SELECT 'payments', r.hotel_id, p.id, true, p.payments_date <= DATE '{ROLLED_UP_UNTIL}'
+                  FROM payments p JOIN reservations r ON r.id = p.reservation_id
+        UNION ALL SELECT 'room_reservation_guests', r.hotel_id,
+                         o.room_reservation_id * (SELECT max(guest_id) + 1 FROM room_reservation_guests) + o.guest_id,
+                         true, r.known
+                  FROM room_reservation_guests o JOIN details_reservations d ON d.id = o.room_reservation_id
+                  JOIN dated r ON r.id = d.reservation_id)"""
+
 ORACLES = {
     "s01_distribute_reference": over(
         " ".join(COPIED),
@@ -314,18 +417,38 @@ ORACLES = {
         """SELECT table_name, node, count_if(here AND there) AS matched, count_if(here AND NOT there) AS missing_at_centre,
                   count_if(there AND NOT here) AS only_at_centre
            FROM sides JOIN hotel_nodes USING (hotel_id) WHERE node <> 'central' AND (here OR there) GROUP BY 1, 2""",
-        _NODES
-        + f""",
-    dated AS (
-        SELECT hotel_id, create_date <= TIMESTAMP '{DELIVERED_UNTIL}' AS known, status = 'cancelled' AND id % 7 = 0 AS gone,
-               create_date + INTERVAL 30 DAY <= TIMESTAMP '{DELIVERED_UNTIL}' AS told FROM reservations),
-    sides AS (
-        SELECT 'rooms' AS table_name, hotel_id, true AS here, true AS there FROM rooms
-        UNION ALL SELECT 'reservations', hotel_id, NOT gone, known AND NOT (gone AND told) FROM dated
-        UNION ALL SELECT 'payments', r.hotel_id, true, p.payments_date <= DATE '{ROLLED_UP_UNTIL}'
-                  FROM payments p JOIN reservations r ON r.id = p.reservation_id
-        UNION ALL SELECT 'room_reservation_guests', r.hotel_id, true, false
-                  FROM room_reservation_guests o JOIN details_reservations d ON d.id = o.room_reservation_id
-                  JOIN reservations r ON r.id = d.reservation_id)""",
+        _NODES + _SIDES,
+    ),
+    "q07_differing_keys": over(
+        _NODE_TABLES + " room_reservation_guests",
+        """SELECT table_name, node, key, CASE WHEN NOT there THEN 'missing at centre' WHEN NOT here THEN 'only at centre'
+                  ELSE 'different' END AS difference
+           FROM sides JOIN hotel_nodes USING (hotel_id)
+           WHERE node <> 'central' AND (here <> there OR (table_name = 'rooms' AND key % 97 = 0))""",
+        _NODES + _SIDES,
+    ),
+    "s01_changes_after_copy": over(
+        "hotels hotel_changes",
+        " UNION ALL ".join(
+            f"SELECT 'hotels' AS table_name, node, id, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM after, branches"
+            for c in COPIED["hotels"].split()
+        ),
+        f"""branches AS (SELECT * FROM (VALUES ('filial1'), ('filial2'), ('filial3')) t(node)),
+    feed AS (SELECT *, CASE WHEN change_id % 5 = 0 THEN 'D' WHEN change_id % 3 = 0 THEN 'I' ELSE 'U' END AS op FROM hotel_changes),
+    turned AS (SELECT hotel_id, max(change_id) FILTER (op = 'D') AS gone, max(change_id) FILTER (op = 'I') AS made,
+                      max(change_id) FILTER (op <> 'D') AS last FROM feed GROUP BY hotel_id),
+    after AS (
+        SELECT coalesce(h.id, t.hotel_id) AS id,
+               {", ".join(f"CASE WHEN t.last IS NULL THEN h.{c} ELSE f.{c} END AS {c}" for c in EDITABLE)},
+               {", ".join(f"CASE WHEN t.made IS NULL OR t.gone IS NULL THEN h.{c} END AS {c}" for c in ("city_id", "star_rating_id"))}
+        FROM hotels h FULL JOIN turned t ON t.hotel_id = h.id LEFT JOIN feed f ON f.change_id = t.last
+        WHERE CASE WHEN t.made IS NULL AND t.gone IS NULL THEN h.id IS NOT NULL
+                   ELSE t.made IS NOT NULL AND t.made > coalesce(t.gone, -1) END)""",
+    ),
+    "s02_centre_rows": over(
+        "reservations hotels cities",
+        """SELECT n.node, r.id AS key, r.* EXCLUDE (id) FROM reservations r JOIN hotel_nodes n USING (hotel_id)
+           WHERE n.node <> 'central' AND NOT (r.status = 'cancelled' AND r.id % 7 = 0)""",
+        _NODES,
     ),
 }

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodgeframe.functions.text import json_rows
 from lodgeframe.operators.replication import latest_changes
@@ -64,7 +63,16 @@ class ChangeLog:
         return fresh
 
 
-def read_log(spark: SparkSession, path: str, declared: StructType, before_batch: int) -> DataFrame:
-    """Rows of earlier batches only, so a repeated batch does not see its own first try."""
-    with_batch = StructType([*declared.fields, StructField("batch", LongType())])
-    return spark.read.schema(with_batch).parquet(path).where(F.col("batch") < before_batch).drop("batch")
+def files_under(spark: SparkSession, path: str) -> list[str]:
+    """The data files below a folder, by names relative to it; none if it is missing. Folder names are listed, no data is read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    base, found = system.getFileStatus(folder).getPath().toString(), []
+    every = system.listFiles(folder, True)
+    while every.hasNext():
+        name = every.next().getPath().toString().removeprefix(base).lstrip("/")
+        if name.endswith(".parquet") and "/_temporary/" not in f"/{name}":
+            found.append(name)
+    return sorted(found)
