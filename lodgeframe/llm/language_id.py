@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgeframe.llm.samples import about_per_class
+from lodgeframe.llm.samples import drawn_per_class
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -27,7 +27,7 @@ HIDDEN = 8
 RUN_BYTES = 128
 #: Runs computed side by side.
 RUNS_AT_ONCE = 2048
-#: Learning: rows of each language, and characters of the window taken from each, at most about.
+#: Learning: rows of each language, and characters of the window taken from each, at most.
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 96
 #: A text whose best language has a lower mean probability is rejected.
@@ -199,7 +199,7 @@ def classify(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network from about ``rows`` rows of each language, one window of SAMPLE_CHARS from each.
+    """A network from ``rows`` rows of each language at most, one window of SAMPLE_CHARS from anywhere in each.
 
     None if no row has both a language and text.
     """
@@ -209,7 +209,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     key = F.xxhash64("text")
     start = F.pmod(key, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
     window = F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS))
-    drawn = about_per_class(usable, "lang", key, rows).select(window.alias("text"), "lang").collect()
+    drawn = drawn_per_class(usable.select(window.alias("text"), "lang"), "lang", rows).collect()
     return fit([(r["text"].encode(), r["lang"]) for r in drawn]) if drawn else None
 
 

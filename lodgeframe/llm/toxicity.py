@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgeframe.llm.samples import about_per_class
+from lodgeframe.llm.samples import drawn_per_class, first_per_class
 
 LENGTHS = (3, 4)
 #: Characters from the first to the last of a subsequence, at most.
 SPAN = 6
 DECAY = 0.8
 LANDMARKS = 160
-#: Learning: labelled rows of each class that are read, at most about; words kept of each side.
+#: Learning: labelled rows of each class that are read, at most; words kept of each side.
 SAMPLE_ROWS = 2000
 SAMPLE_WORDS = 1500
 #: Beginnings of words from this many characters on are counted beside whole words.
@@ -342,14 +342,16 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", rows: int = SAMPLE_ROWS,
 ) -> Machine | None:
-    """A machine from about ``rows`` labelled rows of each class; their ids are joined with docs.
+    """A machine from ``rows`` labelled rows of each class at most; their ids are joined with docs.
 
-    Rows with a null label or id teach nothing. Of several labels of one id all count.
+    Rows with a null label or id teach nothing. Of several labels of one id all count. An id that many
+    documents share brings no more than ``rows`` texts of a class either.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
-    drawn = about_per_class(known, "y", F.col("id"), rows)
+    drawn = drawn_per_class(known, "y", rows)  # two classes, so 2 * rows pairs of numbers are broadcast at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    found = texts.join(F.broadcast(drawn), "id").select("text", "y").collect()
+    joined = texts.join(F.broadcast(drawn), "id").select("text", "y")
+    found = first_per_class(joined, "y", F.xxhash64("text"), rows).collect()
     return fit([(r["text"], r["y"]) for r in found])
 
 
