@@ -68,7 +68,7 @@ class WordEncoder:
 
     The tokenizer must drop white space, so that words between white space are encoded alone. A
     plain word skips the splitting steps, which would return it whole, and goes to the model alone.
-    The names of special tokens within a text are plain characters, unlike in the library's default.
+    The names of special tokens within a text give those tokens, as by the library's defaults.
     """
 
     def __init__(self, spec: bytes, remembered: int = REMEMBERED_WORDS):
@@ -77,7 +77,6 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.tokenizer.encode_special_tokens = True
         self.normal, self.model = self.tokenizer.normalizer.normalize_str, self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {b: level.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128)}
@@ -106,7 +105,8 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         self.ids.tidy()
         of = self.ids.__getitem__
-        return [b"".join(map(of, (t.lower() if t.isascii() else t).split())) for t in texts]
+        # Names of special tokens, which hold "<|", are told apart by case.
+        return [b"".join(map(of, (t.lower() if t.isascii() and b"<|" not in t else t).split())) for t in texts]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -258,21 +258,23 @@ def pack(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, columns)
     )
 
-    def merge(key, frame):
-        frame = frame.sort_values(["part", "sequence_id", "offset"], kind="stable")
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(name, "ascending") for name in ("part", "sequence_id", "offset")])
+        columns = [table.column(name).to_pylist() for name in ("start", "ids", "doc_tokens")]
         pieces = [
-            (i, start, np.frombuffer(ids, dtype="<u4"), tokens)
-            for i, start, ids, tokens in zip(range(len(frame)), frame["start"], frame["ids"], frame["doc_tokens"])
+            (i, start, np.frombuffer(ids, dtype="<u4"), tokens) for i, (start, ids, tokens) in enumerate(zip(*columns))
         ]
-        rows = list(_rows(cut_stream(pieces, window), (1 << 62) + (int(key[0]) << 32)))
-        out = frame[["id"]].take([r[0] for r in rows]).reset_index(drop=True)
-        for k, name in enumerate(("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), 1):
-            out[name] = [r[k] for r in rows]
-        return out
+        first = table.column("part")[0].as_py() // MERGED_PARTITIONS
+        rows = list(zip(*_rows(cut_stream(pieces, window), (1 << 62) + (first << 32))))
+        names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        return pa.table(
+            {"id": table.column("id").take(pa.array(rows[0], pa.int64()))}
+            | {name: pa.array(values, pa.int64()) for name, values in zip(names, rows[1:])}
+        )
 
     merged = (
         packed.where("ids is not null")
         .groupBy(F.floor(F.col("part") / MERGED_PARTITIONS).alias("team"))
-        .applyInPandas(merge, f"id {kind}, {_PIECES}")
+        .applyInArrow(merge, f"id {kind}, {_PIECES}")
     )
     return packed.where("ids is null").drop("part", "ids").union(merged)

@@ -16,7 +16,6 @@ SPEC = Path(public_tokenizers.path("word_bpe_49k.json")).read_bytes()
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_str(SPEC.decode())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -70,6 +69,12 @@ def test_best_fit():
     assert sorted(w[0] for w in windows.open) == [9]
 
 
+def test_large_ids_beside_a_null_stay_whole(spark):
+    rows = [[2**53 + 1, "one two", "en"], [None, "three", "en"], [2**53 + 3, None, None]]
+    found = packing.pack(docs_frame(spark, rows).coalesce(1), SPEC).collect()
+    assert {r["id"] for r in found} == {2**53 + 1, 2**53 + 3, None}
+
+
 def test_empty_table_and_window(spark):
     assert packing.pack(docs_frame(spark, []), SPEC).count() == 0
     with pytest.raises(ValueError):
