@@ -21,7 +21,7 @@ import hashlib
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,21 +120,28 @@ def format_conversations(
         .select("id", F.col("rows.role").alias("roles"), F.col("rows.text").alias("texts"))
     )
 
-    def run(frames):
-        for frame in frames:
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    turn = pa.struct([("role", pa.string()), *span])
+
+    def run(batches):
+        for batch in batches:
             formatted, turns, loss, rewrites = [], [], [], []
-            for roles, texts in zip(frame["roles"], frame["texts"]):
+            for roles, texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = list(zip(roles, texts))
                 output, spans, rewrote = render(template, own)
                 formatted.append(output)
                 turns.append([{"role": r, "start": s[0], "end": s[3]} for (r, _), s in zip(own, spans)])
                 loss.append([{"start": s[1], "end": s[2]} for (r, _), s in zip(own, spans) if r in trained_roles])
                 rewrites.append(rewrote)
-            out = frame[["id"]].copy()
-            out["formatted"], out["turns"], out["loss_spans"], out["rewrites"] = formatted, turns, loss, rewrites
-            yield out
-
-    return gathered.mapInPandas(
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(formatted, pa.string()), pa.array(turns, pa.list_(turn)),
+                    pa.array(loss, pa.list_(span)), pa.array(rewrites, pa.bool_()),
+                ],
+                names=["id", "formatted", "turns", "loss_spans", "rewrites"],
+            )
+
+    return gathered.mapInArrow(
         run,
         f"id {kind}, formatted string, turns array<struct<role:string,start:long,end:long>>, "
         "loss_spans array<struct<start:long,end:long>>, rewrites boolean",
@@ -145,20 +152,23 @@ def digests(formatted: DataFrame) -> DataFrame:
     """(id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from turn_template's output."""
     kind = formatted.schema["id"].dataType.simpleString()
 
-    def run(frames):
-        for frame in frames:
+    def run(batches):
+        for batch in batches:
             rows = []
-            for output, loss in zip(frame["formatted"], frame["loss_spans"]):
+            for output, loss in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 turns = read_turns(output)
                 trained = "".join(unescape(output[s["start"] : s["end"]]) for s in loss)
                 rows.append(
                     (len(turns), _digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(trained), _digest(trained), len(output))
                 )
-            names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            found = pd.DataFrame(rows, columns=names, index=frame.index)
-            yield pd.concat([frame[["id"]], found], axis=1)
-
-    return formatted.select("id", "formatted", "loss_spans").mapInPandas(
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            )
+
+    return formatted.select("id", "formatted", "loss_spans").mapInArrow(
         run,
         f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )

@@ -61,5 +61,11 @@ def test_equals_sql(spark, tmp_path):
     assert compare(queries.op8_chat(spark, str(tmp_path)), con, queries.OP8_SQL) is None
 
 
+def test_large_ids_beside_a_null_stay_whole(spark):
+    rows = [(2**53 + 1, 0, "user", "a"), (None, 0, "assistant", "b"), (2**53 + 3, 0, "user", None)]
+    formatted = chat.format_conversations(frame(spark, rows).coalesce(1))
+    assert {r["id"] for r in formatted.collect()} == {r["id"] for r in chat.digests(formatted).collect()} == {r[0] for r in rows}
+
+
 def test_empty(spark):
     assert chat.digests(chat.format_conversations(frame(spark, []))).count() == 0
