@@ -37,6 +37,11 @@ def _guests_per_detail(occupancy: DataFrame) -> DataFrame:
 def cities_reservation_counts(cities: DataFrame, hotels: DataFrame, reservations: DataFrame) -> DataFrame:
     """Active reservations per city, zero kept. Reservations are counted per hotel before any join."""
     per_hotel = reservations.where(_active()).groupBy("hotel_id").agg(F.count("id").alias("n"))
+    return counts_per_city(cities, hotels, per_hotel)
+
+
+def counts_per_city(cities: DataFrame, hotels: DataFrame, per_hotel: DataFrame) -> DataFrame:
+    """The same from ``hotel_id, n``, such as counts that are kept current."""
     per_city = (
         hotels.select(F.col("id").alias("hotel_id"), "city_id")
         .join(per_hotel, "hotel_id")

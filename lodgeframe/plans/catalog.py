@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgeframe.plans import booking_queries, read_queries, replication_queries, search_queries
+from lodgeframe.plans import booking_queries, read_queries, replication_queries, search_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [read_queries, search_queries, booking_queries, replication_queries]
+_MODULES = [read_queries, search_queries, booking_queries, replication_queries, stream_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -19,6 +19,13 @@ def _stored(spark: SparkSession, path: str, declared: StructType) -> DataFrame:
     return spark.createDataFrame([], declared)
 
 
+def _replace_buckets(rows: DataFrame, path: str) -> None:
+    """Writes whole buckets in place of their old files. The rows are saved first, as they may come from those."""
+    cut_lineage(rows).hint("rebalance", "bucket").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("bucket").parquet(path)
+
+
 class SubscribedCopy:
     """A copy of a keyed table, taken at a position of its feed, and the changes that lie after it.
 
@@ -106,10 +113,7 @@ class CentreTable:
             kept = self._rows().where(F.col("bucket").isin(touched))
             order = [*self.feed.fieldNames(), "bucket"]
             merged = latest_changes(kept.select(*order).union(fresh.select(*order)))
-            # Saved first: the folders read here are replaced.
-            cut_lineage(merged.select(*order)).hint("rebalance", "bucket").write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("bucket").parquet(f"{self.root}/rows")
+            _replace_buckets(merged.select(*order), f"{self.root}/rows")
             reached = fresh.groupBy("origin").agg(F.max("seq").alias("mark")).coalesce(1)
             reached.write.mode("append").parquet(f"{self.root}/marks")
         return len(touched)
@@ -119,6 +123,49 @@ class CentreTable:
         return self._rows().where("op <> 'D'").select(F.col("origin").alias("node"), "key", *self.columns)
 
 
+class SignedCounts:
+    """Counts by key, kept in buckets of keys from numbered batches of signed numbers.
+
+    A batch rewrites the buckets of its own keys only. Each key remembers the last batch that counted
+    for it, so a batch that is sent again, whole or in part, adds nothing; batches come in order.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = BUCKETS):
+        self.spark, self.root, self.keys, self.buckets = spark, root, keys, buckets
+        self.kept = StructType.fromDDL(", ".join(f"`{k}` string" for k in keys) + ", n bigint, batch bigint, bucket int")
+
+    def _rows(self) -> DataFrame:
+        return _stored(self.spark, f"{self.root}/counts", self.kept)
+
+    def add(self, signed: DataFrame, batch: int) -> int:
+        """Adds ``n`` to each key's count and returns the number of buckets rewritten."""
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+        texts = signed.select(*[F.col(k).cast("string").alias(k) for k in self.keys], "n")
+        change = cut_lineage(texts.groupBy(*self.keys).agg(F.sum("n").alias("change")).select("*", bucket))
+        touched = [r[0] for r in change.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if touched:
+            names = [*self.keys, "bucket"]
+            kept = self._rows().where(F.col("bucket").isin(touched)).select(*names, "n", "batch", F.lit(None).cast("bigint").alias("change"))
+            new = change.select(*names, F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("batch"), "change")
+            merged = kept.union(new).groupBy(*names).agg(
+                F.sum("n").alias("n"), F.max("batch").alias("batch"), F.sum("change").alias("change")
+            )
+            counts = F.col("change").isNotNull() & (F.col("batch") < batch)
+            after = merged.select(
+                *self.keys,
+                (F.col("n") + F.when(counts, F.col("change")).otherwise(0)).alias("n"),
+                F.when(counts, F.lit(batch)).otherwise(F.col("batch")).cast("bigint").alias("batch"),
+                "bucket",
+            )
+            # Zeros of earlier batches can go: only the last batch may come again.
+            _replace_buckets(after.where(F.expr(f"n <> 0 OR batch >= {batch}")), f"{self.root}/counts")
+        return len(touched)
+
+    def current(self) -> DataFrame:
+        """The keys and ``n`` of all counts that are not zero."""
+        return self._rows().where("n <> 0").select(*self.keys, "n")
+
+
 def whole_rows(df: DataFrame, ts: str) -> DataFrame:
     """Rows with ``id`` and ``node`` as the inserts their branch sent, each at the time ``ts``."""
     values = [c for c in df.columns if c not in ("id", "node")]
