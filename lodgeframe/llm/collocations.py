@@ -1,16 +1,17 @@
 """Phrase collocations from a weighted de Bruijn graph of words.
 
 Pieces of text are walks through a graph whose edges are the longest phrases (five words) and whose
-nodes are the phrases of one word less. Only edges are counted, and how often a piece ends with each
-shorter phrase. A node occurs as often as its edges to longer phrases plus the pieces that end with
+nodes are the phrases of one word less. Only edges are counted, and how often a walk ends with each
+shorter phrase. A node occurs as often as its edges to longer phrases plus the walks that end with
 it; with the same two terms the counts of nodes give those of the phrases one word shorter, down to
 single words. Unary paths, on which every occurrence of a node comes in by one edge and leaves by
 one, are kept as one row with one count.
 
-A phrase that occurs ``least`` times has no rarer pair of neighbours. Pairs are counted in a table of
-hashed buckets first, and where a pair's bucket stays below ``least``, a piece is cut as if it ended
-there: that changes no count of a phrase that occurs often enough. The bits of frequent buckets, 32 MB
-at most whatever the corpus's size, are broadcast.
+A phrase that occurs ``least`` times has no rarer part. Pairs, and then the longer phrases whose pairs
+passed, are first counted in hashed buckets, and a walk ends before the first word that
+makes its phrase one of a bucket below ``least``: that changes no count of a phrase that occurs often
+enough, as each place of the text still counts once, for the longest phrase that begins there. The
+bits of frequent buckets, 32 MB a table at most whatever the corpus's size, are broadcast.
 
 Bad and odd input: a null or empty text has no pieces, a null language is ``und``. Repeated rows
 count as often as they occur. An empty table, or one without a phrase that is frequent enough, gives
@@ -35,7 +36,7 @@ LEAST = 100
 LONGEST = 5
 FIRST = 2000
 UNKNOWN = "und"
-#: Bytes of text per bucket of pairs, and how many bits number the buckets at least and at most.
+#: Bytes of text per bucket of phrases, and how many bits number the buckets at least and at most.
 BYTES_PER_BUCKET = 64
 BUCKET_BITS = (16, 28)
 _TEXT_AT_ONCE = 8 << 20
@@ -61,12 +62,17 @@ class Walk:
         if _BREAK in numbers:
             self.at[self.at == numbers[_BREAK]] = -1
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where two neighbours stand in one piece, and the hash of each such pair."""
-        place = np.flatnonzero((self.at[:-1] >= 0) & (self.at[1:] >= 0))
-        left, right = self.hashes[self.at[place]], self.hashes[self.at[place + 1]]
-        mixed = (left * _ODD[0] ^ right >> np.uint64(29)) * _ODD[1] + right
-        return place, (mixed ^ mixed >> np.uint64(32)) * _ODD[0]
+    def phrases(self, longest: int):
+        """For each size: the hash of the phrase at each place, and whether it stands in one piece."""
+        words, inside = self.hashes[self.at], self.at >= 0
+        own, whole = words, inside
+        yield own, whole
+        for size in range(2, longest + 1):
+            own, added = own[:-1], words[size - 1 :]
+            own = (own * _ODD[0] ^ added >> np.uint64(29)) * _ODD[1] + added
+            own = (own ^ own >> np.uint64(32)) * _ODD[0]
+            whole = whole[:-1] & inside[size - 1 :]
+            yield own, whole
 
 
 def _walks(batch):
@@ -80,14 +86,42 @@ def _walks(batch):
             yield lang, Walk(lang, [texts[i] for i in portion])
 
 
-def _frequent_buckets(rows: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit per bucket: whether pairs of that bucket occur at least that often. At most 4,194,304 longs are collected."""
+def _held(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the hashes' buckets are frequent."""
+    bucket = hashes >> np.uint64(64 - bits)
+    return (table[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _paired(table: np.ndarray, walk: Walk, bits: int, longest: int):
+    """For each size its hashes, and the places where all pairs of the phrase are in frequent buckets."""
+    reached = pairs = None
+    for size, (own, whole) in enumerate(walk.phrases(longest), 1):
+        if size == 1:
+            reached = whole
+        elif size == 2:
+            reached = pairs = whole & _held(table, own, bits)
+        else:
+            reached = reached[:-1] & pairs[size - 2 :]
+        yield own, reached
+
+
+def _frequent_buckets(rows: DataFrame, bits: int, least: int, longest: int, pairs: np.ndarray | None) -> np.ndarray:
+    """One bit per bucket of phrases: of pairs, or of longer phrases, given the table of pairs.
+
+    At most 4,194,304 longs are collected.
+    """
+    known = rows.sparkSession.sparkContext.broadcast(pairs)
 
     def count(batches):
         for batch in batches:
             for _, walk in _walks(batch):
-                bucket, n = np.unique(walk.pairs()[1] >> np.uint64(64 - bits), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n)], names=["bucket", "n"])
+                if known.value is None:
+                    found = [own[whole] for own, whole in walk.phrases(2)][1:]
+                else:
+                    found = [own[reached] for own, reached in _paired(known.value, walk, bits, longest)][2:]
+                for own in found:
+                    bucket, n = np.unique(own >> np.uint64(64 - bits), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n)], names=["bucket", "n"])
 
     often = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     longs = (
@@ -109,44 +143,42 @@ def _grams(walk: Walk, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.nd
     return starts[first], n
 
 
-def _graph_rows(walk: Walk, table: np.ndarray, bits: int, longest: int):
-    """Columns k, key, gram, last and n: edges (k = longest) by their first node and last word, and ends of each shorter size.
+def _graph_rows(walk: Walk, tables: tuple[np.ndarray, np.ndarray], bits: int, longest: int):
+    """Columns k, key, gram, last and n: how often the longest phrase at a place is each of k words.
 
-    key is the least pair hash of a node, which neighbouring nodes often share.
+    Those of ``longest`` words are edges, by their first node and last word; shorter ones are ends of
+    walks. key is the least pair hash of a node, which neighbouring nodes often share.
     """
-    place, pair = walk.pairs()
-    bucket = pair >> np.uint64(64 - bits)
-    kept = (table[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63)) & np.uint64(1)).astype(bool)
-    joined = np.zeros(len(walk.at) + 1, dtype=bool)  # joined[i]: words i and i + 1 stay together
-    joined[place[kept]] = True
-    hashes = np.zeros(len(walk.at) + 1, dtype=np.uint64)
-    hashes[place] = pair
-    words = np.flatnonzero(walk.at >= 0)
-    last = words[~joined[words]]
-    first = words[~np.concatenate([[False], joined[:-1]])[words]]
-    sizes = last - first + 1
+    size_at = np.zeros(len(walk.at), dtype=np.int64)
+    pairs = np.zeros(0, dtype=np.uint64)
+    for size, (own, reached) in enumerate(_paired(tables[0], walk, bits, longest), 1):
+        if size == 2:
+            pairs = own
+        place = np.flatnonzero(reached & (size_at[: len(reached)] == size - 1))
+        if size > 2:
+            place = place[_held(tables[1], own[place], bits)]
+        size_at[place] = size
     text = walk.names
     for k in range(1, longest + 1):
-        if k < longest:
-            starts, n = _grams(walk, last[sizes >= k] - k + 1, k)
-        else:
-            room = np.maximum(sizes - k + 1, 0)
-            inside = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
-            starts, n = _grams(walk, np.repeat(first, room) + inside, k)
-        shown = min(k, longest - 1)
+        starts, n = _grams(walk, np.flatnonzero(size_at == k), k)
         ids = [walk.at[starts + j].tolist() for j in range(k)]
-        grams = [b" ".join([text[i] for i in own]) for own in zip(*ids[:shown])]
+        grams = [b" ".join([text[i] for i in own]) for own in zip(*ids[: longest - 1])]
         key = np.zeros(len(starts), dtype=np.uint64)
         if k >= longest - 1:
-            key = np.min([hashes[starts + j] for j in range(longest - 2)], axis=0)
+            key = np.min([pairs[starts + j] for j in range(longest - 2)], axis=0)
         yield k, key.view(np.int64), grams, [text[i] for i in ids[-1]] if k == longest else [None] * len(starts), n
 
 
 _ROW = "k int, key long, lang string, gram binary, last binary, n long"
 
 
-def _count_edges(rows: DataFrame, table: np.ndarray, bits: int, longest: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+def _count_edges(rows: DataFrame, least: int, longest: int) -> DataFrame:
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    low, high = BUCKET_BITS
+    bits = min(high, max(low, (size // BYTES_PER_BUCKET).bit_length()))
+    short = _frequent_buckets(rows, bits, least, longest, None)
+    long = _frequent_buckets(rows, bits, least, longest, short)
+    shared = rows.sparkSession.sparkContext.broadcast((short, long))
 
     def count(batches):
         for batch in batches:
@@ -232,10 +264,7 @@ def phrase_counts(
     if longest < 3 or least < 1:
         raise ValueError("a node of the graph needs two words, and a count one occurrence")
     rows = docs.select(F.coalesce(lang_col, F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    low, high = BUCKET_BITS
-    bits = min(high, max(low, (size // BYTES_PER_BUCKET).bit_length()))
-    counted = cut_lineage(_count_edges(rows, _frequent_buckets(rows, bits, least), bits, longest))
+    counted = cut_lineage(_count_edges(rows, least, longest))
     graph = cut_lineage(_compacted(counted.where(F.col("k") >= longest - 1)))
     node = longest - 1
     nodes = graph.where("edges = 0").select("lang", F.col("words").alias("phrase"), "n")
@@ -251,12 +280,11 @@ def phrase_counts(
         flow = found[k + 1].select("lang", F.substring_index("phrase", " ", k).alias("phrase"), "n")
         ends = counted.where(F.col("k") == k).select("lang", F.col("gram").alias("phrase"), "n")
         found[k] = flow.union(ends).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    found[1] = cut_lineage(found[1])
     listed = [df.where(F.col("n") >= least).select("lang", F.lit(k).alias("k"), "phrase", "n") for k, df in found.items()]
     every = listed[0]
     for df in listed[1:]:
         every = every.union(df)
-    return cut_lineage(every), found[1].groupBy("lang").agg(F.sum("n").alias("words"))
+    return cut_lineage(every), counted.groupBy("lang").agg(F.sum("n").alias("words"))
 
 
 def collocations(
