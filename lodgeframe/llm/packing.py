@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from array import array
 
@@ -109,15 +110,14 @@ class WordEncoder:
         return [b"".join(map(of, (t.lower() if t.isascii() and b"<|" not in t else t).split())) for t in texts]
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def encoder(spec: bytes) -> WordEncoder:
-    """The worker's encoder for this tokenizer file."""
+    """The worker's encoder for this tokenizer file. It outlives the task, as this module may not."""
+    kept = vars(sys).setdefault("_word_encoders", {})
     key = zlib.crc32(spec)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(spec)
-    return _ENCODERS[key]
+    if key not in kept:
+        kept.clear()
+        kept[key] = WordEncoder(spec)
+    return kept[key]
 
 
 def in_portions(texts: list[bytes], most: int = _TEXT_AT_ONCE):
