@@ -1,15 +1,15 @@
 """Language-model scores: prediction by partial matching over bytes, and a word unigram base.
 
-The byte model is a trie of contexts of up to ORDER bytes, learned from the corpus. A context is in
-the trie if it holds at least a LEAST_SHARE part of all training bytes, so that no order has more
-than 1 / LEAST_SHARE contexts whatever the corpus's size; all symbols seen after it count. A symbol
-not seen after a context escapes to the next shorter one, with method C's estimate, and the symbols
-already ruled out are excluded there. As the model is fixed before scoring, these products are
-worked out once per context and byte, and scoring looks them up for many bytes at a time.
+The byte model is the trie of all contexts of up to ORDER bytes that the corpus has, whole: nothing
+is pruned, so it grows with the corpus and stays a distributed table. A symbol not seen after a
+context escapes to the next shorter one, with method C's estimate, and the symbols already ruled out
+are excluded there. What a text asks of the model are its grams, a context of ORDER bytes and the
+byte after it. Each distinct gram's probability is worked out once, beside all grams that end their
+contexts in the same two bytes; only the counts of pairs of bytes, 65,536 at most, go to every task.
 
 The base needs each word's count over the whole corpus. Documents are dealt into blocks; a block's
-distinct words, not its tokens, fetch their counts by a 64-bit hash and come back to the block.
-(Two of a billion different words share a hash with a chance of about 3 percent.)
+distinct words and grams, not its tokens, fetch their values and come back to the block. Words go by
+a 64-bit hash. (Two of a billion different words share one with a chance of about 3 percent.)
 
 Bad and odd input: a null text is an empty one and has its end alone. Rows without an id are scored
 and not learned from. Repeated rows are learned and scored as often as they occur. An empty table
@@ -19,22 +19,23 @@ Texts are scored whole.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeframe.llm.packing import in_portions
-from lodgeframe.session import cut_lineage
+from lodgeframe.session import shared_folder
 
 ORDER = 4
-LEAST_SHARE = 1 / 65536
 #: Text of a block, at most about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Distinct grams whose probabilities are worked out in one task, about.
+GRAMS_AT_ONCE = 250_000
 _PAD = b"\xff" * ORDER  # no UTF-8 text holds this byte: it begins and ends a text
 _TEXT_AT_ONCE = 2 << 20
 
@@ -53,124 +54,105 @@ def _scored(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each context of ORDER bytes with the byte after it, packed in an integer, and how often it occurs."""
-    flat, starts = _stream(texts)
+def _grams(flat: np.ndarray) -> np.ndarray:
+    """The context of ORDER bytes before each place from ORDER on with the byte there, packed in an integer."""
     grams = np.zeros(len(flat) - ORDER, dtype=np.int64)
     for k in range(ORDER + 1):
         grams = grams << 8 | flat[k : len(flat) - ORDER + k]
-    return np.unique(grams[_scored(flat, starts)[ORDER:]], return_counts=True)
+    return grams
 
 
-def _gather_grams(batches):
-    grams, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        texts = [(t or b"").lower() for t in batch.column(0).to_pylist()]
-        for portion in in_portions(texts, _TEXT_AT_ONCE):
-            new, n = count_grams([texts[i] for i in portion])
-            grams, place = np.unique(np.concatenate([grams, new]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
-    if len(grams):
-        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], names=["gram", "n"])
+def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of lower-cased texts, and how often each occurs."""
+    flat, starts = _stream(texts)
+    return np.unique(_grams(flat)[_scored(flat, starts)[ORDER:]], return_counts=True)
 
 
-@dataclass
-class ByteModel:
-    """log10 probabilities of each byte in each context (rows; 0 is the empty one), and how contexts grow.
+def _spread(keys: np.ndarray, counts: np.ndarray, parents: np.ndarray):
+    """Of keys (a context and a byte): their distinct ones, and what each key's context and own count are.
 
-    longer[k][row, byte] is the context of k + 2 bytes that a byte before row's context makes, or 0;
-    deeper contexts have greater rows. longer[k] has rows counted from the first of its order.
+    Returns per key its count, its context's total, symbols, and the shorter context's counts of these symbols.
     """
+    own, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    n = np.bincount(place, counts, len(own))
+    _, context = np.unique(own >> 8, return_inverse=True)
+    total, kinds = np.bincount(context, n), np.bincount(context, n > 0)
+    shorter = np.bincount(context, np.where(n > 0, parents[first], 0))
+    return n[place], total[context][place], kinds[context][place], shorter[context][place]
 
-    table: np.ndarray
-    first: np.ndarray
-    longer: list[tuple[int, np.ndarray]]
-
-    def position_scores(self, flat: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte from place ORDER on."""
-        n = len(flat) - ORDER
-        best = own = self.first[flat[ORDER - 1 : ORDER - 1 + n]]
-        for k, (base, grow) in enumerate(self.longer, 2):
-            # Row 0 of each table stands for "no such context" and leads nowhere.
-            own = grow[np.maximum(own - base + 1, 0), flat[ORDER - k : ORDER - k + n]]
-            best = np.maximum(best, own)
-        return self.table[best, flat[ORDER:]]
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each lower-cased text with its end."""
-        if not texts:
-            return np.zeros(0)
-        flat, starts = _stream(texts)
-        found = np.where(_scored(flat, starts)[ORDER:], self.position_scores(flat), 0).astype(np.float64)
-        return np.add.reduceat(found, starts - ORDER)
-
-
-def build_model(orders: list[dict[int, np.ndarray]]) -> ByteModel:
-    """orders[k]: counts of the 256 bytes after each context of k bytes, packed in an integer.
-
-    With a context, each of its shorter ends must be there too; orders[0] has the empty context.
-    """
-    root = orders[0].get(0, np.zeros(256))
-    names: list[list[int]] = [[0]] + [sorted(o) for o in orders[1:]]
-    row = [{name: i for i, name in enumerate(n)} for n in names]
-    bases = np.cumsum([0] + [len(n) for n in names])
-    seen_root = root > 0
-    escaped = np.full((1, 256), -np.log10(max(1, 256 - seen_root.sum())))
-    counts = root[None, :].astype(np.float64)
-    tables = []
-    parents_counts = None
-    for k, own in enumerate(names):
-        if k:
-            parents = np.array([row[k - 1][name & (1 << 8 * (k - 1)) - 1] for name in own], dtype=np.int64)
-            parents_counts = counts[parents] if len(own) else np.zeros((0, 256))
-            counts = np.array([orders[k][name] for name in own], dtype=np.float64).reshape(len(own), 256)
-            left = np.where(counts > 0, 0, parents_counts)
-            total, kinds = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore"):
-                shares = np.log10(left) - np.log10(np.maximum(total + kinds, 1))
-                further = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-            escaped = np.where(left > 0, shares, further + escaped[parents] if len(own) else 0.0)
-        total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore"):
-            shares = np.log10(counts) - np.log10(np.maximum(total + kinds, 1))
-            escape = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-        tables.append(np.where(counts > 0, shares, escape + escaped))
-    first = np.zeros(256, dtype=np.int32)
-    for name, i in row[1].items() if len(row) > 1 else ():
-        first[name] = bases[1] + i
-    longer = []
-    for k in range(2, len(names)):
-        grow = np.zeros((len(names[k - 1]) + 1, 256), dtype=np.int32)
-        for name, i in row[k].items():
-            grow[row[k - 1][name & (1 << 8 * (k - 1)) - 1] + 1, name >> 8 * (k - 1)] = bases[k] + i
-        longer.append((int(bases[k - 1]), grow))
-    return ByteModel(np.concatenate(tables).astype(np.float32), first, longer)
-
-
-def train(texts: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE) -> ByteModel:
-    """The byte model of all texts.
-
-    At most 256 / least_share counts of each order come to the driver, and the table that tasks get
-    has at most 1 / least_share rows of 1 KB for each: 64 MB an order, at prose some 4 MB.
+
+def gram_scores(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's last byte after its context.
+
+    Grams are distinct, with how often training texts have each; with one gram come all others of
+    the corpus whose contexts end in the same two bytes. pairs[x, y] counts y after x in training texts.
     """
-    grams = cut_lineage(
-        texts.select(F.col(text_col).cast("binary").alias("text"))
-        .mapInArrow(_gather_grams, "gram long, n long")
-        .groupBy("gram").agg(F.sum("n").alias("n"))
-    )
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    orders: list[dict[int, np.ndarray]] = []
-    for k in range(ORDER + 1):
-        known: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(256))
-        symbol, name = F.col("gram").bitwiseAND(255), F.shiftright("gram", 8).bitwiseAND((1 << 8 * k) - 1)
-        after = grams.groupBy(name.alias("name"), symbol.alias("symbol")).agg(F.sum("n").alias("n"))
-        if k > 1:
-            held = after.groupBy("name").agg(F.sum("n").alias("held")).where(F.col("held") >= total * least_share)
-            after = after.join(held, "name")
-        for r in after.select("name", "symbol", "n").toPandas().itertuples(index=False):
-            known[int(r.name)][int(r.symbol)] = r.n
-        orders.append(dict(known))
-    return build_model(orders)
+    symbol, before = grams & 255, grams >> 8 & 255
+    single = pairs.sum(axis=0).astype(np.float64)
+    seen = pairs > 0
+    n, total, kinds = single[symbol], np.full(len(grams), single.sum()), np.full(len(grams), (single > 0).sum())
+    escaped = np.full(len(grams), -np.log10(max(1, 256 - (single > 0).sum())))
+
+    def share(n, total, kinds, further):
+        """What a context gives: its own share, else its escape and what follows from it; nothing seen, no escape."""
+        all_in = np.maximum(total + kinds, 1)
+        escape = np.log10(np.maximum(kinds, 1) / all_in)
+        return np.where(n > 0, np.log10(np.maximum(n, 1) / all_in), np.where(kinds > 0, escape, 0) + further)
+
+    for k in range(1, ORDER + 1):
+        if k == 1:
+            deeper = (
+                pairs[before, symbol].astype(np.float64), pairs.sum(axis=1)[before].astype(np.float64),
+                seen.sum(axis=1)[before], np.where(seen, single, 0).sum(axis=1)[before],
+            )
+        else:
+            deeper = _spread(grams & (1 << 8 * (k + 1)) - 1, counts, n)
+        own_n, own_total, own_kinds, shorter = deeper
+        # Symbols seen after the longer context are excluded from the shorter one; they are among its own.
+        escaped = share(n, total - shorter, kinds - own_kinds, escaped)
+        n, total, kinds = own_n, own_total, own_kinds
+    return share(n, total, kinds, escaped)
+
+
+class Lookup:
+    """Where each of many integers stands among distinct ones: an open hash table of array slots."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._start(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            open_ = self.slots[at] != left
+            left, at = left[open_], at[open_] + 1 & len(self.slots) - 1
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """Indices of integers that are all there."""
+        at = self._start(wanted)
+        found = self.slots[at]
+        wrong = np.flatnonzero(self.keys[found] != wanted)
+        while len(wrong):
+            at[wrong] = at[wrong] + 1 & len(self.slots) - 1
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[self.keys[found[wrong]] != wanted[wrong]]
+        return found
+
+
+def text_scores(texts: list[bytes], known: Lookup, values: np.ndarray) -> np.ndarray:
+    """log10 probability of each lower-cased text with its end; values belong to the grams known."""
+    if not texts:
+        return np.zeros(0)
+    flat, starts = _stream(texts)
+    counted = _scored(flat, starts)[ORDER:]
+    scores = np.zeros(len(counted))
+    scores[counted] = values[known(_grams(flat)[counted])]
+    return np.add.reduceat(scores, starts - ORDER)
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -178,28 +160,72 @@ def _hash(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(w) for w in words]), dtype=">u8").astype(np.uint64).view(np.int64)
 
 
-def _words_of_blocks(batches):
-    """(block, hash, n): each block's distinct words and how often its training texts have them."""
-    blocks: dict[int, Counter] = defaultdict(Counter)
-    for batch in batches:
-        for block, learn, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            words = (text or b"").lower().split()
+class _Asked:
+    """A block's distinct words and grams, and how often its training texts have them."""
+
+    def __init__(self):
+        self.words: Counter = Counter()
+        self.grams, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, texts: list[bytes], learn: bool) -> None:
+        for text in texts:
+            words = text.split()
             if learn:
-                blocks[block].update(words)
+                self.words.update(words)
             else:
-                own = blocks[block]
-                dict.update(own, dict.fromkeys([w for w in words if w not in own], 0))
-    for block, own in blocks.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(own), block, dtype=np.int64)), pa.array(_hash(list(own)))]
-            + [pa.array(list(own.values()), pa.int64())],
-            names=["block", "hash", "n"],
+                dict.update(self.words, dict.fromkeys([w for w in words if w not in self.words], 0))
+        for portion in in_portions(texts, _TEXT_AT_ONCE):
+            new, n = count_grams([texts[i] for i in portion])
+            self.grams, place = np.unique(np.concatenate([self.grams, new]), return_inverse=True)
+            self.counts = np.bincount(place, np.concatenate([self.counts, n * learn])).astype(np.int64)
+
+    def rows(self, block: int) -> pa.RecordBatch:
+        words = len(self.words)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(words + len(self.grams), block, dtype=np.int32)),
+                pa.array(np.arange(words + len(self.grams)) < words),
+                pa.array(np.concatenate([_hash(list(self.words)), self.grams])),
+                pa.array(np.concatenate([np.fromiter(self.words.values(), np.int64, words), self.counts])),
+            ],
+            names=["block", "word", "key", "n"],
         )
 
 
-def score_documents(
-    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE
-) -> DataFrame:
+def _asked_of_blocks(batches):
+    """(block, word, key, n) of rows that come sorted by block."""
+    current, asked = None, _Asked()
+    for batch in batches:
+        groups: dict[tuple[int, bool], list[bytes]] = defaultdict(list)
+        for block, learn, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            groups[block, learn].append((text or b"").lower())
+        for (block, learn), texts in sorted(groups.items()):
+            if current not in (None, block):
+                yield asked.rows(current)
+                asked = _Asked()
+            current = block
+            asked.add(texts, learn)
+    if current is not None:
+        yield asked.rows(current)
+
+
+def _scores_of_grams(pairs: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        grams = table.column("key").to_numpy()
+        scores = gram_scores(grams, table.column("n").to_numpy(), pairs)
+        return pa.table({"key": pa.array(grams), "value": pa.array(scores, pa.float64())})
+
+    return run
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: a third of a checkpoint's size."""
+    path = f"{shared_folder(df.sparkSession)}/lm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     Rows where ``learn`` is true train both models. Tokens are lower-cased words and one end per
@@ -213,25 +239,34 @@ def score_documents(
     )
     sizes = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("learned").alias("texts")).first()
     blocks = max(1, -(-(sizes["bytes"] or 0) // BLOCK_BYTES))
-    model = train(rows.where("learned").select("text"), least_share=least_share)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition("block")
-    asked = dealt.select("block", "learned", "text").mapInArrow(_words_of_blocks, "block long, hash long, n long")
-    of_word = Window.partitionBy("hash")
-    counted = cut_lineage(
-        asked.select(
-            "block", "hash", F.sum("n").over(of_word).alias("c"),
-            (F.row_number().over(of_word.orderBy("block")) == 1).alias("once"),
-        )
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    asked = _written(
+        dealt.select("block", "learned", "text").repartition("block").sortWithinPartitions("block")
+        .mapInArrow(_asked_of_blocks, "block int, word boolean, key long, n long")
     )
+    totals = _written(asked.groupBy("word", "key").agg(F.sum("n").alias("n")))
+    grams = totals.where("not word").select("key", "n")
+    known = totals.where("word and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     texts = int(sizes["texts"])
-    known = counted.where("once and c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(known["n"] or 0) + texts, int(known["v"]) + (texts > 0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(_, own: pa.Table, words: pa.Table) -> pa.Table:
+    pairs = np.zeros((256, 256), dtype=np.int64)
+    for r in grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    parts = max(1, -(-grams.count() // GRAMS_AT_ONCE))
+    of_ending = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(parts))
+    scored = grams.groupBy(of_ending.alias("ending")).applyInArrow(_scores_of_grams(pairs), "key long, value double")
+    values = totals.where("word").select("word", "key", F.col("n").cast("double").alias("value")).union(
+        scored.select(F.lit(False).alias("word"), "key", "value")
+    )
+    fetched = asked.select("block", "word", "key").join(values, ["word", "key"])
+
+    def score(_, own: pa.Table, fetched: pa.Table) -> pa.Table:
         whole = [(t or b"").lower() for t in own.column("text").to_pylist()]
-        hashes, counts = words.column("hash").to_numpy(), words.column("c").to_numpy()
-        order = np.argsort(hashes)
+        keys, found = fetched.column("key").to_numpy(), fetched.column("value").to_numpy()
+        is_word = fetched.column("word").to_numpy()
+        of_word, counts = Lookup(keys[is_word]), found[is_word]
+        of_gram, gram_values = Lookup(keys[~is_word]), found[~is_word]
         place: dict[bytes, int] = {}
         logs, seen = np.zeros(0), np.zeros(0, dtype=bool)
         tokens, knowns, bases, scores = [], [], [], []
@@ -239,15 +274,15 @@ def score_documents(
             split = [whole[i].split() for i in part]
             fresh = list(set().union(*split).difference(place))
             if fresh:
-                found = counts[order[np.searchsorted(hashes, _hash(fresh), sorter=order)]]
+                own_counts = counts[of_word(_hash(fresh))]
                 place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
-                logs, seen = np.append(logs, np.log10(found + 1.0)), np.append(seen, found > 0)
+                logs, seen = np.append(logs, np.log10(own_counts + 1.0)), np.append(seen, own_counts > 0)
             for own_words in split:
                 at = np.fromiter(map(place.__getitem__, own_words), np.int64, len(own_words))
                 tokens.append(len(at) + 1)
                 knowns.append(int(seen[at].sum()) + (texts > 0))
                 bases.append(float(logs[at].sum() + np.log10(texts + 1.0) - (len(at) + 1) * np.log10(n + v + 1.0)))
-            scores += shared.value.scores([whole[i] for i in part]).tolist()
+            scores += text_scores([whole[i] for i in part], of_gram, gram_values).tolist()
         return pa.table(
             {
                 "id": own.column("id"), "learned": own.column("learned"), "n_tokens": pa.array(tokens, pa.int64()),
@@ -258,7 +293,7 @@ def score_documents(
 
     return (
         dealt.groupBy("block")
-        .cogroup(counted.select("block", "hash", "c").groupBy("block"))
+        .cogroup(fetched.groupBy("block"))
         .applyInArrow(
             score,
             f"id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

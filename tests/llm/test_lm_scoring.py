@@ -16,13 +16,11 @@ def lower(text):
 class PlainModel:
     """Prediction by partial matching, byte by byte."""
 
-    def __init__(self, texts, share):
+    def __init__(self, texts):
         self.counts = [defaultdict(Counter) for _ in range(lm_scoring.ORDER + 1)]
-        self.least = 0
         for text in texts:
             s = b"\xff" * lm_scoring.ORDER + text + b"\xff"
             for p in range(lm_scoring.ORDER, len(s)):
-                self.least += share
                 for k in range(lm_scoring.ORDER + 1):
                     self.counts[k][s[p - k : p]][s[p]] += 1
 
@@ -31,8 +29,6 @@ class PlainModel:
         for p in range(lm_scoring.ORDER, len(s)):
             k = 0
             while k < lm_scoring.ORDER and s[p - k - 1 : p] in self.counts[k + 1]:
-                if k + 1 > 1 and sum(self.counts[k + 1][s[p - k - 1 : p]].values()) < self.least:
-                    break
                 k += 1
             out, chance = set(), 1.0
             while k >= 0:
@@ -51,14 +47,16 @@ class PlainModel:
         return total
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("at_once", [lm_scoring.GRAMS_AT_ONCE, 50])
+def test_equals_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(lm_scoring, "GRAMS_AT_ONCE", at_once)
     rows = [r for r in doc_rows(24) if r[0] != 1007]
     learned = [r for r in rows if r[0] is not None and r[0] % 7 != 2]
-    found = lm_scoring.score_documents(docs_frame(spark, rows), F.col("doc_id") % 7 != 2, least_share=1 / 300).collect()
+    found = lm_scoring.score_documents(docs_frame(spark, rows), F.col("doc_id") % 7 != 2).collect()
     assert len(found) == len(rows)
     counts = Counter(w for _, t, _ in learned for w in lower(t).split())
     n, v = sum(counts.values()) + len(learned), len(counts) + 1
-    model = PlainModel([lower(t) for _, t, _ in learned], 1 / 300)
+    model = PlainModel([lower(t) for _, t, _ in learned])
     expected = []
     for i, text, _ in rows:
         words = lower(text).split()
@@ -71,9 +69,32 @@ def test_equals_brute_force(spark):
 
 
 def test_probabilities_of_each_context_add_up_to_one():
-    known = [{0: np.bincount([97, 98, 98, 255], minlength=256)}, {97: np.bincount([98, 98], minlength=256), 98: np.bincount([97, 255, 98], minlength=256)}]
-    table = lm_scoring.build_model([*known, {}, {}, {}]).table
-    assert np.allclose((10.0 ** table).sum(axis=1), 1, atol=1e-5)
+    grams, counts = lm_scoring.count_grams([b"abab", b"abba", b"", b"bab"])
+    pairs = np.zeros((256, 256), dtype=np.int64)
+    np.add.at(pairs, (grams >> 8 & 255, grams & 255), counts)
+    unseen = [int.from_bytes(c, "big") for c in (b"zzab", b"qqqq", b"bbbb", b"xbab")]
+    contexts = np.unique(np.concatenate([grams >> 8, unseen]))
+    asked = (contexts[:, None] << 8 | np.arange(256)).ravel()
+    held = dict(zip(grams.tolist(), counts.tolist()))
+    scores = lm_scoring.gram_scores(asked, np.array([held.get(g, 0) for g in asked.tolist()]), pairs)
+    assert np.allclose((10.0**scores).reshape(-1, 256).sum(axis=1), 1)
+
+
+def test_lookup_finds_each_key():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(-(1 << 62), 1 << 62, size))
+        rng.shuffle(keys)
+        wanted = rng.integers(0, max(1, len(keys)), 3 * len(keys))
+        assert (lm_scoring.Lookup(keys)(keys[wanted]) == wanted).all()
+
+
+def test_more_texts_give_more_contexts(spark):
+    """A context seen once in a large corpus still counts."""
+    rows = [[i, "common words again and again " * 40, None] for i in range(200)] + [[1000, "zyx", None], [1001, "zyx", None]]
+    found = {r["id"]: r["score"] for r in lm_scoring.score_documents(docs_frame(spark, rows), F.col("doc_id") <= 1000).collect()}
+    without = {r["id"]: r["score"] for r in lm_scoring.score_documents(docs_frame(spark, rows), F.col("doc_id") < 1000).collect()}
+    assert found[1001] > without[1001] + 3
 
 
 def test_long_text_in_blocks(spark, monkeypatch):
