@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +57,56 @@ def test_mined_rules_have_their_support_and_confidence(spark):
 def test_empty_pages(spark):
     mined = url_filter.mine(spark.createDataFrame([("http://a.b/c", "block")], "url string, label string"))
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES, mined).count() == 0
+
+
+def test_long_paths_end(spark):
+    words = "/".join(f"w{i}" for i in range(30)).replace("w", "abcdefgh")
+    path = "/".join("abcdefghijklmnopqrstuvwxyz"[i % 26] * (2 + i // 26) for i in range(30))
+    rows = [(f"http://bad.org/{path}/{i}", "block") for i in range(40)] + [(f"http://fine.org/{words}/{i}", "allow") for i in range(60)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, label string")).collect()
+    assert {tuple(r["tokens"]) for r in rules if r["verdict"] == "block"} >= {("host:bad",), ("path:aa",), ("path:ddd",)}
+
+
+def test_support_is_a_number_of_rows(spark):
+    """Twenty bad rows make a rule, however many others there are."""
+    rows = [(f"http://shop{i}.com/a", "allow") for i in range(12000)] + [("http://shop.bad.com/a", "block")] * 20 + [("http://shop.odd.com/a", "block")] * 19
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    pages = spark.createDataFrame([(1, "http://x.bad.com/q"), (2, "http://x.odd.com/q"), (3, "http://shop7.com/a")], "page_id long, url string")
+    found = {r["id"]: r["verdict"] for r in url_filter.judge(pages, [], url_filter.mine(labelled)).collect()}
+    assert found == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Rules of one and two tokens, from all combinations counted one by one."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(900):
+        a, b, c = (rng.choice(names) for names in (["pills", "news", "shop"], ["win", "read", "sale"], ["x", "y"]))
+        bad = a == "pills" and b == "win" or b == "sale" and c == "x"
+        rows.append((f"http://{a}.org/{b}/{c}", "block" if bad != (rng.random() < 0.05) else "allow"))
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    shapes = [(frozenset(r[0]), r[1]) for r in labelled.select(url_filter.tokens(F.col("url")), "label").collect()]
+    total, base = len(shapes), {x: sum(label == x for _, label in shapes) / len(shapes) for x in ("block", "allow")}
+    in_rows = lambda key: [label for have, label in shapes if key <= have]
+    def telling(token):
+        mine, all_block = in_rows({token}), base["block"] * total
+        n, a = len(mine), mine.count("block")
+        room = n * (total - n) * all_block * (total - all_block)
+        return n >= 20 and room > 0 and total * (total * a - n * all_block) ** 2 / room >= url_filter.MIN_CHI_SQUARE
+    items = sorted(t for t in frozenset().union(*(have for have, _ in shapes)) if telling(t))
+    rules = {}
+    for size in (1, 2, 3):
+        for key in map(frozenset, itertools.combinations(items, size)):
+            fits = in_rows(key)
+            for label in ("block", "allow"):
+                if fits.count(label) >= 20 and fits.count(label) / len(fits) >= 0.75 and fits.count(label) / len(fits) > base[label]:
+                    rules[key, label] = (fits.count(label) / len(fits), fits.count(label))
+    def verdict(have):
+        best = max(((*score, label) for (key, label), score in rules.items() if key <= have), default=(0, 0, "allow"))
+        return best[2]
+    urls = [f"http://{a}.org/{b}/{c}" for a in ("pills", "news", "shop", "else") for b in ("win", "read", "sale") for c in "xy"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    have = {r[0]: frozenset(r[1]) for r in pages.select("page_id", url_filter.tokens(F.col("url"))).collect()}
+    found = {r["id"]: r["verdict"] for r in url_filter.judge(pages, [], url_filter.mine(labelled)).collect()}
+    assert found == {i: verdict(h) for i, h in have.items()}
+    assert "block" in found.values() and "allow" in found.values()
