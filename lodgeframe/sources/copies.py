@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from lodgeframe.operators.replication import latest_changes, replay
 from lodgeframe.session import cut_lineage
-from lodgeframe.sources.store import files_under
+from lodgeframe.sources.store import drop_folder, files_under
 
 BUCKETS = 64
 
@@ -123,6 +123,69 @@ class CentreTable:
         return self._rows().where("op <> 'D'").select(F.col("origin").alias("node"), "key", *self.columns)
 
 
+class RowVersions:
+    """The winning version of every row of a feed, in buckets of keys.
+
+    Micro-batches come in order of their numbers. Each writes the buckets of its own keys anew, to a folder of its
+    own, from the newest ones of lower numbers. A batch that fails half way and comes again therefore
+    meets the same versions and writes the same rows. Buckets that were replaced before the last batch go.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, version: StructType, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root, buckets
+        self.kept = StructType(
+            [*StructType.fromDDL("table_name string, key string").fields]
+            + [StructField(name, version) for name in ("version", "previous")]
+            + [StructField("changed", BooleanType()), StructField("bucket", IntegerType())]
+        )
+
+    def _newest(self, before: int) -> dict[int, int]:
+        """The last batch lower than that which wrote each bucket. Folder names are listed, no data is read."""
+        written = {tuple(int(part.split("=")[1]) for part in name.split("/")[:2]) for name in files_under(self.spark, self.root)}
+        newest: dict[int, int] = {}
+        for number, bucket in written:
+            if number < before:
+                newest[bucket] = max(number, newest.get(bucket, -1))
+        for number, bucket in written:
+            if number < newest.get(bucket, -1):
+                drop_folder(self.spark, f"{self.root}/step={number}/bucket={bucket}")
+        return newest
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.kept)
+        return self.spark.read.schema(self.kept).option("basePath", self.root).parquet(*folders).drop("step")
+
+    def add(self, came: DataFrame, batch: int) -> DataFrame:
+        """Adds ``table_name, key, version`` rows and returns ``version`` and ``previous`` (if any) of the keys changed.
+
+        Versions are ordered by their first three fields. Of the rows of a key in ``came`` the last one counts.
+        """
+        came = came.withColumn("bucket", F.pmod(F.xxhash64("table_name", "key"), F.lit(self.buckets)).cast("int"))
+        touched = [r[0] for r in came.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return self._read([])
+        newest = self._newest(batch)
+        held = self._read([f"{self.root}/step={newest[b]}/bucket={b}" for b in touched if b in newest])
+        names, none = ["bucket", "table_name", "key"], F.lit(None).cast(self.kept["version"].dataType)
+        both = held.select(*names, F.col("version").alias("held"), none.alias("came")).union(
+            came.select(*names, none.alias("held"), F.col("version").alias("came"))
+        )
+        last = both.repartition(self.buckets, "bucket").groupBy(*names).agg(
+            F.max("held").alias("held"), F.max("came").alias("came")
+        )
+        order = self.kept["version"].dataType.fieldNames()[:3]
+        place = lambda row: F.struct(*[F.col(row)[name] for name in order])
+        wins = F.col("held").isNull() | (F.col("came").isNotNull() & (place("held") < place("came")))
+        last.select(
+            "table_name", "key",
+            F.when(wins, F.col("came")).otherwise(F.col("held")).alias("version"),
+            F.when(wins, F.col("held")).alias("previous"),
+            wins.alias("changed"), "bucket",
+        ).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/step={batch}")
+        return self._read([f"{self.root}/step={batch}/bucket={b}" for b in touched]).where("changed")
+
+
 class SignedCounts:
     """Counts by key, kept in buckets of keys from numbered batches of signed numbers.
 

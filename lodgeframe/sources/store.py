@@ -76,3 +76,9 @@ def files_under(spark: SparkSession, path: str) -> list[str]:
         if name.endswith(".parquet") and "/_temporary/" not in f"/{name}":
             found.append(name)
     return sorted(found)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder and what lies below it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,79 +2,69 @@
 
 A stream of row versions becomes signed rows: the version a change replaces with -1, the new one
 with +1. Whatever is a count of rows by some key, such as active reservations per hotel, uses of a key value
-or children of a parent, is then a sum of signs, and a micro-batch touches its own keys only.
+or children of a parent, is then a sum of signs. The versions are a table in buckets of keys; a micro-batch is joined
+to it by grouping and rewrites the buckets of its own keys only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from lodgeframe.schemas import FOREIGN_KEYS
-from lodgeframe.sources.copies import SignedCounts
-from lodgeframe.streaming.requests import ROCKSDB
+from lodgeframe.sources.copies import RowVersions, SignedCounts
 
-_SIGNED = "table_name string, key string, sign int, payload string"
+@dataclass
+class SignedRows:
+    """A stream of row versions whose micro-batches, held against the versions before, become signed rows."""
 
+    feed: DataFrame
+    columns: list[str]
 
-class Versions(StatefulProcessor):
-    """Keeps the winning version of a row, by time, then origin, then number; older ones that come late change nothing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.version = handle.getValueState("version", "moment bigint, origin string, seq bigint, op string, payload string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = max((row for part in rows for row in part[list(_ORDER)].itertuples(index=False, name=None)), key=lambda r: r[:3])
-        held = self.version.get() if self.version.exists() else None
-        signed = []
-        if held is None or tuple(held)[:3] < came[:3]:
-            self.version.update(came)
-            signed = [(*key, sign, v[4]) for v, sign in ((held, -1), (came, 1)) if v is not None and v[3] != "D"]
-        yield pd.DataFrame(signed, columns=["table_name", "key", "sign", "payload"])
-
-    def close(self) -> None:
-        pass
-
-
-_ORDER = ("moment", "origin", "seq", "op", "payload")
+    def of_batch(self, batch: DataFrame, number: int, versions: RowVersions) -> DataFrame:
+        """``table_name, key, sign`` and the columns, as text, of what the micro-batch changes."""
+        changed = versions.add(batch, number)
+        signs = F.array(
+            *[F.struct(F.lit(sign).alias("sign"), F.col(name).alias("row")) for name, sign in (("previous", -1), ("version", 1))]
+        )
+        there = changed.select("table_name", "key", F.explode(signs).alias("s")).where("s.row.op <> 'D'")
+        return there.select("table_name", "key", "s.sign", *[F.col("s.row")[c].alias(c) for c in self.columns])
 
 
-def signed_rows(feed: DataFrame, columns: list[str]) -> DataFrame:
-    """``table_name, key, sign`` and the columns, as text, from a stream of ``table_name, key, seq, ts, origin, op`` and them.
+def signed_rows(feed: DataFrame, columns: list[str]) -> SignedRows:
+    """Signed rows from a stream of ``table_name, key, seq, ts, origin, op`` and the columns.
 
-    A key's versions of a micro-batch count as their winner. Versions may come in any order.
+    The winning version of a row is the latest by time, then origin, then number; older ones that come late change
+    nothing. A key's versions of a micro-batch count as their winner. Versions may come in any order.
     """
-    feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    packed = feed.select(
-        "table_name",
-        F.col("key").cast("string").alias("key"),
+    version = F.struct(
         F.unix_micros(F.col("ts").cast("timestamp")).alias("moment"),
         "origin",
         F.col("seq").cast("bigint").alias("seq"),
-        "op",
-        F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns])).alias("payload"),
+        F.coalesce("op", F.lit("")).alias("op"),
+        *[F.col(c).cast("string").alias(c) for c in columns],
     )
-    signed = packed.groupBy("table_name", "key").transformWithStateInPandas(
-        statefulProcessor=Versions(), outputStructType=_SIGNED, outputMode="append", timeMode="none"
-    )
-    values = F.from_json("payload", ", ".join(f"`{c}` string" for c in columns))
-    return signed.select("table_name", "key", "sign", *[values[c].alias(c) for c in columns])
+    return SignedRows(feed.select("table_name", F.col("key").cast("string").alias("key"), version.alias("version")), columns)
 
 
 def keep_counts(
-    signed: DataFrame, counted: Callable[[DataFrame], DataFrame], counts: SignedCounts, checkpoint: str
+    signed: SignedRows, counted: Callable[[DataFrame], DataFrame], counts: SignedCounts, checkpoint: str
 ) -> StreamingQuery:
     """Adds each micro-batch to ``counts``; ``counted`` turns signed rows into the counts' keys and ``n``.
 
-    A micro-batch that is repeated after a failure is recognised by its number and adds nothing.
+    The versions lie beside the counts. A micro-batch that is repeated after a failure is recognised by its
+    number: it meets the same versions as before and adds nothing.
     """
+    versions = RowVersions(counts.spark, f"{counts.root}/versions", signed.feed.schema["version"].dataType, counts.buckets)
     return (
-        signed.writeStream.foreachBatch(lambda batch, number: counts.add(counted(batch), number))
+        signed.feed.writeStream.foreachBatch(
+            lambda batch, number: counts.add(counted(signed.of_batch(batch, number, versions)), number)
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lodgeframe.schemas import struct
+from lodgeframe.sources import copies
 from lodgeframe.sources.copies import SignedCounts
 from lodgeframe.sources.store import files_under
 from lodgeframe.streaming import feeds, kept
@@ -85,3 +86,22 @@ def test_key_rules_from_the_feed(spark, tmp_path):
         lost = Counter(str(c[6]) for c in rooms if c[6] is not None and c[6] not in hotels)
         found = kept.orphans(counts.current(), foreign).select("value", F.col("rows_found")).collect()
         assert {r.value: r.rows_found for r in found} == lost
+
+
+def test_versions_meet_the_same_rows_when_a_batch_comes_again(spark, tmp_path):
+    """Late versions, deletes, absent keys and a repeated batch."""
+    ddl = FEED + "hotel_id long"
+    def batch(*rows):
+        data = [("t", key, seq, T0 + datetime.timedelta(hours=hour), "c", op, hotel) for key, seq, hour, op, hotel in rows]
+        return kept.signed_rows(spark.createDataFrame(data, ddl), ["hotel_id"])
+    def signs(batch, number):
+        return Counter((r.key, r.sign, r.hotel_id) for r in batch.of_batch(batch.feed, number, versions).collect())
+    first = batch((1, 0, 0, "I", 5), (1, 1, 1, "U", 6), (2, 0, 3, "I", 5), (None, 0, 0, "I", 7))
+    versions = copies.RowVersions(spark, str(tmp_path), first.feed.schema["version"].dataType, buckets=4)
+    second = batch((1, 2, 2, "D", 6), (2, 9, 2, "U", 8), (3, 0, 0, "D", 1), (None, 1, 1, "U", None))
+    made = {("1", 1, "6"): 1, ("2", 1, "5"): 1, (None, 1, "7"): 1}
+    told = {("1", -1, "6"): 1, (None, -1, "7"): 1, (None, 1, None): 1}
+    assert signs(first, 0) == made and signs(first, 0) == made
+    assert signs(second, 1) == told and signs(second, 1) == told
+    assert signs(batch((2, 10, 4, "U", 4)), 2) == {("2", -1, "5"): 1, ("2", 1, "4"): 1}
+    assert signs(batch((1, 3, 5, "I", 3)), 3) == {("1", 1, "3"): 1}
