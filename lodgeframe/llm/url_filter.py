@@ -2,8 +2,9 @@
 
 Spark's FP-growth mines combinations of URL tokens with a label. Support is a number of labelled URLs,
 whatever their total. Only tokens that tell something about the label by themselves (chi-square) are
-mined; tokens that stand in the same labelled URLs count as one, and a labelled URL brings its most
-telling ones, so that a long path does not make itemsets without end. A combination blocks (or
+mined; tokens that stand in the same labelled URLs count as one. A labelled URL brings its most
+telling ones to FP-growth; combinations of URLs that have more are found level by level, leaving out only those
+that a shorter part makes needless, so that a long path does not make itemsets without end. A combination blocks (or
 allows) if the label follows it with at least the confidence asked for, counted over all labelled
 URLs and all their tokens, more often than over all of them, and no shorter part of it does as well. Each mined rule is indexed under its rarest token; a URL
 looks up its tokens there, and a rule fires if all its tokens are in the URL. The rule of the
@@ -17,6 +18,8 @@ matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,8 @@ MIN_CONFIDENCE = 0.75
 MIN_ROWS = 20
 #: Chi-square of a token against the label from which it is mined: one of a thousand gets there by chance.
 MIN_CHI_SQUARE = 10.83
-#: Tokens of a labelled URL that are combined, the most telling ones: 2 ** 10 combinations at most.
+#: Tokens of a labelled URL that FP-growth combines, the most telling ones: 2 ** 10 combinations at most.
+#: Those of URLs with more tokens are combined by :func:`_longer_sets`, all of them.
 MOST_COMBINED = 10
 _LABEL = "label:"
 
@@ -98,6 +102,49 @@ def _telling_tokens(shapes: DataFrame, min_rows: int, min_chi_square: float) ->
     return tested.join(first, ["n", "block", "rows", "more"]).select("token", "same", "chi")
 
 
+def _longer_sets(shapes: DataFrame, most_combined: int, min_rows: int) -> DataFrame:
+    """(key, label) of the combinations in URLs with more than ``most_combined`` tokens that can be rules.
+
+    ``shapes`` has ``label, n`` and ``have``, the sorted tokens to combine. Sets grow by a token a level and are
+    counted over all shapes. A set goes on while the label has ``min_rows`` of its rows, it has fewer rows than
+    each of its parts, and none of these is sure of the label already: otherwise it, and any larger set, is no surer
+    than a part of its own.
+    """
+    known = cut_lineage(shapes.select("have", "label", "n", (F.size("have") > most_combined).alias("long")))
+    if known.where("long").isEmpty():
+        return known.select(F.col("have").alias("key"), "label").limit(0)
+    found, grown = [], known.select("have", "label", "n", "long", F.explode("have").alias("token"))
+    grown = grown.select("label", "n", "long", F.array("token").alias("key"))
+    while True:
+        counted = grown.groupBy("key").agg(
+            F.bool_or("long").alias("long"), F.sum("n").alias("all_rows"),
+            *[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(x) for x in (BLOCK, ALLOW)],
+        ).where("long")
+        sides = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(x).alias("rows")) for x in (BLOCK, ALLOW)]))
+        level = counted.select("key", "all_rows", sides.alias("of")).select("key", "all_rows", "of.*").where(F.col("rows") >= min_rows)
+        if found:
+            part = F.explode(F.transform("key", lambda t: F.array_remove(F.col("key"), t))).alias("part")
+            parts = found[-1].where("rows < all_rows").select(F.col("key").alias("part"), "label", F.col("all_rows").alias("part_rows"))
+            whole = (
+                level.select("*", part).join(parts, ["part", "label"]).where("part_rows > all_rows")
+                .groupBy("key", "label").agg(F.count("*").alias("parts"))
+                .where(F.col("parts") == F.size("key"))
+            )
+            level = level.join(whole, ["key", "label"], "left_semi")
+        level = cut_lineage(level)
+        if level.isEmpty():
+            return reduce(DataFrame.union, [x.select("key", "label") for x in found or [level]])
+        found.append(level)
+        growing = level.where("rows < all_rows").select("key", F.element_at("key", -1).alias("token")).distinct()
+        after = F.filter("have", lambda t: t > F.col("token"))
+        grown = (
+            known.select("*", F.explode("have").alias("token")).join(growing, "token")
+            .where(F.size(F.array_except("key", "have")) == 0)
+            .select("label", "n", "long", "key", F.explode(after).alias("next"))
+            .select("label", "n", "long", F.concat("key", F.array("next")).alias("key"))
+        )
+
+
 def mine(
     labelled: DataFrame,
     url_col: str = "url",
@@ -125,11 +172,12 @@ def mine(
     telling = cut_lineage(_telling_tokens(shapes, min_rows, min_chi_square)) if total else None
     if telling is None or telling.isEmpty():
         return spark.createDataFrame([], form)
-    strongest = F.slice(F.sort_array(F.collect_set(F.struct("chi", "same")), asc=False), 1, most_combined)
-    combined = (
+    by_chi = F.sort_array(F.collect_set(F.struct("chi", "same")), asc=False)
+    combined = cut_lineage(
         shapes.select("key", F.explode("items").alias("token"))
-        .join(telling, "token").groupBy("key").agg(strongest.alias("best"))
+        .join(telling, "token").groupBy("key").agg(by_chi.alias("every"))
         .join(shapes.select("key", "label", "n"), "key")
+        .select("label", "n", F.slice("every", 1, most_combined).alias("best"), F.array_sort("every.same").alias("have"))
     )
     baskets = combined.select(
         F.concat(F.col("best.same"), F.array(F.concat(F.lit(_LABEL), F.col("label")))).alias("items"),
@@ -142,6 +190,7 @@ def mine(
         F.array_sort(F.filter("items", lambda t: ~is_label(t))).alias("key"),
         F.substring(F.filter("items", is_label)[0], len(_LABEL) + 1, 100).alias("label"),
     )
+    sets = sets.union(_longer_sets(combined, most_combined, min_rows)).distinct()
     single = sets.where(F.size("key") == 1).withColumn("same", F.col("key")[0]).join(telling, "same")
     sets = cut_lineage(
         sets.where(F.size("key") > 1).union(single.select(F.array("token").alias("key"), "label"))
