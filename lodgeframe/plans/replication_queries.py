@@ -157,7 +157,7 @@ def _at_branches(d):
         .select(number.alias("seq"), "ts", F.col("node").alias("origin"), "op", "key", *d.reservations.columns[1:])
     )
     guests = d.room_reservation_guests
-    span = (guests.agg(F.max("guest_id")).first()[0] or 0) + 1
+    span = (d.occupancy_lines.agg(F.max("guest_id")).first()[0] or 0) + 1
     lines = d.details_reservations.select(F.col("id").alias("room_reservation_id"), "reservation_id")
     occupancy = owned(
         guests.join(lines, "room_reservation_id").join(stays, "reservation_id")
@@ -172,10 +172,21 @@ def _at_branches(d):
     }
 
 
-def _centre(spark, d, batches):
+def _sent(spark, d):
+    """The branches' changes as they lie on shared storage, put together once."""
+    base = _folder(spark, "sent")
+    return {name: _saved(changes, f"{base}/{name}") for name, changes in _at_branches(d).items()}
+
+
+def _saved(rows, folder):
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def _centre(spark, sent, batches):
     """The centre's tables after each branch's changes came in batches; ``batches`` gives them for a table's changes."""
     base, made = _folder(spark, "centre"), {}
-    for name, changes in _at_branches(d).items():
+    for name, changes in sent.items():
         values = [f for f in changes.schema.fields if f.name not in replication.FEED]
         made[name] = copies.CentreTable(spark, f"{base}/{name}", StructType(values))
         for batch in batches(name, changes):
@@ -205,9 +216,10 @@ def _sides(spark, d):
 
     Branches have given some rooms another floor since.
     """
-    centre = _centre(spark, d, lambda name, changes: [changes.where(_until(name))])
+    sent = _sent(spark, d)
+    centre = _centre(spark, sent, lambda name, changes: [changes.where(_until(name))])
     out = {}
-    for name, changes in _at_branches(d).items():
+    for name, changes in sent.items():
         values = centre[name].columns
         here = replication.latest_changes(changes).where("op <> 'D'").withColumnRenamed("origin", "node")
         if name == "rooms":
@@ -223,8 +235,11 @@ def _parity(spark, path):
 
 
 def _differences(spark, path):
-    sides = _sides(spark, HotelData(spark, path))
-    return reduce(DataFrame.unionByName, [replication.differing_keys(*both, name) for name, both in sides.items()])
+    # Every level reads both sides, so their digests are made once.
+    base, parts = _folder(spark, "digests"), []
+    for name, (here, there) in _sides(spark, HotelData(spark, path)).items():
+        parts.append(replication.differing_keys(_saved(here, f"{base}/{name}/here"), _saved(there, f"{base}/{name}/there"), name))
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES = {

@@ -220,12 +220,17 @@ class HotelData:
         )
 
     @cached_property
-    def room_reservation_guests(self) -> DataFrame:
+    def occupancy_lines(self) -> DataFrame:
+        """``room_reservation_guests`` before equal rows go."""
         keyed = self.raw("lineitem").withColumn("ng", self._guest_count)
         return keyed.select(
             F.expr("l_orderkey * 8 + l_linenumber").alias("room_reservation_id"),
             F.expr("(l_orderkey + l_suppkey) % ng + 1").alias("guest_id"),
-        ).distinct()
+        )
+
+    @cached_property
+    def room_reservation_guests(self) -> DataFrame:
+        return self.occupancy_lines.distinct()
 
     @cached_property
     def amenities(self) -> DataFrame:

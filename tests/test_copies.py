@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodgeframe.operators import replication
+from lodgeframe.plans import replication_queries as queries
 from lodgeframe.sources.copies import CentreTable, SubscribedCopy
 from lodgeframe.sources.store import files_under
 
@@ -126,3 +127,16 @@ def test_parity_finds_what_was_planted(spark):
     assert {tuple(r) for r in got.collect()} == expected
     assert replication.differing_keys(here, here, "t").count() == 0
     assert replication.differing_keys(here, there.limit(0), "t").count() == len(rows)
+
+
+def test_branch_changes_are_put_together_once(spark, data, monkeypatch):
+    """Both parity queries read what the branches sent from storage, and see the same rows differ."""
+    made, calls = queries._at_branches, []
+    monkeypatch.setattr(queries, "_at_branches", lambda d: calls.append(d) or made(d))
+    differing = {tuple(r) for r in queries._differences(spark, data.path).collect()}
+    assert len(calls) == 1
+    parity = {(r.table_name, r.node): (r.missing_at_centre, r.only_at_centre) for r in queries._parity(spark, data.path).collect()}
+    assert len(calls) == 2 and differing
+    for (table, node), counts in parity.items():
+        kinds = [r[3] for r in differing if r[:2] == (table, node)]
+        assert (kinds.count("missing at centre"), kinds.count("only at centre")) == counts
