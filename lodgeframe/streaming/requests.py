@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ _FAN_BITS = 4
 _LEVELS = 6
 # Days are counted from here, so that the tree's 2 ** 24 days reach from long before the year 1 to long after 9999.
 _DAY_ZERO = 1 << 23
+# A node as it is saved: its level and block, then its counts.
+_NODE_NUMBERS = 2 + (2 << _FAN_BITS)
+# Hotels and categories are held in so many groups of the state store: fixed, as the state is found by it again.
+STATE_GROUPS = 4096
 
 
 class DayCounts:
@@ -83,29 +88,89 @@ _ASKED = (
 )
 
 
+class _PackedNodes(dict):
+    """A key's tree of day blocks as one value of a state map."""
+
+    getValue, containsKey, updateValue = dict.__getitem__, dict.__contains__, dict.__setitem__
+
+    @classmethod
+    def opened(cls, packed: bytes | None) -> _PackedNodes:
+        nodes = cls()
+        for level, block, *counts in np.frombuffer(packed or b"", dtype="<i8").reshape(-1, _NODE_NUMBERS).tolist():
+            nodes[level, block] = (counts,)
+        return nodes
+
+    def packed(self) -> bytes:
+        return np.array([[*key, *counts] for key, (counts,) in self.items()], dtype="<i8").tobytes()
+
+
+def packed_trees(days: pd.DataFrame) -> tuple[list[list[int]], list[bytes]]:
+    """The hotels and categories of ``hotel_id, room_category_id, day, starts, ends`` rows, and the nodes of their trees."""
+    kinds, of_kind = np.unique(days[CATEGORY_KEY].to_numpy("i8"), axis=0, return_inverse=True)
+    at, fan = days["day"].to_numpy("i8") + _DAY_ZERO, 1 << _FAN_BITS
+    names, slots = [], []
+    for level in range(_LEVELS):
+        slots.append(at & fan - 1)
+        at = at >> _FAN_BITS
+        names.append(np.stack([of_kind.ravel(), np.full_like(at, level), at], axis=1))
+    nodes, of_node = np.unique(np.concatenate(names), axis=0, return_inverse=True)
+    counts, slot = np.zeros((len(nodes), 2 * fan), "i8"), np.concatenate(slots)
+    np.add.at(counts, (of_node.ravel(), slot), np.tile(days["starts"].to_numpy("i8"), _LEVELS))
+    np.add.at(counts, (of_node.ravel(), slot + fan), np.tile(days["ends"].to_numpy("i8"), _LEVELS))
+    rows = np.concatenate([nodes[:, 1:], counts], axis=1).astype("<i8")
+    parts = np.split(rows, np.searchsorted(nodes[:, 0], np.arange(1, len(kinds))))
+    return kinds.tolist(), [part.tobytes() for part in parts]
+
+
 class KeptCounts(StatefulProcessor):
-    """Accepts a key's requests in order while its stays leave a room for the dates, and counts those accepted."""
+    """Accepts requests in order while the stays of their hotel and category leave a room, and counts those accepted.
+
+    The state is grouped by :data:`STATE_GROUPS`; a group's map has the tree of each hotel and category as one value,
+    bounded by the calendar, so that a hotel and category costs a batch one read and one write.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.nodes = handle.getMapState("day_counts", "level int, block bigint", "counts array<bigint>")
+        self.trees = handle.getMapState("day_counts", "hotel_id bigint, room_category_id bigint", "nodes binary")
+
+    def _counts(self, kind: tuple[int, int]) -> DayCounts:
+        held = self.trees.getValue(kind)
+        return DayCounts(_PackedNodes.opened(None if held is None else bytes(held[0])))
+
+    def _save(self, every: dict[tuple[int, int], DayCounts]) -> None:
+        for kind, counts in every.items():
+            if counts.changed:
+                counts.save()
+                self.trees.updateValue(kind, (counts.nodes.packed(),))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        counts = DayCounts(self.nodes)
-        for row in initialState.itertuples(index=False):
-            counts.add(row.day, row.starts, row.ends)
-        counts.save()
+        kinds, nodes = packed_trees(initialState)
+        for (hotel, category), packed in zip(kinds, nodes, strict=True):
+            held = self.trees.getValue((hotel, category))
+            if held is None:
+                self.trees.updateValue((hotel, category), (packed,))
+            else:  # a group that comes in several parts
+                own = (initialState["hotel_id"] == hotel) & (initialState["room_category_id"] == category)
+                counts = DayCounts(_PackedNodes.opened(bytes(held[0])))
+                for row in initialState[own].itertuples(index=False):
+                    counts.add(row.day, row.starts, row.ends)
+                self._save({(hotel, category): counts})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         asked = pd.concat(list(rows)).sort_values(["requested_at", "request_id"])
-        counts, accepted = DayCounts(self.nodes), []
+        every: dict[tuple[int, int], DayCounts] = {}
+        accepted = []
         for row in asked.itertuples(index=False):
+            kind = row.hotel_id, row.room_category_id
+            if kind not in every:
+                every[kind] = self._counts(kind)
+            counts = every[kind]
             taken = counts.before(row.last_day, ends=False) - counts.before(row.first_day + 1, ends=True)
             accepted.append(taken < row.places)
             if accepted[-1]:
                 counts.add(row.first_day, 1, 0)
                 counts.add(row.last_day, 0, 1)
-        counts.save()
-        yield asked.assign(accepted=accepted)
+        self._save(every)
+        yield asked.drop(columns="state_group").assign(accepted=accepted)
 
     def close(self) -> None:
         pass
@@ -125,7 +190,7 @@ def booking_decisions(
     ``stays`` are counted into the state once, when the stream first starts. A stay overlaps a window
     unless it starts at or after the window's end or ended by its start, so two counts answer a
     request. Requests must arrive in time order from batch to batch; within a batch they are put in
-    order. A batch's requests of one hotel and category are held by one task.
+    order. A batch's requests of one group of hotels and categories are held by one task.
     """
     columns = ["request_id", "requested_at", "hotel_id", "guest_id", "room_category_id", *DATES, "total_guests"]
     checked = check_bookings(requests.select(*columns), hotels, cities, categories_room, routes)
@@ -144,12 +209,14 @@ def booking_decisions(
     known = per_day(boundary_marks(stays.select(*CATEGORY_KEY, *DATES), CATEGORY_KEY), CATEGORY_KEY).select(
         *CATEGORY_KEY, day_number("day").alias("day"), F.col("starts").cast("bigint"), F.col("ends").cast("bigint")
     )
-    decided = asked.groupBy(*CATEGORY_KEY).transformWithStateInPandas(
+    # Calls of the state store go by group; a call per hotel and category took most of the time.
+    group = F.pmod(F.xxhash64(*CATEGORY_KEY), F.lit(STATE_GROUPS)).alias("state_group")
+    decided = asked.select("*", group).groupBy("state_group").transformWithStateInPandas(
         statefulProcessor=KeptCounts(),
         outputStructType=f"{_ASKED}, accepted boolean",
         outputMode="append",
         timeMode="none",
-        initialState=known.groupBy(*CATEGORY_KEY),
+        initialState=known.dropna(subset=CATEGORY_KEY).select("*", group).groupBy("state_group"),
     )
     passed = F.from_json("carried", ", ".join(f"{c} string" for c in carried))
     taken = decided.select(

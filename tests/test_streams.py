@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodgeframe.operators import availability, booking, hotels, payments, replication
@@ -127,6 +128,23 @@ def test_day_counts_equal_sums():
         assert len(fresh.read) <= 6
 
 
+def test_packed_trees_equal_trees_filled_day_by_day():
+    """Many days of many hotels and categories at once, as one value for each."""
+    rng = random.Random(4)
+    days = [(rng.randrange(9), rng.randrange(3), rng.choice([-719_162, 2_932_896, *range(19_000, 19_400)]), rng.randrange(4), rng.randrange(4)) for _ in range(900)]
+    kinds, packed = live.packed_trees(pd.DataFrame(days, columns=["hotel_id", "room_category_id", "day", "starts", "ends"]))
+    assert sorted(map(tuple, kinds)) == sorted({d[:2] for d in days})
+    for kind, nodes in zip(kinds, packed, strict=True):
+        plain = live.DayCounts(_Map())
+        for d in days:
+            if d[:2] == tuple(kind):
+                plain.add(*d[2:])
+        plain.save()
+        assert live._PackedNodes.opened(nodes) == plain.nodes
+        assert live._PackedNodes.opened(live._PackedNodes.opened(nodes).packed()) == plain.nodes
+    assert live._PackedNodes.opened(None) == {}
+
+
 def test_payments_one_batch_at_a_time(spark, data, tmp_path):
     source, out = str(tmp_path / "asks"), str(tmp_path / "out")
     asks = data.payment_requests
