@@ -67,7 +67,9 @@ def broken_references(tables: dict[str, DataFrame], rules: list[tuple[str, str,
 def duplicate_keys(tables: dict[str, DataFrame], rules: list[tuple[str, list[str]]] = UNIQUE_KEYS) -> DataFrame:
     """Key values used by more than one row; keys with an absent part never collide.
 
-    All keys of a table are read in one pass, as text parts so that unlike keys share the shuffle.
+    All keys of a table are read in one pass. A key travels as its rule's number and one text, so that unlike keys
+    share the shuffle and the groups, most of which hold one row, stay small. The text of several parts begins
+    with their lengths, which tells ``a|b, c`` from ``a, b|c``.
     """
     _demand(tables, [table for table, _ in rules])
     parts = []
@@ -76,21 +78,29 @@ def duplicate_keys(tables: dict[str, DataFrame], rules: list[tuple[str, list[str
         for owner, columns in rules:
             if owner == table:
                 whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
-                values = F.array(*[F.col(c).cast("string") for c in columns])
-                keys.append(
-                    F.when(whole, F.struct(F.lit(",".join(columns)).alias("key_columns"), values.alias("key_parts")))
-                )
-        parts.append(
-            tables[table]
-            .select(F.lit(table).alias("table_name"), F.explode(F.array_compact(F.array(*keys))).alias("k"))
-            .select("table_name", "k.*")
-        )
+                values = [F.col(c).cast("string") for c in columns]
+                text = F.concat_ws("|", *values)
+                if len(columns) > 1:
+                    text = F.concat_ws("|", F.concat_ws(",", *[F.length(v) for v in values[:-1]]), text)
+                number = rules.index((owner, columns))
+                keys.append(F.when(whole, F.struct(F.lit(number).alias("rule"), text.alias("key"))))
+        parts.append(tables[table].select(F.explode(F.array_compact(F.array(*keys))).alias("k")).select("k.*"))
+    named = F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(",".join(columns)).alias("key_columns"), F.lit(len(columns) > 1).alias("lengths"))
+        for table, columns in rules
+    ])
     return (
         _union(parts)
-        .groupBy("table_name", "key_columns", "key_parts")
+        .groupBy("rule", "key")
         .agg(F.count("*").alias("rows_found"))
         .where("rows_found > 1")
-        .select("table_name", "key_columns", F.array_join("key_parts", "|").alias("key_value"), "rows_found")
+        .select(F.element_at(named, F.col("rule") + 1).alias("of"), "key", "rows_found")
+        .select(
+            "of.table_name",
+            "of.key_columns",
+            F.when(F.col("of.lengths"), F.expr("substring(key, instr(key, '|') + 1)")).otherwise(F.col("key")).alias("key_value"),
+            "rows_found",
+        )
     )
 
 

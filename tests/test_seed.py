@@ -200,3 +200,17 @@ def test_sorted_reads_keep_their_order(spark, data):
     ).collect()
     keys = [(r.start_date, r.hotel_name, r.room_number) for r in booked]
     assert keys == sorted(keys)
+
+
+def test_keys_that_read_alike_are_told_apart(spark):
+    """A key is a rule's number and one text; parts that join to the same text are unlike keys."""
+    form = "id long, a string, b string"
+    rows = [(1, "x|y", "z"), (2, "x", "y|z"), (3, "x", "y|z"), (3, None, "z"), (4, "", "q"), (5, "", "q"), (6, "3", "a"), (7, "3", "b")]
+    rules = [("t", ["id"]), ("t", ["a", "b"]), ("t", ["b", "a"]), ("u", ["a"])]
+    found = quality.duplicate_keys({"t": spark.createDataFrame(rows, form), "u": spark.createDataFrame(rows, form)}, rules)
+    assert {tuple(r) for r in found.collect()} == {
+        ("t", "id", "3", 2), ("t", "a,b", "x|y|z", 2), ("t", "b,a", "y|z|x", 2), ("t", "a,b", "|q", 2), ("t", "b,a", "q|", 2),
+        ("u", "a", "x", 2), ("u", "a", "", 2), ("u", "a", "3", 2),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [rule#" in plan and "key_parts" not in plan
