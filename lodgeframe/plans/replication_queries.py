@@ -211,16 +211,19 @@ def _centre_rows(spark, path):
     return centre.current()
 
 
-def _sides(spark, d):
+def _sides(spark, d, removals_last=False):
     """Per table the rows of the branches, as they are there now, and of the centre, as far as changes were delivered.
 
-    Branches have given some rooms another floor since.
+    Branches have given some rooms another floor since. Changes without a time have no number; with ``removals_last`` a
+    removal wins among them, else whichever is met.
     """
     sent = _sent(spark, d)
     centre = _centre(spark, sent, lambda name, changes: [changes.where(_until(name))])
     out = {}
     for name, changes in sent.items():
         values = centre[name].columns
+        if removals_last:
+            changes = changes.withColumn("seq", F.coalesce("seq", (F.col("op") == "D").cast("bigint")))
         here = replication.latest_changes(changes).where("op <> 'D'").withColumnRenamed("origin", "node")
         if name == "rooms":
             here = here.withColumn("floor", F.expr("CASE WHEN key % 97 = 0 THEN floor + 1 ELSE floor END").cast(here.schema["floor"].dataType))
@@ -230,7 +233,7 @@ def _sides(spark, d):
 
 
 def _parity(spark, path):
-    sides = _sides(spark, HotelData(spark, path))
+    sides = _sides(spark, HotelData(spark, path), removals_last=True)
     return reduce(DataFrame.unionByName, [replication.fragment_parity(*both, name) for name, both in sides.items()])
 
 
