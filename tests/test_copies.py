@@ -130,7 +130,7 @@ def test_parity_finds_what_was_planted(spark):
 
 
 def test_branch_changes_are_put_together_once(spark, data, monkeypatch):
-    """Both parity queries read what the branches sent from storage, and see the same rows differ."""
+    """Each parity query puts together what the branches sent once, and both see the same rows differ."""
     made, calls = queries._at_branches, []
     monkeypatch.setattr(queries, "_at_branches", lambda d: calls.append(d) or made(d))
     differing = {tuple(r) for r in queries._differences(spark, data.path).collect()}
