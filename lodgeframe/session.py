@@ -30,6 +30,36 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return builder.getOrCreate()
 
 
+# What one task reads. A shuffled row takes a task some 450 bytes of memory and 14 bytes of a file.
+ROWS_PER_TASK = 250_000
+TASK_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.files.maxPartitionBytes": "16m",
+}
+
+
+def task_sized_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with the same settings but smaller tasks; ``spark`` itself stays as it is.
+
+    By default a task reads 128 MB of a file, and joined shuffle partitions grow to 64 MB, so the memory of a task
+    grows with the tables until then.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key, value in TASK_CONF.items():
+        own.conf.set(key, value)
+    return own
+
+
+def raise_partitions(spark: SparkSession, rows: int) -> None:
+    """Lets shuffles of some ``rows`` rows keep to ``ROWS_PER_TASK``; never lowers the number of partitions."""
+    needed = -(-rows // ROWS_PER_TASK)
+    if needed > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(needed))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints. Only a session without executors may make its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

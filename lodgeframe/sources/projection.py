@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgeframe.session import raise_partitions, task_sized_session
+
 BASE_DATE = "DATE'2024-01-01'"
 
 # The source files' columns, declared so that opening a table reads no footer.
@@ -25,21 +27,30 @@ RAW_DDL = {
 }
 
 
+# Tables with many rows for each customer, part or supplier.
+LARGE = ("orders", "lineitem", "events")
+
+
 def _money(name: str, precision: int = 12) -> Column:
     return F.col(name).cast(f"decimal({precision},2)")
 
 
 class HotelData:
-    """Lazy tables; nothing is read until a query uses it."""
+    """Lazy tables; nothing is read until a query uses it.
+
+    They belong to a session of their own, whose tasks are cut by the rows of the large tables in use.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
+        self.spark = task_sized_session(spark)
         self.path = path
         self._raw: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
         if table not in self._raw:
             self._raw[table] = self.spark.read.schema(RAW_DDL[table]).parquet(f"{self.path}/{table}.parquet")
+            if table in LARGE:
+                raise_partitions(self.spark, self._raw[table].count())
         return self._raw[table]
 
     def _values(self, rows: str, ddl: str) -> DataFrame:

@@ -243,8 +243,9 @@ def book_stream(
     checkpoint: str,
 ) -> StreamingQuery:
     """Writes the decisions to ``out``; started again on its checkpoint it goes on where it ended."""
-    hotels.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     decided = booking_decisions(requests, hotels, cities, categories_room, routes, rooms, stays)
+    # The tables may belong to another session than the stream.
+    decided.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         decided.writeStream.outputMode("append")
         .format("parquet")
