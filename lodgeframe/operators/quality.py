@@ -34,32 +34,34 @@ def _demand(tables: dict[str, DataFrame], names) -> None:
         raise ValueError(f"tables to check are missing: {', '.join(missing)}")
 
 
+def _far(rules: list[tuple[str, str, str]], table: str, passed: tuple[str, ...] = ()) -> int:
+    """How many references lead from a table to one without any, at most; the farther, the larger it tends to be."""
+    parents = {parent for child, _, parent in rules if child == table} - {table, *passed}
+    return max((1 + _far(rules, parent, (*passed, table)) for parent in parents), default=0)
+
+
 def broken_references(tables: dict[str, DataFrame], rules: list[tuple[str, str, str]] = FOREIGN_KEYS) -> DataFrame:
     """Child rows whose non-null key has no parent.
 
-    A child is read once for all its rules. The distinct key values meet the parents first, so a
-    value held by very many rows is shuffled once; the rows are then picked by the values left over.
+    A child is read once for all its rules. Its rows meet the lookup tables first, then what refers to those only, then
+    the rest: keys of tables that Spark broadcasts never travel, and the others travel once, with their rule's number.
     """
     _demand(tables, [name for child, _, parent in rules for name in (child, parent)])
     parts = []
     for child in dict.fromkeys(rule[0] for rule in rules):
         own = [(column, parent) for owner, column, parent in rules if owner == child]
-        pairs = F.array(
-            *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("value")) for c, _ in own]
-        )
-        rows = tables[child].select(
-            F.lit(child).alias("table_name"), F.col(key_column(child)).alias("row_key"), F.explode(pairs).alias("p")
-        ).select("table_name", "p.*", "row_key").where("value IS NOT NULL")
-        values = rows.select("column_name", "value").distinct()
-        known = _union(
-            [
-                tables[parent].select(F.lit(c).alias("column_name"), F.col("id").cast("bigint").alias("value"))
-                for c, parent in own
-            ]
-        )
-        orphans = values.join(known, ["column_name", "value"], "left_anti")
+        pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(c).cast("bigint").alias("value")) for n, (c, _) in enumerate(own)])
+        left = tables[child].select(F.col(key_column(child)).alias("row_key"), F.explode(pairs).alias("p")).select("p.*", "row_key")
+        left = left.where("value IS NOT NULL")
+        known: dict[int, list[DataFrame]] = {}
+        for number, (_, parent) in enumerate(own):
+            ids = tables[parent].select(F.lit(number).alias("rule"), F.col("id").cast("bigint").alias("value"))
+            known.setdefault(min(_far(rules, parent), 2), []).append(ids)
+        for far in sorted(known):
+            left = left.join(_union(known[far]), ["rule", "value"], "left_anti")
+        names = F.array(*[F.lit(column) for column, _ in own])
         parts.append(
-            rows.join(orphans, ["column_name", "value"], "left_semi").select("table_name", "column_name", "row_key", "value")
+            left.select(F.lit(child).alias("table_name"), F.element_at(names, F.col("rule") + 1).alias("column_name"), "row_key", "value")
         )
     return _union(parts)
 

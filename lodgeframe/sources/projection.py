@@ -211,8 +211,10 @@ class HotelData:
 
     @cached_property
     def details_reservations(self) -> DataFrame:
+        # Dealt by order, lines are told apart and meet their order where they are.
         lines = (
             self.raw("lineitem")
+            .repartition("l_orderkey")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(F.min("l_partkey").alias("pk"), F.min("l_quantity").alias("q"))
             .withColumn("nh", self._hotel_count)
