@@ -28,6 +28,32 @@ def test_words_alone_give_the_same_ids(library):
         assert np.frombuffer(encoder.encode([text.encode()])[0], dtype="<u4").tolist() == library(text)
 
 
+def test_plain_words_skip_the_tokenizers_steps(library):
+    """Marks, digits, accents and apostrophes are told apart without the whole tokenizer; each distinct odd word takes it once."""
+    encoder = packing.WordEncoder(SPEC)
+    whole, sent = encoder.tokenizer, []
+
+    class Counting:
+        def encode(self, text, **options):
+            sent.append(text)
+            return whole.encode(text, **options)
+
+    encoder.tokenizer = Counting()
+    texts = ["theatition### well.*** don't l'été, ÉTÉ! 3rd 'twas", "étionnevi.%%% üung, a-b (c) çoupa&&& theatition###"]
+    ids = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in ids] == [library(t) for t in texts]
+    assert sent == []
+    ids = encoder.encode(["— a — b".encode(), "c —".encode()]) + encoder.encode(["—".encode()])
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in ids] == [library(t) for t in ("— a — b", "c —", "—")]
+    assert sent == ["—"]
+
+
+def test_every_letter_gives_the_tokenizers_ids(library):
+    texts = [t for c in map(chr, range(0x400)) for t in (c, f"a{c}b É{c},", f"N{c}1 .{c} '{c}")]
+    found = packing.WordEncoder(SPEC).encode([t.encode() for t in texts])
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in found] == [library(t) for t in texts]
+
+
 @pytest.mark.parametrize("window, open_windows", [(2048, 16), (64, 3), (1, 1)])
 def test_each_token_is_in_one_piece(spark, library, window, open_windows):
     rows = [r for r in doc_rows() if window > 1 or r[0] != 1007]
