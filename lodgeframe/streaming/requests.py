@@ -211,12 +211,15 @@ def booking_decisions(
     )
     # Calls of the state store go by group; a call per hotel and category took most of the time.
     group = F.pmod(F.xxhash64(*CATEGORY_KEY), F.lit(STATE_GROUPS)).alias("state_group")
+    # After the first batch Spark looks at the plan of the initial state without having put shuffles into it, and then
+    # refuses a join whose sides are dealt otherwise. It does not look below a shuffle, and the state needs this one anyway.
+    counted = known.dropna(subset=CATEGORY_KEY).select("*", group).repartition("state_group")
     decided = asked.select("*", group).groupBy("state_group").transformWithStateInPandas(
         statefulProcessor=KeptCounts(),
         outputStructType=f"{_ASKED}, accepted boolean",
         outputMode="append",
         timeMode="none",
-        initialState=known.dropna(subset=CATEGORY_KEY).select("*", group).groupBy("state_group"),
+        initialState=counted.groupBy("state_group"),
     )
     passed = F.from_json("carried", ", ".join(f"{c} string" for c in carried))
     taken = decided.select(

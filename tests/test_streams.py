@@ -106,6 +106,48 @@ def test_bookings_go_on_after_a_restart_without_their_history(spark, data, tmp_p
     assert {201, 409} <= {r.status for r in got}
 
 
+def test_bookings_go_on_whatever_plan_the_stays_have(spark, tmp_path):
+    """Stays joined from sides that are dealt otherwise: later batches and a restart plan them without their shuffles."""
+    source, check, out = (str(tmp_path / name) for name in ("asks", "check", "out"))
+
+    def rows(values, ddl):
+        return spark.createDataFrame(values, ddl)
+
+    def day(number):
+        return datetime.date(2024, 1, 1) + datetime.timedelta(days=number)
+
+    rng = random.Random(5)
+    tables = (
+        rows([(1, 1), (2, 1)], "id bigint, city_id bigint").withColumn("location_coeff_room", F.lit(None).cast("decimal(5,2)")),
+        rows([(1,)], "id bigint"),
+        rows([(1, 2), (2, 3)], "id bigint, guests_capacity int").withColumn("price_per_night", F.lit(10).cast("decimal(10,2)")),
+        rows([(1, "filial1")], "hotel_id bigint, node string"),
+        rows([(1, 1), (1, 1), (1, 2), (2, 2)], "hotel_id bigint, categories_room_id bigint"),
+    )
+    active = rows([(n, 1 + n % 2, day(3 * n), day(3 * n + 2)) for n in range(9)], "reservation_id bigint, hotel_id bigint, start_date date, end_date date")
+    lines = rows([(n, 1 + n % 3 % 2) for n in range(9)], "reservation_id bigint, room_category_id bigint")
+    stays = lines.repartition(7, "reservation_id").join(active.hint("merge"), "reservation_id")
+    asks = []
+    for n in range(90):
+        start = rng.randrange(28)
+        times = datetime.datetime(2023, 1, 1) + datetime.timedelta(hours=n)
+        asks.append((n + 1, times, rng.choice([1, 1, 2, 7]), n + 1, rng.choice([1, 2]), day(start), day(start + rng.randrange(4)), n % 5, n // 30))
+    asks = rows(
+        asks,
+        "request_id bigint, requested_at timestamp_ntz, hotel_id bigint, guest_id bigint, room_category_id bigint, "
+        "start_date date, end_date date, total_guests int, part int",
+    )
+    for parts in ([0, 1], [2]):
+        for number in parts:
+            asks.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(source)
+        stream = feeds.read_feed(spark, source, asks.drop("part").schema, files_per_batch=1)
+        live.book_stream(stream, *tables, stays, out, check).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    batch = booking.create_bookings(asks.drop("part"), *tables, stays).select(*live.BOOKING_DECISION.fieldNames())
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, batch.collect()), key=str)
+    assert {201, 400, 404, 409} == {r.status for r in got}
+
+
 class _Map(dict):
     """A state map in memory."""
 
